@@ -185,15 +185,19 @@ def decode(raw: DataFrame) -> DataFrame:
     reason = F.when(bad_json, BAD_JSON)
     for name, text in REQUIRED.items():
         reason = reason.when(F.coalesce(F.col(f"_{name}"), F.lit("")) == "", text)
-    return fields.select(
-        *raw.columns,
-        "timestamp",
+    result = F.struct(
+        F.col("timestamp"),
         *[
             F.coalesce(F.col(f"_{name}"), F.lit("")).alias(name)
             for name in LOG_COLUMNS[1:]
         ],
         reason.alias("reason"),
     )
+    # A filter on these columns must not be pushed below and so repeat the whole
+    # of the parsing in its condition; a generator of one row holds it up here.
+    return fields.select(*raw.columns, F.explode(F.array(result)).alias("_row")).select(
+        *raw.columns, "_row.*"
+    )
 
 
 def backfill_timestamp(logs: DataFrame, now: datetime | Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Predicates on log rows and catalogue names."""
+"""Predicates on log rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logmere.functions.clock import as_utc, is_wall, moment_literal
 from logmere.functions.levels import level_ordinal, ordinal_of
-from logmere.operators.manifest import list_projects
 
 # Time presets in minutes; "custom" leaves the window open.
 PRESETS = {"15m": 15, "1h": 60, "6h": 360, "24h": 1440, "72h": 4320}
@@ -76,10 +75,3 @@ def preset_counts(logs: DataFrame, now: datetime) -> DataFrame:
         ]
     )
     return counts.unpivot([], list(PRESETS), "preset", "matches")
-
-
-def suggest_projects(manifest: DataFrame, text: str) -> DataFrame:
-    """Catalogue names that contain the text, without regard to case."""
-    return list_projects(manifest).filter(
-        F.contains(F.lower("project"), F.lower(F.lit(text)))
-    )

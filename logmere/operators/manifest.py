@@ -45,10 +45,11 @@ def prune_files(manifest: DataFrame, query: LogQuery) -> DataFrame:
     wall = is_wall(manifest, "started")
     if query.project:
         manifest = manifest.filter(F.array_contains("projects", query.project))
-    if query.start is not None:
-        manifest = manifest.filter(F.col("ended") >= moment_literal(query.start, wall))
-    if query.end is not None:
-        manifest = manifest.filter(F.col("started") <= moment_literal(query.end, wall))
+    start, end = query.window
+    if start is not None:
+        manifest = manifest.filter(F.col("ended") >= moment_literal(start, wall))
+    if end is not None:
+        manifest = manifest.filter(F.col("started") <= moment_literal(end, wall))
     return manifest
 
 
@@ -91,6 +92,13 @@ def list_projects(manifest: DataFrame) -> DataFrame:
     )
 
 
+def suggest_projects(manifest: DataFrame, text: str) -> DataFrame:
+    """Project names that contain the text, without regard to case."""
+    return list_projects(manifest).filter(
+        F.contains(F.lower("project"), F.lower(F.lit(text)))
+    )
+
+
 def without(manifest: DataFrame, active: Sequence[str]) -> DataFrame:
     """Entries other than the files still being written."""
     return manifest.filter(~F.col("file").isin(list(active))) if active else manifest

@@ -36,8 +36,14 @@ def sort_logs(logs: DataFrame, newest_first: bool = True) -> DataFrame:
     return logs.orderBy(*order_columns(newest_first))
 
 
-def _page(matched: DataFrame, offset: int, limit: int, newest_first: bool) -> DataFrame:
-    if offset + limit > TOP_K_ROWS:
+def _page(
+    matched: DataFrame,
+    offset: int,
+    limit: int,
+    newest_first: bool,
+    top_k_rows: int = TOP_K_ROWS,
+) -> DataFrame:
+    if offset + limit > top_k_rows:
         matched, offset = _seek(matched, offset, newest_first)
     ordered = sort_logs(matched.select(*LOG_COLUMNS), newest_first)
     return (ordered.offset(offset) if offset else ordered).limit(limit)
@@ -73,10 +79,20 @@ def _seek(matched: DataFrame, offset: int, newest_first: bool) -> tuple[DataFram
     return matched.filter(moment <= edge if newest_first else moment >= edge), offset
 
 
-def page(logs: DataFrame, query: LogQuery) -> DataFrame:
-    """The ordered rows of one page."""
+def page(
+    logs: DataFrame, query: LogQuery, top_k_rows: int = TOP_K_ROWS
+) -> DataFrame:
+    """The ordered rows of one page.
+
+    Pages that end beyond ``top_k_rows`` are located by counts first, which runs
+    a few small jobs at once; nearer ones are a lazy top-k.
+    """
     return _page(
-        query.matching(logs), query.page_offset, query.page_limit, query.newest_first
+        query.matching(logs),
+        query.page_offset,
+        query.page_limit,
+        query.newest_first,
+        top_k_rows,
     )
 
 

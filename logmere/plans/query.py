@@ -98,8 +98,13 @@ class LogQuery:
             wanted = getattr(self, name)
             if wanted:
                 logs = logs.filter(F.col(name) == wanted)
-        bounds = [
+        return time_range(logs, *self.window)
+
+    @property
+    def window(self) -> tuple[datetime | None, datetime | None]:
+        """Bounds of the time range; a zero time leaves its end open."""
+        start, end = (
             None if moment is None or as_utc(moment) == ZERO_TIME else moment
             for moment in (self.start, self.end)
-        ]
-        return time_range(logs, *bounds)
+        )
+        return start, end

@@ -37,20 +37,19 @@ def plan_retention(
 
 
 def retention_summary(manifest: DataFrame, plan: DataFrame) -> DataFrame:
-    """``(scanned, deleted, skipped, bytes_freed)``; skipped files have no known end."""
-    wall = is_wall(manifest, "ended")
-    unknown = F.col("ended").isNull() | (F.col("ended") == moment_literal(ZERO_TIME, wall))
-    seen = manifest.select(
-        F.lit(1).alias("s"), F.lit(0).alias("d"), unknown.cast("int").alias("k"),
-        F.lit(0).cast("bigint").alias("b"),
-    )
-    gone = plan.select(
-        F.lit(0).alias("s"), F.lit(1).alias("d"), F.lit(0).alias("k"),
-        F.col("size_bytes").alias("b"),
-    )
+    """``(scanned, deleted, skipped, bytes_freed)``.
+
+    Entries whose end could not be read (null) are skipped. A zero end keeps the
+    file too, but is not counted as skipped.
+    """
+    names = ["scanned", "deleted", "skipped", "bytes_freed"]
+
+    def facts(**given):
+        return [given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names]
+
+    one = F.lit(1)
+    seen = manifest.select(*facts(scanned=one, skipped=F.col("ended").isNull().cast("int")))
+    gone = plan.select(*facts(deleted=one, bytes_freed=F.col("size_bytes")))
     return seen.unionByName(gone).agg(
-        F.sum("s").alias("scanned"),
-        F.sum("d").alias("deleted"),
-        F.sum("k").alias("skipped"),
-        F.sum("b").alias("bytes_freed"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]
     )

@@ -36,7 +36,9 @@ def read_logs(
         )
     reader = spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
     if tolerate_corrupt:
-        reader = reader.option("ignoreCorruptFiles", "true")
+        reader = reader.option("ignoreCorruptFiles", "true").option(
+            "ignoreMissingFiles", "true"
+        )
     rows = reader.parquet(*paths)
     columns = [F.col(name) for name in LOG_COLUMNS[:4]] + [
         F.coalesce(F.col(name), F.lit("")).alias(name) for name in LOG_COLUMNS[4:]

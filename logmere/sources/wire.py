@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logmere.functions.clock import wall_of
@@ -52,13 +54,16 @@ def read_wire(
     )
 
 
-def encode(logs: DataFrame) -> DataFrame:
-    """Log rows to ``key`` (the project) and ``value`` (JSON of all six fields)."""
+def encode(logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Log rows to ``key`` (the project) and ``value`` (JSON of all six fields).
+
+    ``keep`` names further columns to carry along.
+    """
     fields = [wall_of(logs).alias("timestamp")] + [
         F.coalesce(F.col(name), F.lit("")).alias(name) for name in LOG_COLUMNS[1:]
     ]
     value = F.to_json(F.struct(*fields), {"timestampNTZFormat": WIRE_TIME})
-    return logs.select(F.col("project").alias("key"), value.alias("value"))
+    return logs.select(*keep, F.col("project").alias("key"), value.alias("value"))
 
 
 def write_wire(
