@@ -117,9 +117,9 @@ class LogTable:
         def named(listed: DataFrame) -> list[str]:
             return [r["file"] for r in listed.select("file").limit(NAMED_FILES + 1).collect()]
 
-        def read(paths) -> DataFrame:
+        def read(paths, with_file: bool = with_file) -> DataFrame:
             return read_logs(
-                self.spark, paths, tolerate_corrupt=tolerate_corrupt, with_file=True
+                self.spark, paths, tolerate_corrupt=tolerate_corrupt, with_file=with_file
             )
 
         names = named(manifest)
@@ -134,7 +134,7 @@ class LogTable:
         wanted = manifest.select(F.col("file").alias("_name"))
         if manifest.count() <= BROADCAST_FILES:
             wanted = F.broadcast(wanted)
-        rows = read(f"{self.root}/data")
+        rows = read(f"{self.root}/data", with_file=True)
         return finish(
             rows.join(wanted, _relative(F.col("file_path")) == F.col("_name"), "left_semi")
         )
