@@ -73,7 +73,10 @@ def import_nanos(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def list_data_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, size_bytes)`` of every Parquet file below a folder, unopened."""
+    """``(path, size_bytes)`` of every Parquet file below a folder, unopened.
+
+    Files of zero bytes hold nothing and are not listed.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
