@@ -51,22 +51,9 @@ _NAMES = "|".join(LOG_COLUMNS)
 _STRING_KEY = f'"(?:{_NAMES})"\\s*:\\s*"'
 _OTHER_KEY = f'"(?i:{_NAMES})"(?<!"(?:{_NAMES})")\\s*:|"(?:{_NAMES})"\\s*:\\s*[^"\\s]'
 _ESCAPED_KEY = r'\\u[0-9a-fA-F]{4}[^"\\]*"\s*:'
-
-
-def _folded(key: Column) -> Column:
-    """Key as matched without regard to case; U+017F folds to s."""
-    return F.lower(F.translate(key, "ſ", "s"))
-
-
-def _framed(sentinel: str, element: str) -> Column:
-    """The payload followed by the sentinel, parsed as one array."""
-    text = F.concat(F.lit("["), F.col("value"), F.lit(',{"' + sentinel + '":1}]'))
-    return F.from_json(text, f"array<{element}>", _STRICT)
-
-
-def _struct_of(kind: str, sentinel: str) -> str:
-    fields = [f"{name}:{kind}" for name in LOG_COLUMNS] + [f"`{sentinel}`:int"]
-    return "struct<" + ",".join(fields) + ">"
+_QUOTED = ", ".join(f"'{name}'" for name in LOG_COLUMNS)
+# Keys match without regard to case; U+017F folds to s.
+_FOLDED = "lower(translate({0}, 'ſ', 's'))"
 
 
 def _parsed(raw: DataFrame) -> DataFrame:
@@ -75,96 +62,85 @@ def _parsed(raw: DataFrame) -> DataFrame:
     ``_empty`` marks a payload that is JSON null, which holds no fields.
     """
     sentinel = "s" + secrets.token_hex(16)
-    first, second = F.lit(0), F.lit(1)
 
-    texts = F.col("_texts")
-    present = F.lit(0)
-    for name in LOG_COLUMNS:
-        given = F.get(texts, first)[name].isNotNull()
-        present = present + F.when(given, 1).otherwise(0)
+    def framed(element: str) -> Column:
+        """The payload followed by the sentinel, parsed as one array."""
+        return F.from_json(text, f"array<{element}>", _STRICT)
+
+    def struct_of(kind: str) -> str:
+        fields = [f"{name}:{kind}" for name in LOG_COLUMNS] + [f"{sentinel}:int"]
+        return "struct<" + ",".join(fields) + ">"
+
+    text = F.concat(F.lit("["), F.col("value"), F.lit(',{"' + sentinel + '":1}]'))
+    present = " + ".join(f"int(_texts[0].{name} IS NOT NULL)" for name in LOG_COLUMNS)
     plain = (
-        (F.size(texts) == 2)
-        & F.get(texts, second)[sentinel].isNotNull()
-        & (F.regexp_count("value", F.lit(_STRING_KEY)) == present)
+        F.expr(f"size(_texts) = 2 AND _texts[1].{sentinel} IS NOT NULL")
+        & (F.regexp_count("value", F.lit(_STRING_KEY)) == F.expr(present))
         & ~F.col("value").rlike(_OTHER_KEY)
         & ~F.col("value").contains("ſ")
         & ~(F.col("value").contains("\\u") & F.col("value").rlike(_ESCAPED_KEY))
     )
-    frame = raw.withColumn("_texts", _framed(sentinel, _struct_of("string", sentinel)))
-    frame = frame.withColumn(
-        "_plain", F.when(plain, F.get(texts, first))
-    ).withColumn(
-        "_doc",
-        F.when(F.col("_plain").isNull(), _framed(sentinel, "map<string,variant>")),
+    frame = (
+        raw.withColumn("_texts", framed(struct_of("string")))
+        .withColumn("_plain", F.when(plain, F.expr("_texts[0]")))
+        .withColumn(
+            "_doc", F.when(F.col("_plain").isNull(), framed("map<string,variant>"))
+        )
     )
-
-    doc = F.col("_doc")
-    complete = (F.size(doc) == 2) & F.map_contains_key(F.get(doc, second), sentinel)
     # An object under an unknown key may repeat a key. A variant cannot hold
     # that, though such a record is valid; read it by exact field names, which
     # skips unknown keys, provided the known keys are spelled exactly and once.
-    known = F.array(*[F.lit(name) for name in LOG_COLUMNS])
-    pairs = _framed(sentinel, "map<string,string>")
-    keys = F.map_keys(F.get(pairs, first))
-    exact = F.filter(keys, lambda key: F.array_contains(known, key))
-    spelled = (
-        (F.size(pairs) == 2)
-        & F.map_contains_key(F.get(pairs, second), sentinel)
-        & (F.size(F.array_distinct(exact)) == F.size(exact))
-        & (
-            F.size(F.filter(keys, lambda key: F.array_contains(known, _folded(key))))
-            == F.size(exact)
-        )
+    unread = F.expr("_plain IS NULL AND _doc IS NULL") & F.col("value").rlike(r"^\s*\{")
+    frame = frame.withColumn(
+        "_pairs", F.when(unread, framed("map<string,string>"))
+    ).withColumn(
+        "_known", F.expr(f"filter(map_keys(_pairs[0]), k -> {_FOLDED.format('k')} IN ({_QUOTED}))")
     )
-    fields = F.get(_framed(sentinel, _struct_of("variant", sentinel)), first)
-    rescued = F.when(
-        spelled, F.map_from_arrays(known, F.array(*[fields[n] for n in LOG_COLUMNS]))
+    spelled = F.expr(
+        f"size(_pairs) = 2 AND map_contains_key(_pairs[1], '{sentinel}')"
+        f" AND size(_known) = size(array_distinct(_known))"
+        f" AND forall(_known, k -> k IN ({_QUOTED}))"
     )
-    unread = F.col("_plain").isNull() & doc.isNull() & F.col("value").rlike(r"^\s*\{")
+    frame = frame.withColumn("_fields", F.when(spelled, framed(struct_of("variant"))))
+    entries = ", ".join(f"'{name}', _fields[0].{name}" for name in LOG_COLUMNS)
+    complete = f"size(_doc) = 2 AND map_contains_key(_doc[1], '{sentinel}')"
     return frame.select(
         *raw.columns,
         "_plain",
-        F.when(complete, F.get(doc, first)).when(unread, rescued).alias("_map"),
-        (complete & F.get(doc, first).isNull()).alias("_empty"),
+        F.expr(
+            f"CASE WHEN {complete} THEN _doc[0]"
+            f" WHEN _fields IS NOT NULL THEN map({entries}) END"
+        ).alias("_map"),
+        F.expr(f"{complete} AND _doc[0] IS NULL").alias("_empty"),
     )
 
 
 def _fields(raw: DataFrame) -> DataFrame:
     """Add ``_read`` and one text column per field, null when absent."""
-    known = F.array(*[F.lit(name) for name in LOG_COLUMNS])
-    given = F.filter(
-        F.map_entries("_map"),
-        lambda e: F.array_contains(known, _folded(e["key"]))
-        & e["value"].isNotNull()
-        & ~F.is_variant_null(e["value"]),
+    given = F.expr(
+        "filter(transform(map_entries(_map),"
+        f" e -> struct({_FOLDED.format('e.key')} AS key, e.value AS value)),"
+        f" e -> e.key IN ({_QUOTED}) AND e.value IS NOT NULL AND NOT is_variant_null(e.value))"
     )
-    typed = F.forall("_given", lambda e: F.schema_of_variant(e["value"]) == "STRING")
-    texts = F.transform(
-        "_given",
-        lambda e: F.struct(
-            _folded(e["key"]).alias("key"), e["value"].cast("string").alias("value")
-        ),
+    texts = F.expr(
+        "CASE WHEN forall(_given, e -> schema_of_variant(e.value) = 'STRING')"
+        " THEN transform(_given, e -> struct(e.key AS key, string(e.value) AS value)) END"
     )
-
-    def last(name: str) -> Column:
-        matching = F.filter("_entries", lambda e: e["key"] == name)
-        return F.try_element_at(matching, F.lit(-1))["value"]
-
+    last = "try_element_at(filter(_entries, e -> e.key = '{0}'), -1).value"
     return (
         _parsed(raw)
         .withColumn("_given", given)
-        .withColumn("_entries", F.when(typed, texts))
+        .withColumn("_entries", texts)
         .select(
             *raw.columns,
-            (
-                F.col("_plain").isNotNull()
-                | F.col("_entries").isNotNull()
-                | F.coalesce("_empty", F.lit(False))
+            F.expr(
+                "_plain IS NOT NULL OR _entries IS NOT NULL OR coalesce(_empty, false)"
             ).alias("_read"),
             *[
-                F.when(F.col("_plain").isNotNull(), F.col("_plain")[name])
-                .otherwise(last(name))
-                .alias(f"_{name}")
+                F.expr(
+                    f"CASE WHEN _plain IS NOT NULL THEN _plain.{name}"
+                    f" ELSE {last.format(name)} END"
+                ).alias(f"_{name}")
                 for name in LOG_COLUMNS
             ],
         )

@@ -22,8 +22,10 @@ TOP_K_ROWS = 20_000
 # millisecond, microsecond.
 SEEK_WIDTHS = [86_400_000_000, 60_000_000, 1_000, 1]
 PAGE_SIZE = 200
-# Shards of the live tail's first step.
+# Shards of the live tail's first step, and the longest tail for which Spark puts
+# a group limit before the shuffle (its default threshold).
 TAIL_SHARDS = 64
+GROUP_LIMIT_ROWS = 1000
 
 
 def order_columns(newest_first: bool = True) -> list[Column]:
@@ -205,8 +207,12 @@ def live_tail(logs: DataFrame, n: int, by: str = "project") -> DataFrame:
 
     Ranking happens first within shards of the input, so a project that holds
     most of the rows is spread over many tasks; only the winners of the shards
-    meet in the second step.
+    meet in the second step. Up to ``GROUP_LIMIT_ROWS`` Spark also drops losers
+    before each shuffle; for a longer tail, rows that are certainly too old are
+    dropped by counts.
     """
+    if n > GROUP_LIMIT_ROWS:
+        logs = _recent(logs, n, by)
     order = order_columns(newest_first=True)
     sharded = logs.withColumn("_shard", F.spark_partition_id() % TAIL_SHARDS)
     in_shard = Window.partitionBy(by, "_shard").orderBy(*order)
@@ -217,3 +223,20 @@ def live_tail(logs: DataFrame, n: int, by: str = "project") -> DataFrame:
     )
     position = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return winners.withColumn("position", position).filter(F.col("position") <= n)
+
+
+def _recent(logs: DataFrame, n: int, by: str) -> DataFrame:
+    """Rows from the minute on that holds the ``n``-th newest row of their project."""
+    micros = micros_of(logs)
+    minute = micros - F.pmod(micros, F.lit(60_000_000))
+    sizes = logs.groupBy(by, minute.alias("_minute")).agg(F.count(F.lit(1)).alias("_rows"))
+    newer = Window.partitionBy(by).orderBy(F.col("_minute").desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    edge = (
+        sizes.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+        .filter(F.col("_newer") < n)
+        .groupBy(by)
+        .agg(F.min("_minute").alias("_edge"))
+    )
+    return logs.join(edge, by).filter(micros >= F.col("_edge")).select(*logs.columns)
