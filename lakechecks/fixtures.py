@@ -29,12 +29,7 @@ def file_name(event_id: Column) -> Column:
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest of the events cut into runs of equal length."""
     logs = events_as_logs(spark, folder, keep_id=True)
-    sizes = (
-        logs.groupBy(file_name(F.col("event_id")).alias("_file"))
-        .agg(F.sum(row_bytes()).alias("_bytes"))
-    )
-    rows = logs.withColumn("_file", file_name(F.col("event_id"))).join(sizes, "_file")
-    return build_manifest(rows, F.col("_file"), F.col("_bytes"))
+    return build_manifest(logs, file_name(F.col("event_id")), F.sum(row_bytes()))
 
 
 def new_table(spark: SparkSession, name: str) -> LogTable:

@@ -29,7 +29,6 @@ from logmere.functions import (
     wall_from_instant,
 )
 from logmere.functions.clock import moment_literal, wall_of
-from logmere.functions.sizes import row_bytes
 from logmere.operators import combine, decode as decoding, filters, manifest as listing
 from logmere.operators import paging, reports
 from logmere.plans.compaction import (
@@ -589,13 +588,13 @@ def compaction_totals(spark: SparkSession, folder: str) -> DataFrame:
 def compacted_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Merging twice keeps the bag of rows."""
     table = stored(spark, folder, "compacted")
-    table.compact(target_bytes=40_000)
-    table.compact(target_bytes=40_000)
+    table.compact()
+    table.compact()
     return in_utc(table.read())
 
 
 @query
 def compacted_manifest_totals(spark: SparkSession, folder: str) -> DataFrame:
     table = stored(spark, folder, "compacted-totals")
-    first = table.compact(target_bytes=40_000)
-    return _totals(table.manifest()).withColumn("merged_rows", F.lit(first["rows"]))
+    table.compact()
+    return _totals(table.manifest())

@@ -16,25 +16,20 @@ def distinct_projects(project: Column) -> Column:
     return F.sort_array(F.collect_set(F.nullif(project, F.lit(""))))
 
 
-def build_manifest(
-    rows: DataFrame, file: Column, size_bytes: Column
-) -> DataFrame:
+def build_manifest(rows: DataFrame, file: Column, size_bytes: Column) -> DataFrame:
     """Facts per file: time range, rows, projects, bytes.
 
-    Only the time and project columns are read. ``size_bytes`` is the size of
-    the whole file on each of its rows.
+    ``size_bytes`` is an aggregate over the rows of a file, such as the maximum of
+    the file size found on each. Of the log columns only time and project are read.
     """
     return (
-        rows.select(
-            file.alias("file"), size_bytes.alias("_size"), "timestamp", "project"
-        )
-        .groupBy("file")
+        rows.groupBy(file.alias("file"))
         .agg(
             F.min("timestamp").alias("started"),
             F.max("timestamp").alias("ended"),
             F.count(F.lit(1)).alias("row_count"),
             distinct_projects(F.col("project")).alias("projects"),
-            F.max("_size").alias("size_bytes"),
+            size_bytes.alias("size_bytes"),
         )
         .select(*MANIFEST_COLUMNS)
     )

@@ -73,7 +73,7 @@ def import_nanos(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def list_data_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, size_bytes)`` of every Parquet file below a folder, unopened.
+    """``(path, size_bytes, modified)`` of every Parquet file below a folder, unopened.
 
     Files of zero bytes hold nothing and are not listed.
     """
@@ -83,4 +83,8 @@ def list_data_files(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "*.parquet")
         .load(path)
     )
-    return listed.select("path", F.col("length").alias("size_bytes"))
+    return listed.select(
+        "path",
+        F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified"),
+    )

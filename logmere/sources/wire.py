@@ -12,6 +12,10 @@ from logmere.schema import LOG_COLUMNS
 # Fixed value: wire form of the timestamp.
 WIRE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
+# The key of a record is its project, so one topic partition may hold most of the
+# records; a task reads at most this many of them.
+RECORDS_PER_TASK = 500_000
+
 
 def read_wire(
     spark: SparkSession,
@@ -34,6 +38,7 @@ def read_wire(
             .option("kafka.bootstrap.servers", source)
             .option("subscribe", topic)
             .option("startingOffsets", "earliest")
+            .option("maxRecordsPerPartition", str(RECORDS_PER_TASK))
             .options(**(options or {}))
             .load()
         )
@@ -66,14 +71,8 @@ def encode(logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return logs.select(*keep, F.col("project").alias("key"), value.alias("value"))
 
 
-def write_wire(
-    records: DataFrame, target: str, *, topic: str | None = None, by_project: bool = False
-) -> None:
-    """Send encoded records to Kafka, or to text files, one record per line.
-
-    ``by_project`` keeps the records of a project together in the text form;
-    Kafka does that by key already.
-    """
+def write_wire(records: DataFrame, target: str, *, topic: str | None = None) -> None:
+    """Send encoded records to Kafka, or to text files, one record per line."""
     if topic is not None:
         (
             records.write.format("kafka")
@@ -82,6 +81,4 @@ def write_wire(
             .save()
         )
         return
-    if by_project:
-        records = records.repartition("key")
     records.select("value").write.mode("append").text(target)

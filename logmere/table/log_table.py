@@ -3,7 +3,8 @@
 ``data/<unit>/`` holds the files of one write, ``errors/<unit>/`` refused records,
 ``manifest/`` and ``_log/`` the committed versions. A unit is written completely
 before the version that lists it is published, so readers never see part of one.
-One writer at a time is assumed; a second one fails on commit.
+Files that a version no longer lists stay until ``vacuum``, for readers that
+resolved an earlier one.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logmere.functions.clock import moment_literal
 from logmere.operators import manifest as listing
 from logmere.operators.paging import lookup
 from logmere.plans.compaction import (
@@ -34,14 +36,18 @@ from logmere.session import work_folder
 from logmere.sources.logs import list_data_files, read_logs
 from logmere.table.snapshot import Snapshot, SnapshotLog
 
-# Surviving files are passed to the scan by name up to this many.
+# Surviving files are passed to the scan by name up to this many; beyond that the
+# units they belong to, up to the same number, and beyond that the whole folder.
 NAMED_FILES = 10_000
-# Beyond that whole folders are read and filtered by a broadcast list of names
-# up to this many (some 100 bytes each), by a shuffled one after that.
+# What is read by unit or folder is filtered by a list of file names: broadcast up
+# to this many (some 100 bytes each), shuffled after that.
 BROADCAST_FILES = 1_000_000
 # Batches merged by one job; more of them are merged in several jobs, each
 # committed by itself, so the shuffle stays small however long the backlog.
-WAVE_BATCHES = 4_000
+WAVE_BATCHES = 2_000
+# How long unlisted files are kept: for readers of earlier versions, and for
+# writes that have not been committed yet.
+GRACE = timedelta(days=1)
 DELETE_THREADS = 32
 
 
@@ -114,27 +120,31 @@ class LogTable:
                 return rows.select(*LOG_COLUMNS)
             return rows.withColumn("file", _relative(F.col("file_path"))).drop("file_path")
 
-        def named(listed: DataFrame) -> list[str]:
-            return [r["file"] for r in listed.select("file").limit(NAMED_FILES + 1).collect()]
+        def named(names: DataFrame) -> list[str]:
+            return [r[0] for r in names.limit(NAMED_FILES + 1).collect()]
 
-        def read(paths, with_file: bool = with_file) -> DataFrame:
+        def read(names, with_file: bool = with_file) -> DataFrame:
             return read_logs(
-                self.spark, paths, tolerate_corrupt=tolerate_corrupt, with_file=with_file
+                self.spark,
+                [f"{self.root}/data/{name}" for name in names],
+                tolerate_corrupt=tolerate_corrupt,
+                with_file=with_file,
             )
 
-        names = named(manifest)
-        if len(names) <= NAMED_FILES:
+        files = named(manifest.select("file"))
+        if len(files) <= NAMED_FILES:
             try:
-                return finish(read([f"{self.root}/data/{name}" for name in names]))
+                return finish(read(files))
             except AnalysisException as err:
                 if not tolerate_corrupt or err.getCondition() != "PATH_NOT_FOUND":
                     raise
             there = manifest.join(self.files_on_disk(), "file", "left_semi")
-            return finish(read([f"{self.root}/data/{name}" for name in named(there)]))
+            return finish(read(named(there.select("file"))))
+        units = named(manifest.select(F.substring_index("file", "/", 1)).distinct())
+        rows = read(units if len(units) <= NAMED_FILES else [""], with_file=True)
         wanted = manifest.select(F.col("file").alias("_name"))
         if manifest.count() <= BROADCAST_FILES:
             wanted = F.broadcast(wanted)
-        rows = read(f"{self.root}/data", with_file=True)
         return finish(
             rows.join(wanted, _relative(F.col("file_path")) == F.col("_name"), "left_semi")
         )
@@ -155,7 +165,9 @@ class LogTable:
 
     def files_on_disk(self) -> DataFrame:
         found = list_data_files(self.spark, f"{self.root}/data")
-        return found.select(_relative(F.col("path")).alias("file"), "size_bytes")
+        return found.select(
+            _relative(F.col("path")).alias("file"), "size_bytes", "modified"
+        )
 
     def audit(self) -> DataFrame:
         """Manifest entries without a file, and files no version lists."""
@@ -191,7 +203,7 @@ class LogTable:
         """Manifest rows of the files of a unit, read back from the files."""
         rows = read_logs(self.spark, f"{self.root}/data/{unit}", with_file=True)
         return listing.build_manifest(
-            rows, _relative(F.col("file_path")), F.col("file_size")
+            rows, _relative(F.col("file_path")), F.max("file_size")
         )
 
     def append(self, logs: DataFrame, unit: str | None = None) -> Snapshot:
@@ -206,11 +218,12 @@ class LogTable:
         now: datetime,
         ttl: timedelta = DEFAULT_TTL,
         active: Sequence[str] = (),
+        delete_now: bool = False,
     ) -> dict[str, int]:
         """Drop files past their keep time; returns the counts of the sweep.
 
-        The version without them is published before anything is deleted, so a
-        crash in between leaves unlisted files, never listed ones that are gone.
+        A version without them is published; ``vacuum`` deletes them later.
+        ``delete_now`` deletes them at once, for tables nobody else is reading.
         """
         base = self.snapshot()
         manifest = self.manifest(base)
@@ -220,7 +233,8 @@ class LogTable:
             self.log.commit(
                 base, removed=plan, summary={"operation": "retention", **result}
             )
-            self._delete_files(plan)
+            if delete_now:
+                self._delete_files(plan)
         return result
 
     def compact(
@@ -230,6 +244,7 @@ class LogTable:
         active: Sequence[str] = (),
         by: Column | None = None,
         wave: int = WAVE_BATCHES,
+        delete_now: bool = False,
     ) -> dict[str, int]:
         """Merge small files into time-ordered ones; returns the counts of the run.
 
@@ -237,7 +252,8 @@ class LogTable:
         batch number. Files whose footer cannot be read are left out, and a batch
         whose result does not hold exactly the rows listed for its sources is not
         put in place, so no row is lost to a damaged file. ``by`` (for example
-        the day of ``started``) keeps batches within one value.
+        the day of ``started``) keeps batches within one value. The sources stay
+        on disk, unlisted, until ``vacuum``, unless ``delete_now`` is set.
         """
         manifest = self.manifest()
         candidates = compaction_candidates(manifest, max_bytes, active)
@@ -265,6 +281,8 @@ class LogTable:
         done = batches.filter(F.lit(False))
         if merged:
             done = self.spark.read.schema(batches.schema).parquet(*merged)
+            if delete_now:
+                self._delete_files(done)
         return compaction_summary(manifest, intact, done).head().asDict()
 
     def _merge(self, batches: DataFrame, start: int, count: int) -> str:
@@ -292,7 +310,6 @@ class LogTable:
         self.log.commit(
             base, added, replaced.select("file"), summary={"operation": "compaction"}
         )
-        self._delete_files(replaced)
         return path
 
     def _rewrite(
@@ -314,6 +331,24 @@ class LogTable:
             .parquet(f"{self.root}/data/{unit}")
         )
 
+    def vacuum(self, now: datetime, grace: timedelta = GRACE) -> None:
+        """Delete files that neither the current version nor any version of the
+        last ``grace`` lists, and that were written before it began."""
+        cutoff = now - grace
+        earlier = self.log.published_before(cutoff)
+        if earlier is None:
+            return
+        unlisted = (
+            self.files_on_disk()
+            .filter(F.col("modified") <= moment_literal(cutoff, wall=False))
+            .join(self.manifest(earlier), "file", "left_anti")
+            .join(self.manifest(), "file", "left_anti")
+        )
+        path = work_folder(self.spark, "vacuum")
+        unlisted.select("file").write.parquet(path)
+        self._delete_files(self.spark.read.schema("file string").parquet(path))
+        self.log.drop_unused_parts(cutoff)
+
     def _delete_files(self, files: DataFrame) -> None:
         """Delete listed files; the names stream through, they are not gathered."""
         with ThreadPoolExecutor(DELETE_THREADS) as pool:

@@ -1,7 +1,7 @@
 """The log table: manifest, pruning, damage, versions, retention, merging, ingest."""
 
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import numpy as np
@@ -94,10 +94,12 @@ def test_many_files_are_read_by_folder(spark, table, monkeypatch):
     logs = some_logs(spark)
     table.append(logs)
     table.write_unit(logs, "uncommitted")
-    for broadcast in (100, 0):
-        monkeypatch.setattr(log_table, "NAMED_FILES", 2)
+    table.append(logs.filter("level = 'INFO'"))
+    whole = plain(logs.unionByName(logs.filter("level = 'INFO'")))
+    for named, broadcast in ((3, 100), (1, 0)):
+        monkeypatch.setattr(log_table, "NAMED_FILES", named)
         monkeypatch.setattr(log_table, "BROADCAST_FILES", broadcast)
-        assert plain(table.read()) == plain(logs)
+        assert plain(table.read()) == whole
 
 
 def test_damaged_and_missing_files(spark, table):
@@ -152,9 +154,34 @@ def test_versions(spark, table, make_logs):
     second = table.append(make_logs([("12:01:00", "p", "l", "INFO")]))
     assert (first.version, second.version) == (1, 2)
     assert table.read(snapshot=first).count() == 1 and table.read().count() == 2
+    # A commit made on an older version goes on top of the newest one.
+    third = table.log.commit(first, table.write_unit(some_logs(spark, n=7), "third"))
+    assert third.version == 3 and table.read().count() == 9
+    # Unless what it removes is gone, or its batch is in.
+    dropped = table.manifest(first).select("file")
+    fourth = table.log.commit(third, removed=dropped, streams={"s": 4})
     with pytest.raises(CommitConflict):
-        table.log.commit(first)
-    assert table.snapshot() == second
+        table.log.commit(second, removed=dropped)
+    with pytest.raises(CommitConflict):
+        table.log.commit(second, streams={"s": 4})
+    assert table.snapshot() == fourth and table.read().count() == 8
+
+
+def test_vacuum_waits_for_readers(spark, table):
+    table.append(some_logs(spark, parts=3))
+    before = table.snapshot()
+    table.compact()
+    now = datetime.now(timezone.utc)
+    table.vacuum(now)
+    assert table.read(snapshot=before).count() == 200 and len(data_files(table)) == 4
+    # Within the grace period the files of a running write are not touched.
+    table.write_unit(some_logs(spark, n=5, parts=1), "being-written")
+    table.vacuum(now + timedelta(days=1))
+    assert any("being-written" in str(f) for f in data_files(table))
+    table.vacuum(now + timedelta(days=2))
+    (kept,) = data_files(table)
+    assert "compact-" in str(kept) and table.read().count() == 200
+    assert table.manifest().count() == 1 and table.audit().count() == 0
 
 
 def test_manifest_parts_are_folded(spark, table, make_logs, monkeypatch):
@@ -198,7 +225,7 @@ def test_retention_applied_twice(spark, table, make_logs):
         table.append(make_logs([(stamp, "p", "l", "INFO")]))
     before = table.snapshot()
     data_files(table)[0].stat()
-    result = table.apply_retention(now)
+    result = table.apply_retention(now, delete_now=True)
     assert (result["scanned"], result["deleted"]) == (3, 1)
     assert table.read().count() == 2 and len(data_files(table)) == 2
     assert table.snapshot().version == before.version + 1
@@ -257,7 +284,7 @@ def test_compaction(spark, table):
     logs = some_logs(spark, n=300, parts=6)
     table.append(logs)
     sizes = [f.stat().st_size for f in data_files(table)]
-    result = table.compact(target_bytes=2 * max(sizes) + 1)
+    result = table.compact(target_bytes=2 * max(sizes) + 1, delete_now=True)
     assert result["merged"] == 2 and result["source_files"] == 6 and result["rows"] == 300
     assert result["bytes_freed"] == sum(sizes)
     assert plain(table.read()) == plain(logs)
@@ -299,7 +326,7 @@ def test_stable_order_of_equal_times(spark, table, make_logs):
     for message in "cab":
         table.append(make_logs([("12:00:00", "p", "l", "INFO", message), ("11:00:00", "p", "l", "INFO", message)]),
                      unit=f"u-{len(data_files(table))}")
-    table.compact()
+    table.compact(delete_now=True)
     (path,) = data_files(table)
     assert pq.read_table(path)["message"].to_pylist() == list("cabcab")
 
