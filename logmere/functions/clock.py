@@ -93,15 +93,14 @@ def parse_rfc3339(text: Column) -> Column:
     )
 
 
-def instant_from_wall(wall: Column) -> Column:
-    """Zone-less wall clock meaning UTC, to an instant."""
+def _wall_micros(wall: Column) -> Column:
     since = wall - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
     def field(name: str) -> Column:
         return F.extract(F.lit(name), since).cast("bigint")
 
     seconds = F.extract(F.lit("SECOND"), since) * F.lit(1_000_000).cast("bigint")
-    return F.timestamp_micros(
+    return (
         field("DAY") * _DAY_US
         + field("HOUR") * _HOUR_US
         + field("MINUTE") * _MINUTE_US
@@ -109,6 +108,11 @@ def instant_from_wall(wall: Column) -> Column:
     )
 
 
+def instant_from_wall(wall: Column) -> Column:
+    """Zone-less wall clock meaning UTC, to an instant."""
+    return F.timestamp_micros(_wall_micros(wall))
+
+
 def wall_from_instant(moment: Column) -> Column:
     """Instant to the zone-less UTC wall clock."""
     seconds = F.unix_micros(moment).cast("decimal(20,0)") / 1_000_000
@@ -125,7 +129,7 @@ def is_wall(frame: DataFrame, name: str = "timestamp") -> bool:
 def micros_of(frame: DataFrame, name: str = "timestamp") -> Column:
     """Microseconds since the epoch of a time column of either type."""
     column = F.col(name)
-    return F.unix_micros(instant_from_wall(column) if is_wall(frame, name) else column)
+    return _wall_micros(column) if is_wall(frame, name) else F.unix_micros(column)
 
 
 def wall_of(frame: DataFrame, name: str = "timestamp") -> Column:

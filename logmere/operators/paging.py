@@ -144,14 +144,20 @@ class Cursor(NamedTuple):
     ties: tuple[str, ...]
 
 
-def after(logs: DataFrame, cursor: Cursor, newest_first: bool = True) -> DataFrame:
-    """Rows strictly behind a place in the order."""
+def after(
+    logs: DataFrame,
+    cursor: Cursor,
+    newest_first: bool = True,
+    inclusive: bool = False,
+) -> DataFrame:
+    """Rows behind a place in the order, with those at it if ``inclusive``."""
     moment = F.col("timestamp")
     edge = micros_literal(cursor.micros, is_wall(logs))
     ties = F.struct(*[F.col(name) for name in TIE_COLUMNS])
     held = F.struct(*[F.lit(v).alias(n) for n, v in zip(TIE_COLUMNS, cursor.ties)])
     bound = moment <= edge if newest_first else moment >= edge
-    return logs.filter(bound & ((moment != edge) | (ties > held)))
+    behind = ties >= held if inclusive else ties > held
+    return logs.filter(bound & ((moment != edge) | behind))
 
 
 def copies_at(logs: DataFrame, cursor: Cursor) -> DataFrame:
@@ -168,8 +174,9 @@ def walk(
     """Pages one after another, each located by the last row of the page before.
 
     A page costs the same however deep it lies. Rows that are copies of one
-    another may straddle pages: their number is looked up and the rest of them
-    opens the next page, so nothing is skipped or repeated.
+    another may straddle pages: the rest of them opens the next page, so nothing
+    is skipped or repeated. In a run longer than a page they are not sorted
+    again; any of them will do, and their number tells how many are left.
     """
     matched = query.matching(logs).select(*LOG_COLUMNS)
     newest_first = query.newest_first
@@ -190,12 +197,17 @@ def walk(
         previous, last = last, place(rows[-1])
         ending = sum(1 for row in rows if place(row) == last)
         shown = shown + ending if last == previous else ending
+        if shown <= page_size:
+            # Rows equal to the last one come first; those shown are passed over.
+            rest = after(matched, last, newest_first, inclusive=True)
+            rows = fetch(_page(rest, shown, page_size, newest_first))
+            continue
         copies = copies_at(matched, last)
         left = min(copies.count() - shown, page_size)
         rows = fetch(copies.limit(left)) if left > 0 else []
         if len(rows) < page_size:
-            behind = after(matched, last, newest_first)
-            rows += fetch(_page(behind, 0, page_size - len(rows), newest_first))
+            rest = after(matched, last, newest_first)
+            rows += fetch(_page(rest, 0, page_size - len(rows), newest_first))
 
 
 def has_more(loaded: int, total: int) -> bool:
