@@ -19,7 +19,6 @@ from lakechecks.fixtures import (
 )
 from logmere.functions import (
     default_logid,
-    instant_from_wall,
     level_name,
     level_ordinal,
     logid_minute,
@@ -29,6 +28,7 @@ from logmere.functions import (
     wall_from_instant,
 )
 from logmere.functions.clock import moment_literal, wall_of
+from logmere.functions.logids import FILLERS
 from logmere.operators import combine, decode as decoding, filters, manifest as listing
 from logmere.operators import paging, reports
 from logmere.plans.compaction import (
@@ -289,8 +289,8 @@ def default_logids(spark: SparkSession, folder: str) -> DataFrame:
     )
     return logs.select(
         "event_id",
-        default_logid(given, "-").alias("go_logid"),
-        default_logid(given, "unknown").alias("python_logid"),
+        default_logid(given, FILLERS["go"]).alias("go_logid"),
+        default_logid(given, FILLERS["python"]).alias("python_logid"),
     )
 
 

@@ -31,7 +31,7 @@ from logmere.plans.compaction import (
 )
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import DEFAULT_TTL, plan_retention, retention_summary
-from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS, MANIFEST_COLUMNS
+from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS
 from logmere.session import work_folder
 from logmere.sources.logs import list_data_files, read_logs
 from logmere.table.snapshot import Snapshot, SnapshotLog
@@ -55,11 +55,14 @@ DELETE_THREADS = 32
 class FileLayout:
     """How log files are written.
 
-    Row groups hold up to 65,536 rows of a couple of hundred bytes; bloom filters
+    A stream batch is written to no more files than gives each at least
+    ``stream_rows_per_file`` rows (the last ones aside), however many tasks it was
+    read by; ``max_rows_per_file`` splits files, 0 leaves them whole. Row groups hold up to 65,536 rows of a couple of hundred bytes; bloom filters
     on the correlation id let a look-up skip row groups of high-cardinality ids.
     """
 
     max_rows_per_file: int = 0
+    stream_rows_per_file: int = 65_536
     row_group_bytes: int = 16 * 1024 * 1024
     compression: str = "snappy"
 

@@ -31,8 +31,8 @@ def sent_at(text):
 # payload, then the reason it is refused or the fields expected of it
 CASES = [
     (WHOLE, {"project": "p", "logid": "l", "level": "INFO", "message": "", "caller": ""}),
-    ('{"project":"p",%s,"message":"hi","caller":"a.go:7"}' % REST,
-     {"message": "hi", "caller": "a.go:7"}),
+    ('{"project":"p",%s,"message":"hi","caller":"a.py:7"}' % REST,
+     {"message": "hi", "caller": "a.py:7"}),
     (" \t\r\n" + WHOLE + " \n", {"project": "p"}),
     ('{"Project":"cs",%s}' % REST, {"project": "cs"}),
     ('{"PROJECT":"cs","LogID":"l","LEVEL":"WARN","meſſage":"long s"}',

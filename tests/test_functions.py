@@ -1,12 +1,12 @@
 """Expressions and reports."""
 
 import re
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, plain
+from conftest import at
 from logmere.functions import (
     default_logid,
     instant_from_wall,
@@ -70,9 +70,10 @@ def test_logids(spark):
 
 
 def test_split_caller(spark):
-    got = values(spark, split_caller, ["a.go:7", "C:\\x:y.py:12", "a.go", ":5", "a.go:", "", None], "string")
+    given = ["a.py:7", "C:\\x:y.py:12", "a.py", ":5", "a.py:", "", None]
+    got = values(spark, split_caller, given, "string")
     assert [tuple(r) for r in got] == [
-        ("a.go", 7), ("C:\\x:y.py", 12), (None, None), ("", 5), (None, None), (None, None), (None, None)]
+        ("a.py", 7), ("C:\\x:y.py", 12), (None, None), ("", 5), (None, None), (None, None), (None, None)]
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])

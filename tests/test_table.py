@@ -324,8 +324,8 @@ def test_compaction_in_waves_by_day(spark, table):
 
 def test_stable_order_of_equal_times(spark, table, make_logs):
     for message in "cab":
-        table.append(make_logs([("12:00:00", "p", "l", "INFO", message), ("11:00:00", "p", "l", "INFO", message)]),
-                     unit=f"u-{len(data_files(table))}")
+        rows = [(hour, "p", "l", "INFO", message) for hour in ("12:00:00", "11:00:00")]
+        table.append(make_logs(rows), unit=f"u-{len(data_files(table))}")
     table.compact(delete_now=True)
     (path,) = data_files(table)
     assert pq.read_table(path)["message"].to_pylist() == list("cabcab")
@@ -380,6 +380,17 @@ def test_only_junk_writes_no_log_file(spark, table, tmp_path):
     assert not Path(table.root, "data").exists() and table.dead_letters().count() == 1
 
 
+def test_stream_batch_is_written_to_few_files(spark, tmp_path):
+    wire = str(tmp_path / "wire")
+    write_wire(encode(some_logs(spark, n=200, parts=8)), wire)
+    records = read_wire(spark, wire, stream=False)
+    for rows, files in ((1000, 1), (100, 2)):
+        layout = FileLayout(stream_rows_per_file=rows)
+        table = LogTable(spark, str(tmp_path / f"t{rows}"), layout)
+        ingest_batch(table, records, "s", 0)
+        assert table.manifest().count() == files and table.read().count() == 200
+
+
 def test_rows_per_file(spark, tmp_path):
     table = LogTable(spark, str(tmp_path / "t"), FileLayout(max_rows_per_file=50))
     table.append(some_logs(spark, n=200, parts=1))
