@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from logmere.functions.clock import is_wall, micros_literal, micros_of
 from logmere.plans.query import LogQuery
 from logmere.schema import LOG_COLUMNS, TIE_COLUMNS
+from logmere.session import prepare_checkpoints
 
 # Up to this many rows a page is taken by top-k, which keeps them all per task.
 TOP_K_ROWS = 20_000
+# Rows per part when a page is looked for among rows of one time.
+PART_ROWS = 200_000
 # Widths in microseconds by which a deep page is located: day, minute,
 # millisecond, microsecond.
 SEEK_WIDTHS = [86_400_000_000, 60_000_000, 1_000, 1]
@@ -45,40 +48,83 @@ def _page(
     newest_first: bool,
     top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
-    if offset + limit > top_k_rows:
-        matched, offset = _seek(matched, offset, newest_first)
-    ordered = sort_logs(matched.select(*LOG_COLUMNS), newest_first)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
-
-
-def _seek(matched: DataFrame, offset: int, newest_first: bool) -> tuple[DataFrame, int]:
-    """Drop the rows before a deep offset without sorting them.
+    rows = matched.select(*LOG_COLUMNS)
+    if offset + limit <= top_k_rows:
+        ordered = sort_logs(rows, newest_first)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    found = _seek(rows, offset, newest_first)
+    if found is None:
+        return rows.filter(F.lit(False))
+    micros, skip, number = found
+    moment, edge = F.col("timestamp"), micros_literal(micros, is_wall(rows))
+    if skip + limit <= top_k_rows:
+        rest = rows.filter(moment <= edge if newest_first else moment >= edge)
+        return sort_logs(rest, newest_first).offset(skip).limit(limit)
+    here = _within_tie(rows.filter(moment == edge), skip, limit, number)
+    rest = rows.filter(moment < edge if newest_first else moment > edge)
+    behind = sort_logs(rest, newest_first).limit(limit)
+    return sort_logs(here.unionByName(behind), newest_first).limit(limit)
+
+
+def _seek(
+    rows: DataFrame, offset: int, newest_first: bool
+) -> tuple[int, int, int] | None:
+    """Where a deep offset falls, without sorting the rows before it.
 
     Counts per day, then per minute of the day found, and so on down to the
-    microsecond tell where the offset falls. What remains starts there, together
-    with the part of the offset that lies within that microsecond.
+    microsecond. Returns that microsecond, the part of the offset that lies
+    within it, and its number of rows; ``None`` past the end.
     """
-    wall = is_wall(matched)
-    moment, micros = F.col("timestamp"), micros_of(matched)
-    inside, low = matched, None
+    wall = is_wall(rows)
+    moment, micros = F.col("timestamp"), micros_of(rows)
+    inside, found = rows, None
     for width in SEEK_WIDTHS:
         bucket = micros - F.pmod(micros, F.lit(width))
         sizes = inside.groupBy(bucket.alias("low")).agg(F.count(F.lit(1)).alias("n"))
         order = F.col("low").desc() if newest_first else F.col("low").asc()
         for part in sizes.orderBy(order).toLocalIterator():
             if offset < part["n"]:
-                low = part["low"]
+                found = part
                 break
             offset -= part["n"]
         else:
-            return matched.filter(F.lit(False)), 0
-        inside = matched.filter(
+            return None
+        low = found["low"]
+        inside = rows.filter(
             moment.between(
                 micros_literal(low, wall), micros_literal(low + width - 1, wall)
             )
         )
-    edge = micros_literal(low, wall)
-    return matched.filter(moment <= edge if newest_first else moment >= edge), offset
+    return found["low"], offset, found["n"]
+
+
+def _within_tie(rows: DataFrame, offset: int, limit: int, number: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` among many of the same time.
+
+    The rows are spread by range over the tie columns and a salt, which parts
+    even rows that are equal throughout; the sizes of the parts tell which of
+    them hold the page. Fixing the spread as a checkpoint keeps it the same for
+    counting and reading.
+    """
+    prepare_checkpoints(rows.sparkSession)
+    parts = -(-number // PART_ROWS)
+    spread = (
+        rows.withColumn("_salt", F.rand(1))
+        .repartitionByRange(parts, *TIE_COLUMNS, "_salt")
+        .withColumn("_part", F.spark_partition_id())
+        .checkpoint()
+    )
+    first = last = None
+    before = 0
+    for part in spread.groupBy("_part").count().orderBy("_part").toLocalIterator():
+        if first is None and offset < before + part["count"]:
+            first, skip = part["_part"], offset - before
+        before += part["count"]
+        last = part["_part"]
+        if before >= offset + limit:
+            break
+    chosen = spread.filter(F.col("_part").between(first, last)).select(*rows.columns)
+    return sort_logs(chosen).offset(skip).limit(limit)
 
 
 def page(

@@ -155,6 +155,22 @@ def rows_of(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
+def test_deep_page_among_rows_of_one_time(spark, monkeypatch):
+    """Most rows share a time, and half of those are copies of one row."""
+    monkeypatch.setattr(paging, "PART_ROWS", 25)
+    rnd = random.Random(9)
+    same = [(at("00:00:00"), "p", f"l{rnd.randrange(50)}", "INFO", "m", "") for _ in range(150)]
+    same += [(at("00:00:00"), "p", "l7", "INFO", "m", "")] * 150
+    other = [(at(f"00:00:{s:02d}"), "p", "l", "INFO", "m", "") for s in range(1, 40)]
+    logs = spark.createDataFrame(same + other, LOG_SCHEMA).repartition(4)
+    for order in ("asc", "desc"):
+        whole = paging.sort_logs(logs, order != "asc").collect()
+        for offset in (60, 290):
+            query = LogQuery(offset=offset, limit=30, order=order)
+            got = paging.page(logs, query, top_k_rows=40).collect()
+            assert [tuple(r) for r in got] == [tuple(r) for r in whole[offset : offset + 30]]
+
+
 def test_live_tail(spark, monkeypatch):
     logs = many(spark, 7)
     want = []
