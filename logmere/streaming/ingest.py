@@ -81,6 +81,8 @@ def ingest(
         # The identity Spark keeps in the checkpoint: a new checkpoint counts
         # its batches anew and must not be mistaken for the old one.
         stream = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID)
+        if not stream:
+            raise RuntimeError("the identity of the stream is not known")
         ingest_batch(table, batch, stream, batch_id)
 
     writer = records.writeStream.foreachBatch(take_in).option(
