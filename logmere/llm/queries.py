@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logmere.llm import quality_rules, sharding
+from logmere.llm import line_dedup, mixing, quality_rules, sharding, simhash_near_dedup
 
 REGISTRY: dict = {}
 
+#: Parts of the mixture; sources that aren't named share one part.
+TARGET_WEIGHTS = {
+    **{"src0": 12, "src1": 6, "src2": 6, "src3": 4, "src4": 4},
+    **{f"src{k}": 2 for k in range(5, 20)},
+}
+
 
 def query(make):
     """Register under the function's name."""
@@ -45,3 +51,28 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "kept",
         "quality",
     )
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash_near_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", simhash_near_dedup.hex_of(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        "lines_gone",
+        F.length("text").cast("long").alias("chars_left"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), TARGET_WEIGHTS)
+    return mixed.select("doc_id", "source", "position")
