@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logmere.llm import line_dedup, mixing, quality_rules, sharding, simhash_near_dedup
+from logmere.llm import (
+    line_dedup,
+    mixing,
+    quality_rules,
+    sentencepiece_nbest,
+    sharding,
+    simhash_near_dedup,
+)
 
 REGISTRY: dict = {}
 
@@ -76,3 +83,21 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), TARGET_WEIGHTS)
     return mixed.select("doc_id", "source", "position")
+
+
+@query
+def op1_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_rows(table(spark, folder, "documents"))
+
+
+def sentencepiece_rows(docs: DataFrame) -> DataFrame:
+    """Digests of the best ids, the scores of the best paths, and the checksum of the decoded text."""
+    decoded = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs))
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "score",
+        F.transform("others", lambda x: x["score"]).alias("next_scores"),
+        F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"),
+    )
