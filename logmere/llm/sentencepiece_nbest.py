@@ -17,6 +17,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 from typing import NamedTuple
 
@@ -31,6 +32,8 @@ LITERAL = "x" + SPACE
 UNKNOWN_PENALTY = 10.0
 #: Stretches remembered by a task; when they are more, it starts afresh.
 REMEMBERED = 400_000
+#: Longer stretches are searched one by one.
+MOST_TOGETHER = 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 
@@ -60,6 +63,9 @@ class Change(NamedTuple):
     ids: bytes
 
 
+Encoded = tuple[bytes, float, list[tuple[float, list[Change]]]]
+
+
 class Pieces:
     """The vocabulary of a model, and the search in its lattices."""
 
@@ -96,9 +102,20 @@ class Pieces:
         for piece in self.scores:
             self.begun |= {piece[:k]: None for k in range(1, len(piece)) if piece[:k] not in self.begun}
         self.begun |= self.scores
+        self._grow_trie()
         self.known: dict[str, Found] = {}
         self.alternatives: dict[str, list[Path]] = {}
 
+    def _grow_trie(self) -> None:
+        """Arrays of the beginnings of pieces: (node, character) to node, and what ends there."""
+        node = {"": 0} | {text: k for k, text in enumerate(self.begun, 1)}
+        keys = np.array([node[t[:-1]] << 21 | ord(t[-1]) for t in self.begun], np.int64)
+        order = np.argsort(keys)
+        self.trie_keys, self.trie_nodes = keys[order], order + 1
+        ended = [self.begun[t] or (-1, 0.0) for t in self.begun]
+        self.node_piece = np.array([-1] + [k for k, _ in ended], np.int32)
+        self.node_score = np.array([0.0] + [x for _, x in ended])
+
     def unknown(self, char: str) -> list[int]:
         """A character without a piece, as byte pieces if the model has them."""
         raw = char.replace(SPACE, " ").encode("utf-8", "replace")
@@ -150,19 +167,95 @@ class Pieces:
             ids.extend([piece] if piece >= 0 else self.unknown(stretch[start:end]))
         return np.array(ids, np.int32).tobytes()
 
-    def found(self, stretch: str) -> Found:
-        """Forward Viterbi with the two best scores of each place, and the best path."""
-        if stretch == LITERAL:
-            path = self.search(stretch, 1)[0]
-            known = (path.ids, path.score, math.inf)
-        else:
-            known = self._viterbi(stretch)
+    def learn(self, stretches: set[str]) -> None:
+        """Find and remember the best paths of those that aren't known."""
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[stretch] = known
-        return known
+        new = [x for x in stretches if x not in self.known]
+        single = [x for x in new if len(x) > MOST_TOGETHER or x == LITERAL]
+        self._learn_together([x for x in new if len(x) <= MOST_TOGETHER and x != LITERAL], single)
+        for stretch in single:
+            if stretch == LITERAL:
+                path = self.search(stretch, 1)[0]
+                self.known[stretch] = (path.ids, path.score, math.inf)
+            else:
+                self.known[stretch] = self._viterbi(stretch)
+
+    def _learn_together(self, stretches: list[str], left: list[str]) -> None:
+        """Forward Viterbi over many short stretches at once; those with a character that has no
+        piece are put on ``left``."""
+        if not stretches:
+            return
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        end_of = np.cumsum(size)
+        start_of = end_of - size
+        owner = np.repeat(np.arange(len(size)), size)
+        # A place is a character's start, or the end of a stretch; stretch k has size + 1 places.
+        shift = owner  # from a character to its place
+        begin, stop = start_of + np.arange(len(size)), end_of + np.arange(len(size))
+        whole = np.ones(len(size), bool)
+        walking, nodes = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        edges: dict[tuple[int, int], tuple] = {}
+        for length in range(1, self.longest + 1):
+            keys = nodes << 21 | codes[walking + length - 1]
+            at = np.minimum(np.searchsorted(self.trie_keys, keys), len(self.trie_keys) - 1)
+            there = self.trie_keys[at] == keys
+            if length == 1:
+                alone = there & (self.node_piece[self.trie_nodes[at]] >= 0)
+                whole[owner[~alone]] = False
+            walking, nodes = walking[there], self.trie_nodes[at[there]]
+            piece = self.node_piece[nodes]
+            ends = piece >= 0
+            first = walking[ends]
+            last = first - start_of[owner[first]] + length  # how far into its stretch
+            for far in np.unique(last):
+                some = last == far
+                edges[int(far), length] = (
+                    (first + shift[first])[some],
+                    piece[ends][some],
+                    self.node_score[nodes[ends]][some],
+                )
+            more = walking + length < end_of[owner[walking]]
+            walking, nodes = walking[more], nodes[more]
+            if not len(walking):
+                break
+        best = np.full(len(codes) + len(size), -np.inf)
+        second, back, chosen = best.copy(), np.zeros(len(best), np.int64), np.zeros(len(best), np.int32)
+        best[begin] = 0.0
+        # Longer pieces first, as the one search does it: of equal scores the first one stays.
+        for far, length in sorted(edges, key=lambda e: (e[0], -e[1])):
+            first, piece, score = edges[far, length]
+            end = first + length
+            one, two = best[first] + score, second[first] + score
+            better = one > best[end]
+            second[end] = np.where(better, np.maximum(best[end], two), np.maximum(second[end], one))
+            back[end] = np.where(better, first, back[end])
+            chosen[end] = np.where(better, piece, chosen[end])
+            best[end] = np.maximum(best[end], one)
+        place, active, found = stop.copy(), np.flatnonzero(whole), []
+        while len(active):
+            found.append((active, chosen[place[active]]))
+            place[active] = back[place[active]]
+            active = active[place[active] > begin[active]]
+        counts = np.zeros(len(size), np.int64)
+        for own, _ in found:
+            counts[own] += 1
+        upto = np.cumsum(counts)
+        ids = np.zeros(int(upto[-1]), np.int32)
+        for back_by, (own, piece) in enumerate(found, 1):
+            ids[upto[own] - back_by] = piece
+        raw, cuts = ids.tobytes(), [0, *(4 * upto).tolist()]
+        top = best[stop].tolist()
+        extra = np.subtract(best[stop], second[stop], where=whole, out=np.zeros(len(stop))).tolist()
+        for k, (stretch, fine) in enumerate(zip(stretches, whole.tolist(), strict=True)):
+            if fine:
+                self.known[stretch] = (raw[cuts[k] : cuts[k + 1]], top[k], extra[k])
+            else:
+                left.append(stretch)
 
     def _viterbi(self, stretch: str) -> Found:
+        """Forward Viterbi with the two best scores of each place, and the best path."""
         size, get, longest, unknown = len(stretch), self.begun.get, self.longest, self.unknown_score
         best, second, back = [-math.inf] * (size + 1), [-math.inf] * (size + 1), [None] * (size + 1)
         best[0] = 0.0
@@ -209,33 +302,43 @@ class Pieces:
             parts.extend(self.stretches.findall(part.replace(" ", SPACE)))
         return parts
 
-    def encode(self, text: str, n: int) -> tuple[bytes, float, list[tuple[float, list[Change]]]]:
+    def encode_all(self, texts: list[str | None], n: int) -> list[Encoded | None]:
+        parts = [self.cut(t) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        return [
+            None if t is None else self._encoded(p, n) for t, p in zip(texts, parts, strict=True)
+        ]
+
+    def encode(self, text: str, n: int) -> Encoded:
         """Ids and score of the best path, and the next ``n - 1`` as changes of it."""
-        if not text:
+        return self.encode_all([text], n)[0]
+
+    def _encoded(self, parts: list[str], n: int) -> Encoded:
+        if not parts:
             return b"", 0.0, []
-        parts, get = self.cut(text), self.known.get
-        found = [get(p) or self.found(p) for p in parts]
-        ids = b"".join([f[0] for f in found])
-        score = math.fsum([f[1] for f in found])
-        return ids, score, self._others(parts, found, score, n) if n > 1 else []
+        ids, scores, extras = zip(*map(self.known.__getitem__, parts), strict=True)
+        score = math.fsum(scores)
+        others = self._others(parts, ids, extras, score, n) if n > 1 else []
+        return b"".join(ids), score, others
 
-    def _others(self, parts: list[str], found: list[Found], score: float, n: int) -> list:
+    def _others(self, parts: list[str], ids: tuple, extras: tuple, score: float, n: int) -> list:
         """Any path outside of the ``n - 1`` cheapest places costs as much as ``n - 1`` others."""
-        cheap = heapq.nsmallest(n - 1, zip([f[2] for f in found], range(len(found)), strict=True))
+        cheap = heapq.nsmallest(n - 1, zip(extras, range(len(extras)), strict=True))
         places = sorted(at for extra, at in cheap if extra < math.inf)
         choices = [self.several(parts[at], n) for at in places]
         costs = [[paths[0].score - p.score for p in paths] for paths in choices]
-        start = (0,) * len(places)
-        heap, seen, others = [(0.0, start)], {start}, []
-        starts = {}
-        if places:
-            length = np.cumsum([0] + [len(f[0]) // 4 for f in found])
-            starts = {at: int(length[at]) for at in places}
+        starts, before, size = [], 0, 0
+        for at in places:
+            size += sum(map(len, ids[before:at])) // 4
+            starts.append(size)
+            before = at
+        origin = (0,) * len(places)
+        heap, seen, others = [(0.0, origin)], {origin}, []
         while heap and len(others) < n:
             cost, ranks = heapq.heappop(heap)
             changes = [
-                Change(starts[at], len(found[at][0]) // 4, paths[rank].ids)
-                for at, paths, rank in zip(places, choices, ranks, strict=True)
+                Change(start, len(ids[at]) // 4, paths[rank].ids)
+                for at, start, paths, rank in zip(places, starts, choices, ranks, strict=True)
                 if rank
             ]
             others.append((score - cost, changes))
@@ -253,6 +356,12 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def loaded(proto: bytes) -> Pieces:
+    """One for each worker process, with what it remembers."""
+    return Pieces(proto)
+
+
 def changed(ids: list[int], changes: list) -> list[int]:
     """The ids of another path, from the best one's."""
     out, at = [], 0
@@ -316,14 +425,11 @@ def encode(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto.value)
+        pieces = loaded(proto.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                done = [
-                    None if t is None else pieces.encode(t, n)
-                    for t in batch.column("text").to_pylist()
-                ]
+                done = pieces.encode_all(batch.column("text").to_pylist(), n)
                 sizes = np.cumsum([0] + [0 if d is None else len(d[0]) // 4 for d in done])
                 values = np.frombuffer(b"".join([d[0] for d in done if d is not None]), np.int32)
                 empty = pa.array([d is None for d in done], pa.bool_())
@@ -375,7 +481,7 @@ def decode(
     given = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto.value)
+        pieces = loaded(proto.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
