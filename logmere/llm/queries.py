@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logmere.llm import (
+    license_scans,
     line_dedup,
     mixing,
     quality_rules,
@@ -101,3 +102,8 @@ def sentencepiece_rows(docs: DataFrame) -> DataFrame:
         F.transform("others", lambda x: x["score"]).alias("next_scores"),
         F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"),
     )
+
+
+@query
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scans.summary(license_scans.scan(table(spark, folder, "documents")))
