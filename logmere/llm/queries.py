@@ -12,7 +12,9 @@ from logmere.llm import (
     sentencepiece_nbest,
     sharding,
     simhash_near_dedup,
+    url_filters,
 )
+from logmere.llm.url_filters import ALLOW, BLOCK, Rule
 
 REGISTRY: dict = {}
 
@@ -22,6 +24,14 @@ TARGET_WEIGHTS = {
     **{f"src{k}": 2 for k in range(5, 20)},
 }
 
+URL_RULES = (
+    Rule(ALLOW, "org", "/"),
+    Rule(BLOCK, "example.org", "/es/"),
+    Rule(BLOCK, "example.org", "/en/1"),
+    Rule(ALLOW, "com", "/fr/"),
+    Rule(BLOCK, "com", "/de/"),
+)
+
 
 def query(make):
     """Register under the function's name."""
@@ -107,3 +117,8 @@ def sentencepiece_rows(docs: DataFrame) -> DataFrame:
 @query
 def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return license_scans.summary(license_scans.scan(table(spark, folder, "documents")))
+
+
+@query
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge(table(spark, folder, "pages"), URL_RULES)
