@@ -9,6 +9,7 @@ from logmere.session import work_folder
 SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 BUCKET_DIGITS = 3
+BROADCAST_ROWS = 500_000
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written side of a join, of few numbers a row: broadcast only if it is small."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def words(text: Column) -> Column:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and return."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

@@ -12,13 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmere.llm.common import NOT_SPACE, stored
+from logmere.llm.common import BROADCAST_ROWS, NOT_SPACE, checked, stored
 
 LEAST_CHARS = 30
 MOST_CORE = 32
 PARTS = 16
-#: A side of a join is broadcast up to so many rows of a few numbers, and shuffled beyond.
-BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 
 HASH = [("h1", 0), ("h2", 1)]
@@ -29,11 +27,6 @@ def _hashes(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(salt), text).alias(name) for name, salt in HASH]
 
 
-def _checked(rows: DataFrame) -> DataFrame:
-    """A written side of a join: broadcast only if it is small."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """``(doc, at, line)``: lines long enough, with a word, and their places."""
     pieces = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -134,7 +127,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     ``lines``: one row for each different line with ``h1, h2, first`` and the array ``keys``.
     """
     keyed = lines.select("h1", F.explode("keys").alias("key"))
-    keys = _checked(_shared(keyed))
+    keys = checked(_shared(keyed))
     wanted = (
         lines.select("h1", "h2", "first", F.explode("keys").alias("key"))
         .join(keys, "key", "left_semi")
@@ -144,7 +137,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     wanted = stored(wanted, "line-candidates")
     texts = _lines(docs, least).select("doc", "at", "line", *_hashes(F.col("line")))
     texts = (
-        texts.join(_checked(wanted), ["h1", "h2"])
+        texts.join(checked(wanted), ["h1", "h2"])
         .filter(F.col("doc") == F.col("first"))
         .groupBy("h1", "h2", "first", "line")
         .agg(F.min("at").alias("at"))
@@ -274,7 +267,7 @@ def dedup_lines(
     gone = (
         _lines(given, least_chars)
         .select("doc", *_hashes(line))
-        .join(_checked(repeated), ["h1", "h2"])
+        .join(checked(repeated), ["h1", "h2"])
         .filter(goes)
         .groupBy("doc")
         .agg(F.collect_set("h1").alias("gone"))

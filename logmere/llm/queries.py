@@ -12,6 +12,7 @@ from logmere.llm import (
     sentencepiece_nbest,
     sharding,
     simhash_near_dedup,
+    toxicity,
     url_filters,
 )
 from logmere.llm.url_filters import ALLOW, BLOCK, Rule
@@ -122,3 +123,8 @@ def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))

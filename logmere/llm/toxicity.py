@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-A bounded sample of labelled documents is split by digest into three parts: one says which words and
-word beginnings belong to the lexicon, one trains the trees, one calibrates their output. All
-documents then get features in one pass and scores from the fitted models.
+A bounded sample of labelled documents is split by digest into three parts. Two of them train the
+trees, each with features from the lexicon (words and word beginnings) that the other one teaches;
+the third calibrates the trees' output, with the lexicon of both. All documents then get features
+from that lexicon in one pass, and scores from the fitted models.
 """
 
 from __future__ import annotations
@@ -11,20 +12,22 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logmere.llm.common import stored
+from logmere.llm.common import checked, stored
 
 #: Labelled documents that are used at most, the first ones by digest of the id.
 MOST_LABELLED = 24_000
 MOST_TERMS = 2_000
-LEAST_EVIDENCE = 20.0
+LEAST_EVIDENCE = 18.0
+LEAST_ODDS = 2.0
 LEAST_DOCUMENTS = 4
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, STEP = 20, 3, 0.2
@@ -32,14 +35,18 @@ THRESHOLD = 0.7
 #: This share of the score is the trees' own, so that equally calibrated documents keep an order.
 OWN_SHARE = 0.01
 NEAR_WORDS = 6
+#: Parts of the sample, out of 100: the two that teach and train end here, the rest calibrates.
+FIRST_END, SECOND_END = 42, 84
 FILES = 4
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 NATIVE_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-MIXED = re.compile(r"[a-z]+[0-9@$*!|]+[a-z0-9@$*!|]*[a-z]")
+MIXED = re.compile(
+    r"(?<![a-z0-9@$])(?=[a-z]*[0-9@$])(?=[0-9@$]*[a-z])[a-z0-9@$]{3,24}(?![a-z0-9@$])"
+)
 STRETCHED = re.compile(r"([a-zà-ÿ])\1\1+")
-PLAIN = str.maketrans("013457@$!|", "oieastasil")
+PLAIN = str.maketrans("013457@$", "oieastas")
 
 #: Insults and pronouns of the second person.
 INSULTS = frozenset(
@@ -194,6 +201,31 @@ def sampled_labels(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     )
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One of texts that share the smallest hash of their shingles, by either of two hashes.
+
+    Copies of one toxic text would make all its words look toxic. Those that share a passage may go
+    as well; it is a sample.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(NATIVE_WORD), 0)
+    rows = sample.withColumn("words", F.coalesce(words, F.array())).withColumn(
+        "hashes",
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 2)),
+            lambda k: F.xxhash64(F.slice("words", k, 3)),
+        ),
+    )
+    keyed = rows.select(
+        *sample.columns,
+        F.array_min("hashes").alias("low"),
+        F.array_min(F.transform("hashes", lambda h: F.xxhash64(h))).alias("other"),
+    )
+    for key in ("low", "other"):
+        first = Window.partitionBy(key).orderBy("doc")
+        keyed = keyed.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    return keyed.select(*sample.columns)
+
+
 def learned_lexicon(sample: DataFrame) -> Lexicon:
     """Words and beginnings that toxic texts have far more often, from ``(text, toxic)``."""
     sums = sample.agg(F.sum("toxic"), F.count(F.lit(1))).head()
@@ -228,7 +260,7 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
     found = (
         terms.withColumns({"evidence": evidence, "odds": odds})
         .filter((F.col("bad") >= LEAST_DOCUMENTS) & (F.col("evidence") >= LEAST_EVIDENCE))
-        .filter(F.col("odds") > 1.5)
+        .filter(F.col("odds") > LEAST_ODDS)
         .orderBy(F.desc("evidence"), "k", "term")
         .limit(MOST_TERMS)
         .collect()
@@ -276,7 +308,7 @@ def fitted(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> Scorer:
-    """Lexicon from half of the sample, trees from a third, calibration from the rest."""
+    """Lexicon and trees from two parts of the sample, calibration from the third."""
     chosen = stored(sampled_labels(labels, most_labelled), "toxicity-labels")
     # The sample has at most ``most_labelled`` short rows.
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
@@ -284,13 +316,19 @@ def fitted(
         texts.join(F.broadcast(chosen), "doc").select("doc", "text", "toxic", "part").coalesce(FILES),
         "toxicity-sample",
     )
+    sample = stored(without_copies(sample), "toxicity-texts")
     counted = sample.agg(F.sum("toxic"), F.count(F.lit(1))).head()
     usual = ((counted[0] or 0) + 1) / (counted[1] + 20)
-    lexicon = learned_lexicon(sample.filter("part < 50"))
-    rows = stored(
-        featured(sample.filter("part >= 50"), lexicon, "part long, toxic int"), "toxicity-features"
-    )
-    train, check = rows.filter("part < 85"), rows.filter("part >= 85")
+    first, second = F.col("part") < FIRST_END, F.col("part") < SECOND_END
+    lexicon = learned_lexicon(sample.filter(second))
+    taught = [
+        (sample.filter(first), learned_lexicon(sample.filter(second & ~first))),
+        (sample.filter(second & ~first), learned_lexicon(sample.filter(first))),
+        (sample.filter(~second), lexicon),
+    ]
+    parts = [featured(rows, known, "part long, toxic int") for rows, known in taught]
+    rows = stored(reduce(DataFrame.unionByName, parts), "toxicity-features")
+    train, check = rows.filter(second), rows.filter(~second)
     both = [r.select("toxic").distinct().count() == 2 for r in (train, check)]
     if not all(both):
         return Scorer(lexicon, usual)
@@ -340,4 +378,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The rows of ``docs`` that aren't rejected; rows of one id go together, if any of them goes."""
     judged = scored(docs, labels, threshold)
     bad = judged.filter("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = checked(stored(bad, "toxic-documents"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

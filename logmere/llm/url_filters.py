@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmere.llm.common import stored
+from logmere.llm.common import checked, stored
 
 ALLOW, BLOCK = "allow", "block"
 DAMPING = 0.85
@@ -20,8 +20,6 @@ ROUNDS = 30
 SETTLED = 1e-6
 MOST_DISTRUST = 0.75
 DIGITS = 9
-#: Hosts are broadcast up to so many, and shuffled beyond.
-BROADCAST_HOSTS = 200_000
 LINK = "(?i)<a\\s[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/\"'?#\\s>]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -177,7 +175,7 @@ def judge(
         ),
         "host-distrust",
     )
-    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    side = checked(hosts)
     judged = ruled.join(side, ruled["host"] == side["of"], "left")
     own = F.when(F.col("distrust") > most_distrust, BLOCK).otherwise(ALLOW)
     return judged.select(
