@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logmere.session import work_folder
 
@@ -12,6 +16,23 @@ BUCKET_DIGITS = 3
 BROADCAST_ROWS = 500_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python tasks import this package: Spark serves an archive of it from the driver."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = work_folder(rows.sparkSession, name)

@@ -8,6 +8,7 @@ from logmere.llm import (
     license_scans,
     line_dedup,
     mixing,
+    nearest_neighbours,
     quality_rules,
     sentencepiece_nbest,
     sharding,
@@ -128,3 +129,8 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours.nearest(table(spark, folder, "embeddings"))

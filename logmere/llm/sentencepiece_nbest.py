@@ -26,6 +26,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from logmere.llm.common import ship_package
+
 SPACE = "▁"
 #: What stands for a literal U+2581 of a text; no other stretch has this form.
 LITERAL = "x" + SPACE
@@ -372,6 +374,7 @@ def changed(ids: list[int], changes: list) -> list[int]:
 
 
 def _proto(docs: DataFrame, model: str):
+    ship_package(docs.sparkSession)
     with open(model, "rb") as file:
         return docs.sparkSession.sparkContext.broadcast(file.read())
 

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logmere.llm.common import checked, stored
+from logmere.llm.common import checked, ship_package, stored
 
 #: Labelled documents that are used at most, the first ones by digest of the id.
 MOST_LABELLED = 24_000
@@ -309,6 +309,7 @@ def fitted(
     text_column: str = "text",
 ) -> Scorer:
     """Lexicon and trees from two parts of the sample, calibration from the third."""
+    ship_package(docs.sparkSession)
     chosen = stored(sampled_labels(labels, most_labelled), "toxicity-labels")
     # The sample has at most ``most_labelled`` short rows.
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
