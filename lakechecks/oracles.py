@@ -268,6 +268,15 @@ UNION ALL SELECT file, 'unindexed_file' FROM present WHERE file NOT IN (FROM lis
         f"SELECT {SIX} FROM logs WHERE project = 'billing-service' AND \"timestamp\""
         " BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'"
     ),
+    "lookup_damaged": over_logs(
+        "SELECT count(*) AS count, CAST(1 AS INTEGER) AS skipped_files FROM logs"
+        " WHERE project = 'billing-service' AND level <> 'ERROR'"
+    ),
+    "read_many_files": over_logs(f"SELECT {SIX} FROM logs"),
+    "retention_freed": over_logs(
+        "SELECT count(*) AS rows_left, CAST(0 AS INTEGER) AS unlisted_files FROM logs"
+        f" WHERE \"timestamp\" > {NOW} - INTERVAL 14 DAY"
+    ),
     "table_audit": over_logs(
         "SELECT 'unindexed_file' AS finding, TRUE AS found, CAST(count(*) AS INTEGER) AS rows"
         " FROM logs"

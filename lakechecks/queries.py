@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -506,6 +506,28 @@ def table_pruned_rows(spark: SparkSession, folder: str) -> DataFrame:
     return in_utc(request.matching(table.read(request)))
 
 
+@query
+def lookup_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """A listed file is lost: the look-up says so beside its total."""
+    table = new_table(spark, "damaged")
+    logs = events_as_logs(spark, folder, instants=True)
+    table.append(logs.filter(F.col("level") != "ERROR").repartition(4))
+    table.append(logs.filter(F.col("level") == "ERROR").coalesce(1), unit="lost")
+    name = table.manifest().filter(F.startswith("file", F.lit("lost"))).head()["file"]
+    table.log.delete(f"data/{name}")
+    found = table.lookup(LogQuery(project="billing-service"), tolerate_corrupt=True)
+    return found.select("count", "skipped_files")
+
+
+@query
+def read_many_files(spark: SparkSession, folder: str) -> DataFrame:
+    """More files than one scan names."""
+    table = new_table(spark, "many")
+    table.files_per_scan = 7
+    table.append(events_as_logs(spark, folder, instants=True).repartition(40))
+    return in_utc(table.read())
+
+
 @query
 def table_audit(spark: SparkSession, folder: str) -> DataFrame:
     """A write that was never committed shows up; rows stay those committed."""
@@ -524,6 +546,25 @@ def table_audit(spark: SparkSession, folder: str) -> DataFrame:
 # -- upkeep --------------------------------------------------------------
 
 
+@query
+def retention_freed(spark: SparkSession, folder: str) -> DataFrame:
+    """After very many commits a sweep and a vacuum leave only listed files."""
+    table = new_table(spark, "freed")
+    logs = events_as_logs(spark, folder, instants=True)
+    limit = F.lit((NOW - timedelta(days=14)).replace(tzinfo=timezone.utc))
+    table.append(logs.filter(F.col("timestamp") <= limit).repartition(3))
+    table.append(logs.filter(F.col("timestamp") > limit).repartition(3))
+    for batch in range(120):
+        table.log.commit(table.snapshot(), streams={"s": batch})
+    table.apply_retention(NOW)
+    table.vacuum(datetime.now(timezone.utc) + timedelta(days=2))
+    on_disk, listed = table.files_on_disk().count(), table.manifest().count()
+    return table.read().agg(
+        F.count(F.lit(1)).alias("rows_left"),
+        F.lit(on_disk - listed).cast("int").alias("unlisted_files"),
+    )
+
+
 @query
 def retention_plan(spark: SparkSession, folder: str) -> DataFrame:
     manifest = manifest_of(spark, folder)

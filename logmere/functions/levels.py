@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 LEVELS = ["DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 DEFAULT_LEVEL = "INFO"
 
-# Numeric severities of the two logging front ends.
+# Numeric severities of the two kinds of producers.
 PYTHON_SEVERITIES = {10: "DEBUG", 20: "INFO", 30: "WARN", 40: "ERROR", 50: "FATAL"}
 SLOG_THRESHOLDS = [(8, "ERROR"), (4, "WARN"), (0, "INFO")]
 SLOG_BELOW = "DEBUG"

@@ -36,8 +36,3 @@ def merge_unique(logs: DataFrame, arrival: list[str]) -> DataFrame:
         .select(*COPY_KEY, *[F.col("_first")[name].alias(name) for name in others])
         .select(*LOG_COLUMNS)
     )
-
-
-def drop_late_copies(logs: DataFrame, delay: str) -> DataFrame:
-    """Streaming form: drops copies whose times lie within ``delay``."""
-    return logs.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(COPY_KEY)

@@ -45,6 +45,10 @@ _STRICT = {
     "allowSingleQuotes": "false",
     "allowUnquotedControlChars": "false",
     "allowUnquotedFieldNames": "false",
+    # An object may be nested 10,000 deep, and the frame adds one; lengths have no limit of their own.
+    "maxNestingDepth": "10001",
+    "maxNumLen": "2147483647",
+    "maxStringLen": "2147483647",
 }
 _NAMES = "|".join(LOG_COLUMNS)
 # A quote inside a JSON string is escaped, so these match keys only.

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logmere.functions.clock import as_utc, is_wall, moment_literal
-from logmere.functions.levels import level_ordinal, ordinal_of
+from logmere.functions.levels import DEFAULT_LEVEL, LEVELS, ordinal_of
 
 # Time presets in minutes; "custom" leaves the window open.
 PRESETS = {"15m": 15, "1h": 60, "6h": 360, "24h": 1440, "72h": 4320}
@@ -29,7 +29,12 @@ def by_level(logs: DataFrame, level: str) -> DataFrame:
 
 
 def min_level(logs: DataFrame, level: str) -> DataFrame:
-    return logs.filter(level_ordinal(F.col("level")) >= ordinal_of(level))
+    """Rows at or above a level, unknown ones counting as INFO; the filter reaches a Parquet scan."""
+    lowest, name = ordinal_of(level), F.col("level")
+    if lowest > LEVELS.index(DEFAULT_LEVEL):
+        return logs.filter(name.isin(LEVELS[lowest:]))
+    below = LEVELS[:lowest]
+    return logs.filter(~name.isin(below) | name.isNull()) if below else logs
 
 
 def within(

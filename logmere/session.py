@@ -8,15 +8,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only if unset."""
+    """The folder the cluster names for checkpoints.
+
+    Unset, a local session (one machine, as in tests) gets a temporary folder of its own; on a
+    cluster that is an error, as executors and driver would not see each other's files. No setting
+    of the session is changed.
+    """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="logmere-")
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not _is_local(spark.sparkContext.master):
+        raise RuntimeError(f"{SETTING} must name a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="logmere-")
+    return _LOCAL[application]
+
+
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def prepare_checkpoints(spark: SparkSession) -> None:

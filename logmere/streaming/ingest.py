@@ -25,9 +25,9 @@ def ingest_batch(
 ) -> Snapshot:
     """Take one batch of wire records into the table.
 
-    The batch is written to a unit named after stream and number, replacing what
-    a failed attempt may have left there, and becomes visible with one commit
-    that also records the number. A batch that was committed before is passed
+    The batch is written to a unit named after stream and number, each attempt to
+    a folder of its own, and becomes visible with one commit that also records
+    the number. A batch that was committed before is passed
     over, so a replay changes nothing. Records without a time get the time they
     arrived at the source, which a replay repeats.
     """

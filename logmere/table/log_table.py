@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,13 +35,13 @@ from logmere.plans.retention import DEFAULT_TTL, plan_retention, retention_summa
 from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS
 from logmere.session import work_folder
 from logmere.sources.logs import list_data_files, read_logs
-from logmere.table.snapshot import Snapshot, SnapshotLog
+from logmere.table.snapshot import CommitConflict, Snapshot, SnapshotLog
 
-# Surviving files are passed to the scan by name up to this many; beyond that the
-# units they belong to, up to the same number, and beyond that the whole folder.
-NAMED_FILES = 10_000
-# What is read by unit or folder is filtered by a list of file names: broadcast up
-# to this many (some 100 bytes each), shuffled after that.
+# Surviving files are named to the scan, so many in each; the scans of more are put
+# together. A scan's own index of its files is larger than the names.
+FILES_PER_SCAN = 10_000
+# A list of file names beside a scan is broadcast up to this many (some 100 bytes
+# each), shuffled after that.
 BROADCAST_FILES = 1_000_000
 # Batches merged by one job; more of them are merged in several jobs, each
 # committed by itself, so the shuffle stays small however long the backlog.
@@ -48,6 +49,8 @@ WAVE_BATCHES = 2_000
 # How long unlisted files are kept: for readers of earlier versions, and for
 # writes that have not been committed yet.
 GRACE = timedelta(days=1)
+# Stands between a unit and the attempt to write it.
+ATTEMPT = "~"
 DELETE_THREADS = 32
 
 
@@ -86,6 +89,7 @@ class LogTable:
         self.spark = spark
         self.root = root.rstrip("/")
         self.layout = layout or FileLayout()
+        self.files_per_scan = FILES_PER_SCAN
         self.log = SnapshotLog(spark, self.root)
 
     # -- reading ---------------------------------------------------------
@@ -118,53 +122,63 @@ class LogTable:
     def _read_files(
         self, manifest: DataFrame, *, tolerate_corrupt: bool, with_file: bool
     ) -> DataFrame:
-        def finish(rows: DataFrame) -> DataFrame:
-            if not with_file:
-                return rows.select(*LOG_COLUMNS)
-            return rows.withColumn("file", _relative(F.col("file_path"))).drop("file_path")
-
-        def named(names: DataFrame) -> list[str]:
-            return [r[0] for r in names.limit(NAMED_FILES + 1).collect()]
+        """Rows of exactly the listed files; one that is missing is an error unless tolerated."""
 
-        def read(names, with_file: bool = with_file) -> DataFrame:
-            return read_logs(
+        def read(names: list[str]) -> DataFrame:
+            rows = read_logs(
                 self.spark,
                 [f"{self.root}/data/{name}" for name in names],
                 tolerate_corrupt=tolerate_corrupt,
                 with_file=with_file,
             )
+            if not with_file:
+                return rows.select(*LOG_COLUMNS)
+            return rows.withColumn("file", _relative(F.col("file_path"))).drop("file_path")
 
-        files = named(manifest.select("file"))
-        if len(files) <= NAMED_FILES:
-            try:
-                return finish(read(files))
-            except AnalysisException as err:
-                if not tolerate_corrupt or err.getCondition() != "PATH_NOT_FOUND":
-                    raise
-            there = manifest.join(self.files_on_disk(), "file", "left_semi")
-            return finish(read(named(there.select("file"))))
-        units = named(manifest.select(F.substring_index("file", "/", 1)).distinct())
-        rows = read(units if len(units) <= NAMED_FILES else [""], with_file=True)
-        wanted = manifest.select(F.col("file").alias("_name"))
-        if manifest.count() <= BROADCAST_FILES:
-            wanted = F.broadcast(wanted)
-        return finish(
-            rows.join(wanted, _relative(F.col("file_path")) == F.col("_name"), "left_semi")
-        )
+        def scans(files: DataFrame) -> DataFrame:
+            names = [r["file"] for r in files.select("file").toLocalIterator()]
+            size = self.files_per_scan
+            groups = range(0, max(1, len(names)), size)
+            return reduce(DataFrame.unionByName, (read(names[k : k + size]) for k in groups))
 
-    def lookup(self, query: LogQuery, *, tolerate_corrupt: bool = True) -> DataFrame:
-        """One row ``(count, results)`` over the committed files."""
-        return lookup(self.read(query, tolerate_corrupt=tolerate_corrupt), query)
+        try:
+            return scans(manifest)
+        except AnalysisException as err:
+            if not tolerate_corrupt or err.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return scans(manifest.join(self.files_on_disk(), "file", "left_semi"))
+
+    def lookup(self, query: LogQuery, *, tolerate_corrupt: bool = False) -> DataFrame:
+        """One row ``(count, results)`` over the committed files.
+
+        A damaged or missing file is an error. With ``tolerate_corrupt`` it is passed over, and
+        ``skipped_files`` tells how many of the files that may match were.
+        """
+        if not tolerate_corrupt:
+            return lookup(self.read(query), query)
+        snapshot = self.snapshot()
+        manifest = listing.prune_files(self.manifest(snapshot), query)
+        skipped = listing.unreadable_files(manifest, self._rows_per_file(manifest)).count()
+        rows = self.read(query, tolerate_corrupt=True, snapshot=snapshot)
+        return lookup(rows, query).withColumn("skipped_files", F.lit(skipped))
 
     def dead_letters(self) -> DataFrame:
-        """Refused records of all batches."""
-        if not self.log.exists("errors"):
+        """Refused records of the batches that the newest version has taken in."""
+        streams = self.snapshot().streams
+        if not streams or not self.log.exists("errors"):
             return self.spark.createDataFrame([], DEAD_LETTER_SCHEMA)
-        return (
+        letters = (
             self.spark.read.schema(DEAD_LETTER_SCHEMA)
             .option("recursiveFileLookup", "true")
             .parquet(f"{self.root}/errors")
         )
+        unit = F.regexp_extract("_metadata.file_path", "/errors/([^/]*)/[^/]*$", 1)
+        stream = F.regexp_extract(unit, "^logs-(.*)-[0-9]+$", 1)
+        batch = F.regexp_extract(unit, "([0-9]+)$", 1).cast("bigint")
+        last = F.create_map(*[F.lit(x) for pair in streams.items() for x in pair])
+        return letters.filter(batch <= F.try_element_at(last, stream)).select(
+            *DEAD_LETTER_SCHEMA.fieldNames()
+        )
 
     def files_on_disk(self) -> DataFrame:
         found = list_data_files(self.spark, f"{self.root}/data")
@@ -191,13 +205,14 @@ class LogTable:
         """Write log files below ``data/<unit>`` and return their manifest rows.
 
         Nothing is shuffled: tasks order their own rows by time, which keeps the
-        time range of each row group narrow. Repeating a unit replaces it.
+        time range of each row group narrow. Each attempt has a folder of its own, so
+        one that is repeated never touches files that are committed.
         """
+        unit = f"{unit}{ATTEMPT}{uuid.uuid4().hex}"
         (
             logs.select(*LOG_COLUMNS)
             .sortWithinPartitions("timestamp")
-            .write.mode("overwrite")
-            .options(**self.layout.options())
+            .write.options(**self.layout.options())
             .parquet(f"{self.root}/data/{unit}")
         )
         return self.describe_unit(unit)
@@ -210,8 +225,13 @@ class LogTable:
         )
 
     def append(self, logs: DataFrame, unit: str | None = None) -> Snapshot:
+        """Add rows as one write; a ``unit`` that is listed already is refused."""
         base = self.snapshot()
-        added = self.write_unit(logs, unit or f"logs-{uuid.uuid4().hex}")
+        if unit is not None:
+            same = F.startswith(F.col("file"), F.lit(unit + ATTEMPT))
+            if not self.manifest(base).filter(same).isEmpty():
+                raise CommitConflict(f"unit {unit!r} is in {self.root} already")
+        added = self.write_unit(logs, unit or "logs")
         return self.log.commit(base, added, summary={"operation": "append"})
 
     # -- maintenance -----------------------------------------------------
@@ -334,23 +354,32 @@ class LogTable:
             .parquet(f"{self.root}/data/{unit}")
         )
 
-    def vacuum(self, now: datetime, grace: timedelta = GRACE) -> None:
+    def vacuum(self, now: datetime, grace: timedelta = GRACE) -> dict[str, object]:
         """Delete files that neither the current version nor any version of the
-        last ``grace`` lists, and that were written before it began."""
+        last ``grace`` lists, and that were written before it began.
+
+        Returns how many were deleted, and if none why. Versions are kept by age alone, so however
+        many commits a day has, the one that was current when the grace began is there to compare.
+        """
         cutoff = now - grace
         earlier = self.log.published_before(cutoff)
         if earlier is None:
-            return
+            return {"deleted": 0, "reason": "no version is older than the grace"}
+        listed = self.manifest(earlier).select("file").unionByName(self.manifest().select("file"))
         unlisted = (
             self.files_on_disk()
             .filter(F.col("modified") <= moment_literal(cutoff, wall=False))
-            .join(self.manifest(earlier), "file", "left_anti")
-            .join(self.manifest(), "file", "left_anti")
+            .join(listed, "file", "left_anti")
         )
         path = work_folder(self.spark, "vacuum")
         unlisted.select("file").write.parquet(path)
-        self._delete_files(self.spark.read.schema("file string").parquet(path))
+        gone = self.spark.read.schema("file string").parquet(path)
+        deleted = gone.count()
+        self._delete_files(gone)
+        self.log.drop_versions_before(earlier)
+        self.log.fold()
         self.log.drop_unused_parts(cutoff)
+        return {"deleted": deleted, "reason": "" if deleted else "every old file is listed"}
 
     def _delete_files(self, files: DataFrame) -> None:
         """Delete listed files; the names stream through, they are not gathered."""

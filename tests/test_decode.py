@@ -55,6 +55,8 @@ CASES = [
     ('{"extra":{"a":1,"a":2},"project":null,%s}' % REST, NO_PROJECT),
     ('{"extra":{"a":1,"a":2},"project":7,%s}' % REST, "decode json"),
     ('{"project":"p","n":1e999,"m":[],"b":true,%s}' % REST, {"project": "p"}),
+    ('{"project":"p","deep":%s,%s}' % ("[" * 1500 + "]" * 1500, REST), {"project": "p"}),
+    ('{"project":"p","long":%s,%s}' % ("7" * 1500, REST), {"project": "p"}),
     ('{"project":"p","logid":"l","level":"VERBOSE"}', {"level": "VERBOSE"}),
     ('{"project":"5","logid":"2024-01-01","level":"true"}',
      {"project": "5", "logid": "2024-01-01", "level": "true"}),

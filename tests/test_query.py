@@ -11,11 +11,13 @@ from logmere.operators import combine, filters, paging
 from logmere.plans.query import LogQuery
 from logmere.schema import LOG_COLUMNS, LOG_SCHEMA
 
-SEED = [
-    ("12:00:00", "billing", "req-1", "INFO"),
-    ("12:01:00", "billing", "req-1", "ERROR"),
-    ("12:02:00", "auth", "req-2", "INFO"),
-    ("12:03:00", "billing", "req-9", "INFO"),
+# (time, project, logid, level); two projects share a logid, two rows a time.
+SHIPMENTS = [
+    ("08:30:00", "dock", "box-17", "WARN"),
+    ("07:15:00", "crane", "box-17", "DEBUG"),
+    ("08:30:00", "dock", "box-02", "FATAL"),
+    ("09:45:00", "crane", "box-40", "INFO"),
+    ("06:00:00", "dock", "box-40", "INFO"),
 ]
 
 
@@ -27,16 +29,16 @@ def found(frame):
 @pytest.mark.parametrize(
     "params, message",
     [
-        ({}, "either 'project' or 'logid'"),
-        ({"level": "INFO"}, "either 'project' or 'logid'"),
-        ({"project": "p", "from": "yesterday"}, "'from' must be RFC3339"),
-        ({"project": "p", "to": "2026-01-01"}, "'to' must be RFC3339"),
-        ({"project": "p", "to": "2026-01-01T00:00:00+25:00"}, "'to' must be RFC3339"),
-        ({"project": "p", "limit": "0"}, "'limit' must be a positive integer"),
-        ({"project": "p", "limit": "ten"}, "'limit' must be a positive integer"),
-        ({"project": "p", "limit": "1.5"}, "'limit' must be a positive integer"),
-        ({"project": "p", "offset": "-1"}, "'offset' must be a non-negative integer"),
-        ({"project": "p", "order": "up"}, "'order' must be 'asc' or 'desc'"),
+        ({}, "names a project or a logid"),
+        ({"level": "INFO"}, "names a project or a logid"),
+        ({"project": "p", "from": "yesterday"}, "parameter 'from'"),
+        ({"project": "p", "to": "2026-01-01"}, "parameter 'to'"),
+        ({"project": "p", "to": "2026-01-01T00:00:00+25:00"}, "parameter 'to'"),
+        ({"project": "p", "limit": "0"}, "parameter 'limit'"),
+        ({"project": "p", "limit": "ten"}, "parameter 'limit'"),
+        ({"project": "p", "limit": "1.5"}, "parameter 'limit'"),
+        ({"project": "p", "offset": "-1"}, "parameter 'offset'"),
+        ({"project": "p", "order": "up"}, "order is asc or desc"),
     ],
 )
 def test_refused_parameters(params, message):
@@ -57,21 +59,22 @@ def test_accepted_parameters():
     assert LogQuery(project="p", limit=-5, offset=-3).page_offset == 0
 
 
-def test_lookup_cases(make_logs):
-    logs = make_logs(SEED)
-    count, rows = found(paging.lookup(logs, LogQuery(project="billing")))
-    assert count == 3 and [r[2] for r in rows] == ["req-9", "req-1", "req-1"]
-    count, rows = found(paging.lookup(logs, LogQuery(logid="req-1")))
-    assert count == 2 and [r[3] for r in rows] == ["ERROR", "INFO"]
-    count, rows = found(paging.lookup(logs, LogQuery(project="billing", limit=1)))
-    assert count == 3 and len(rows) == 1
-    _, rest = found(paging.lookup(logs, LogQuery(project="billing", offset=1, limit=2)))
-    assert len(rest) == 2 and not set(rest) & set(rows)
-    assert found(paging.lookup(logs, LogQuery(project="billing", offset=100))) == (3, [])
-    assert found(paging.lookup(logs, LogQuery(logid="no-such-id"))) == (0, [])
-    _, rows = found(paging.lookup(logs, LogQuery(project="billing", order="asc")))
-    assert [r[3] for r in rows] == ["INFO", "ERROR", "INFO"]
-    assert found(paging.lookup(logs, LogQuery()))[0] == 4
+def test_lookup_totals_and_pages(make_logs):
+    logs = make_logs(SHIPMENTS)
+
+    def boxes(**request):
+        count, rows = found(paging.lookup(logs, LogQuery(**request)))
+        return count, [r[2] for r in rows]
+
+    assert boxes(project="dock") == (3, ["box-02", "box-17", "box-40"])
+    assert boxes(project="dock", order="asc") == (3, ["box-40", "box-02", "box-17"])
+    for at_row in range(4):
+        want = ["box-02", "box-17", "box-40"][at_row : at_row + 1]
+        assert boxes(project="dock", limit=1, offset=at_row) == (3, want)
+    assert boxes(logid="box-40", level="INFO")[0] == 2
+    assert boxes(logid="box-17", project="crane") == (1, ["box-17"])
+    assert boxes(project="nowhere") == (0, [])
+    assert boxes()[0] == len(SHIPMENTS)
 
 
 def test_level_is_exact_and_min_level_is_a_threshold(make_logs):
@@ -85,24 +88,25 @@ def test_level_is_exact_and_min_level_is_a_threshold(make_logs):
 
 
 def test_time_range_includes_both_ends(make_logs):
-    logs = make_logs(SEED)
-    got = filters.time_range(logs, at("12:01:00"), at("12:02:00"))
-    assert [r[0][11:] for r in plain(got)] == ["12:01:00", "12:02:00"]
+    logs = make_logs(SHIPMENTS)
+    times = lambda *ends: [r[0][11:16] for r in plain(filters.time_range(logs, *ends))]
     micro = timedelta(microseconds=1)
-    got = filters.time_range(logs, at("12:01:00") + micro, at("12:03:00") - micro)
-    assert [r[0][11:] for r in plain(got)] == ["12:02:00"]
-    assert filters.time_range(logs).count() == 4
+    assert times(at("07:15:00"), at("08:30:00")) == ["07:15", "08:30", "08:30"]
+    assert times(at("07:15:00") + micro, at("08:30:00") - micro) == []
+    assert times(None, at("07:15:00")) == ["06:00", "07:15"]
+    assert len(times()) == 5
 
 
 def test_presets(make_logs):
-    now = at("12:03:00")
-    assert filters.preset_window("1h", now) == (at("11:03:00"), now)
+    now = at("09:45:00")
+    assert filters.preset_window("6h", now) == (at("03:45:00"), now)
     assert filters.preset_window("custom", now) == (None, None)
     with pytest.raises(ValueError):
         filters.preset_window("2h", now)
-    logs = make_logs(SEED + [("2025-12-31T13:00:00", "p", "l", "INFO"), ("12:04:00", "p", "l", "INFO")])
+    early = [("2025-12-30T10:00:00", "p", "l", "INFO"), ("2025-12-31T10:00:00", "p", "l", "INFO")]
+    logs = make_logs(SHIPMENTS + early + [("09:45:01", "p", "l", "INFO")])
     assert dict(plain(filters.preset_counts(logs, now))) == {
-        "15m": 4, "1h": 4, "6h": 4, "24h": 5, "72h": 5}
+        "15m": 1, "1h": 1, "6h": 5, "24h": 6, "72h": 7}
 
 
 def many(spark, seed, n=240, copies=60):
@@ -183,9 +187,9 @@ def test_live_tail(spark, monkeypatch):
 
 
 def test_union_keeps_copies_and_fills_caller(make_logs):
-    logs = make_logs(SEED)
+    logs = make_logs(SHIPMENTS)
     both = combine.union_sources(logs.drop("caller"), logs)
-    assert both.columns == LOG_COLUMNS and both.count() == 8
+    assert both.columns == LOG_COLUMNS and both.count() == 2 * len(SHIPMENTS)
     assert both.filter("caller is null").count() == 0
 
 
@@ -207,15 +211,16 @@ def plan_of(frame):
 
 
 def test_plans(spark, tmp_path, make_logs):
-    make_logs(SEED).write.parquet(str(tmp_path / "t"))
+    make_logs(SHIPMENTS).write.parquet(str(tmp_path / "t"))
     from logmere.sources import read_logs
 
     logs = read_logs(spark, str(tmp_path / "t"))
-    query = LogQuery(project="billing", start=at("12:00:00"), end=at("12:01:00"), offset=10)
+    query = LogQuery(project="dock", start=at("06:00:00"), end=at("08:30:00"), offset=10)
     plan = plan_of(paging.page(logs, query))
     assert "TakeOrderedAndProject(limit=110, offset=10" in plan
-    assert "EqualTo(project,billing)" in plan and "GreaterThanOrEqual(t" in plan
+    assert "EqualTo(project,dock)" in plan and "GreaterThanOrEqual(t" in plan
     total = plan_of(query.matching(logs).agg(F.count(F.lit(1))))
     assert "ReadSchema: struct<timestamp:timestamp,project:string>" in total
+    assert "In(level, [ERROR,FATAL])" in plan_of(filters.min_level(logs, "ERROR"))
     tail = plan_of(paging.live_tail(logs, 3))
     assert "WindowGroupLimit" in tail and "SinglePartition" not in tail

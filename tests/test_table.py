@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import at, plain
 from logmere.operators import manifest as listing
-from logmere.operators.combine import drop_late_copies
 from logmere.operators.paging import lookup
 from logmere.plans.compaction import compaction_batches, compaction_candidates
 from logmere.plans.query import LogQuery
@@ -20,7 +20,6 @@ from logmere.plans.retention import plan_retention, retention_summary
 from logmere.schema import LOG_SCHEMA, MANIFEST_SCHEMA
 from logmere.sources import encode, import_nanos, read_logs, read_wire, write_wire
 from logmere.streaming.ingest import ingest, ingest_batch
-from logmere.table import log_table
 from logmere.table.log_table import FileLayout, LogTable
 from logmere.table.snapshot import CommitConflict
 
@@ -90,16 +89,27 @@ def test_pruning_by_time(table, make_logs):
     assert files(at("00:00:00"), at("00:00:00")) == 1
 
 
-def test_many_files_are_read_by_folder(spark, table, monkeypatch):
+def test_many_files_are_read_in_groups(spark, table):
     logs = some_logs(spark)
     table.append(logs)
     table.write_unit(logs, "uncommitted")
     table.append(logs.filter("level = 'INFO'"))
     whole = plain(logs.unionByName(logs.filter("level = 'INFO'")))
-    for named, broadcast in ((3, 100), (1, 0)):
-        monkeypatch.setattr(log_table, "NAMED_FILES", named)
-        monkeypatch.setattr(log_table, "BROADCAST_FILES", broadcast)
+    for group in (3, 1):
+        table.files_per_scan = group
         assert plain(table.read()) == whole
+        assert not any("uncommitted" in name for name in table.read().inputFiles())
+    lost = table.manifest().select("file").head()[0]
+    table.log.delete(f"data/{lost}")
+    with pytest.raises(AnalysisException):
+        table.read()
+
+
+def test_a_unit_is_taken_once(spark, table):
+    table.append(some_logs(spark, n=20), unit="u")
+    with pytest.raises(CommitConflict):
+        table.append(some_logs(spark, n=20), unit="u")
+    assert table.read().count() == 20 and table.audit().count() == 0
 
 
 def test_damaged_and_missing_files(spark, table):
@@ -115,7 +125,10 @@ def test_damaged_and_missing_files(spark, table):
     kept = table.manifest().filter(~F.substring_index("file", "/", -1).isin(list(damaged)))
     left = kept.agg(F.sum("row_count")).head()[0]
     assert table.read(tolerate_corrupt=True).count() == left
-    assert table.lookup(LogQuery(project="a")).head()["count"] > 0
+    found = table.lookup(LogQuery(project="a"), tolerate_corrupt=True).head()
+    assert found["count"] > 0 and found["skipped_files"] == 4
+    with pytest.raises(Exception):
+        table.lookup(LogQuery(project="a")).head()
     assert {r["file"].split("/")[-1] for r in table.unreadable().collect()} == damaged
     with pytest.raises(Exception):
         table.read().collect()
@@ -190,8 +203,24 @@ def test_manifest_parts_are_folded(spark, table, make_logs, monkeypatch):
     monkeypatch.setattr(snapshot, "MAX_PARTS", 2)
     for minute in range(4):
         table.append(make_logs([(f"12:0{minute}:00", "p", "l", "INFO")]))
-    assert len(table.snapshot().parts) <= 2
-    assert table.read().count() == 4
+    gone = table.manifest().filter(F.col("started") == F.lit(at("12:01:00"))).select("file")
+    table.log.commit(table.snapshot(), removed=gone)
+    assert len(table.snapshot().parts) == 5 and table.read().count() == 3
+    table.log.fold()
+    assert len(table.snapshot().parts) == 1 and table.read().count() == 3
+    table.append(make_logs([("13:00:00", "p", "l", "INFO")]))
+    assert len(table.snapshot().parts) == 2 and table.read().count() == 4
+
+
+def test_vacuum_after_very_many_commits(spark, table):
+    table.append(some_logs(spark, parts=3))
+    table.compact()
+    for batch in range(130):
+        table.log.commit(table.snapshot(), streams={"s": batch})
+    now = datetime.now(timezone.utc)
+    assert table.vacuum(now)["deleted"] == 0 and table.vacuum(now)["reason"]
+    assert table.vacuum(now + timedelta(days=2))["deleted"] == 3
+    assert len(data_files(table)) == 1 and table.read().count() == 200
 
 
 def manifest_row(spark, rows):
@@ -365,9 +394,13 @@ def test_replayed_batch_changes_nothing(spark, table, tmp_path):
     records = read_wire(spark, str(tmp_path / "wire"), stream=False)
     # A first attempt that died after writing, before its commit.
     table.write_unit(some_logs(spark, n=5), "logs-s-000000000000")
+    spark.createDataFrame([("junk",)], "value string").write.parquet(
+        f"{table.root}/errors/logs-s-000000000001"
+    )
     first = ingest_batch(table, records, "s", 0)
     rows = plain(table.read())
-    assert len(rows) == 1 and table.audit().count() == 0
+    assert len(rows) == 1
+    assert {r["finding"] for r in table.audit().collect()} == {"unindexed_file"}
     assert ingest_batch(table, records, "s", 0) == first
     assert plain(table.read()) == rows and table.dead_letters().count() == 1
     assert ingest_batch(table, records.filter("false"), "s", 1) == first
@@ -397,18 +430,6 @@ def test_rows_per_file(spark, tmp_path):
     assert [r["row_count"] for r in table.manifest().collect()] == [50] * 4
 
 
-def test_stream_copies_are_dropped(spark, tmp_path, make_logs):
-    logs = make_logs([("12:00:00", "p", "l", "INFO"), ("12:00:00", "p", "l", "WARN"),
-                      ("12:00:01", "p", "l", "INFO")])
-    logs.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(LOG_SCHEMA).parquet(str(tmp_path / "in"))
-    run = (drop_late_copies(stream, "10 minutes").writeStream.format("parquet")
-           .option("checkpointLocation", str(tmp_path / "cp"))
-           .trigger(availableNow=True).start(str(tmp_path / "out")))
-    run.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
 def test_catalogue(spark, table, make_logs):
     table.append(make_logs([("12:00:00", p, "l", "INFO") for p in ["b", "", "a", "b", "Cx"]]))
     table.append(make_logs([("13:00:00", "a", "l", "INFO")]))
