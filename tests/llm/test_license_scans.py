@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents  # noqa: F401
 from logmere.llm import license_scans
 from logmere.llm.license_rules import BASE, all_rules
 

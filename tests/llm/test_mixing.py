@@ -5,6 +5,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents  # noqa: F401
 from logmere.llm import mixing
 
 

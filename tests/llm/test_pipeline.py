@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from llm_fixtures import documents  # noqa: E402, F401
 import corpus_pipeline  # noqa: E402
 from test_line_dedup import by_hand as lines_by_hand  # noqa: E402
 from test_simhash_near_dedup import classes_by_hand  # noqa: E402

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents  # noqa: F401
 from logmere.llm import quality_rules as quality
 
 FOLDER = "/root/testdata/sf0.001"

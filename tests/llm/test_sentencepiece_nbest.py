@@ -6,6 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents  # noqa: F401
 from logmere.llm import sentencepiece_nbest as pieces
 
 
@@ -94,6 +95,9 @@ def test_forgetting_changes_nothing(vocabulary, monkeypatch):
     want = vocabulary.encode(text, 4)
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     vocabulary.known.clear()
+    vocabulary.before.clear()
+    for k in range(20):
+        vocabulary.encode(f"other words {k}", 4)
     assert vocabulary.encode(text, 4) == want
 
 
@@ -108,6 +112,8 @@ def test_round_trip(spark, documents):
     assert sorted((str(r["id"]), r["text"] or "", r["text"] is None) for r in both) == sorted(
         (str(r["doc_id"]), r["text"] or "", r["text"] is None) for r in docs.collect()
     )
+    at_once = pieces.encode(docs, 3, decoded=True).collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, both))
     null = next(r for r in both if r["text"] is None)
     assert (null["ids"], null["score"], null["others"]) == (None, None, [])
     empty = next(r for r in both if r["text"] == "")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import documents  # noqa: F401
 from logmere.llm import sharding
 
 FOLDER = "/root/testdata/sf0.001"
