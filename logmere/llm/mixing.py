@@ -153,7 +153,7 @@ def mix(
     )
 
 
-def in_order(mixed: DataFrame, rows_per_file: int = 200_000) -> DataFrame:
+def in_order(mixed: DataFrame, rows_per_file: int = 10_000) -> DataFrame:
     """The documents in the order of their positions: files by range, rows in order inside."""
     files = max(1, -(-mixed.count() // rows_per_file))
     ordered = mixed.repartitionByRange(files, "position").sortWithinPartitions("position")

@@ -105,7 +105,7 @@ def op1_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentencepiece_rows(docs: DataFrame) -> DataFrame:
     """Digests of the best ids, the scores of the best paths, and the checksum of the decoded text."""
-    decoded = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs))
+    decoded = sentencepiece_nbest.encode(docs, decoded=True)
     return decoded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_pieces"),

@@ -32,8 +32,9 @@ SPACE = "▁"
 #: What stands for a literal U+2581 of a text; no other stretch has this form.
 LITERAL = "x" + SPACE
 UNKNOWN_PENALTY = 10.0
-#: Stretches remembered by a task; when they are more, it starts afresh.
-REMEMBERED = 400_000
+#: Stretches remembered; those not met again while as many new ones come are forgotten.
+REMEMBERED = 100_000
+MOST_SEVERAL = 5_000
 #: Longer stretches are searched one by one.
 MOST_TOGETHER = 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -104,8 +105,9 @@ class Pieces:
         for piece in self.scores:
             self.begun |= {piece[:k]: None for k in range(1, len(piece)) if piece[:k] not in self.begun}
         self.begun |= self.scores
-        self._grow_trie()
+        self.trie_keys: np.ndarray | None = None
         self.known: dict[str, Found] = {}
+        self.before: dict[str, Found] = {}
         self.alternatives: dict[str, list[Path]] = {}
 
     def _grow_trie(self) -> None:
@@ -172,8 +174,13 @@ class Pieces:
     def learn(self, stretches: set[str]) -> None:
         """Find and remember the best paths of those that aren't known."""
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = [x for x in stretches if x not in self.known]
+            self.before, self.known = self.known, {}
+        new = []
+        for stretch in stretches - self.known.keys():
+            if (path := self.before.get(stretch)) is None:
+                new.append(stretch)
+            else:
+                self.known[stretch] = path
         single = [x for x in new if len(x) > MOST_TOGETHER or x == LITERAL]
         self._learn_together([x for x in new if len(x) <= MOST_TOGETHER and x != LITERAL], single)
         for stretch in single:
@@ -188,6 +195,8 @@ class Pieces:
         piece are put on ``left``."""
         if not stretches:
             return
+        if self.trie_keys is None:
+            self._grow_trie()
         codes = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, stretches), np.int64, len(stretches))
         end_of = np.cumsum(size)
@@ -290,7 +299,7 @@ class Pieces:
     def several(self, stretch: str, n: int) -> list[Path]:
         paths = self.alternatives.get(stretch)
         if paths is None or len(paths) < n:
-            if len(self.alternatives) >= REMEMBERED // 20:
+            if len(self.alternatives) >= MOST_SEVERAL:
                 self.alternatives.clear()
             paths = self.alternatives[stretch] = self.search(stretch, n)
         return paths[:n]
@@ -385,13 +394,15 @@ def encode(
     model: str = MODEL,
     id_column: str = "doc_id",
     text_column: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
-    """``id, ids, score, others`` for each row of ``docs``.
+    """``id, ids, score, others`` for each row of ``docs``, and ``text`` if ``decoded``.
 
     ``others``: up to ``n - 1`` next best paths, each with its score and how its ids differ from
     ``ids`` (see ``changed``); fewer if the text has fewer. A null text has null ids and score, an
     empty one no pieces and score 0. Texts and words of any length are taken whole; repeated rows
-    are encoded alike; an empty table gives no rows. The model file (``model``, a path on the
+    are encoded alike; an empty table gives no rows. ``text`` is what ``decode`` makes of the ids, in
+    the same pass. The model file (``model``, a path on the
     driver) goes to the tasks as it is.
     """
     if n < 1:
@@ -427,6 +438,9 @@ def encode(
         ]
     )
 
+    if decoded:
+        kinds = kinds.append(pa.field("text", pa.string()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(proto.value)
         for whole in batches:
@@ -454,12 +468,17 @@ def encode(
                     ]
                     for d in done
                 ]
+                texts = [
+                    None if d is None else pieces.decode(np.frombuffer(d[0], np.int32))
+                    for d in (done if decoded else [])
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
                         ids,
                         pa.array([None if d is None else d[1] for d in done], pa.float64()),
                         pa.array(others, kinds.field("others").type),
+                        *([pa.array(texts, pa.string())] if decoded else []),
                     ],
                     schema=kinds,
                 )
@@ -467,7 +486,7 @@ def encode(
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")
     )
-    return rows.mapInArrow(run, ENCODED)
+    return rows.mapInArrow(run, ENCODED + (", text string" if decoded else ""))
 
 
 ROWS_AT_ONCE = 500
