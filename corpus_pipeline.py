@@ -38,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the row with the smallest id stays; rows without an id come last."""
     return simhash_near_dedup.one_of_each(docs)
 
 

@@ -45,6 +45,11 @@ def checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """``h1, h2``: 128 bits of a text; a null one has its own."""
+    return [F.xxhash64(F.lit(salt), text).alias(name) for name, salt in (("h1", 0), ("h2", 1))]
+
+
 def words(text: Column) -> Column:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and return."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

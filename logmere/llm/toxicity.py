@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logmere.llm.common import checked, ship_package, stored
+from logmere.llm.common import checked, ship_package, stored, text_hashes
 
 #: Labelled documents that are used at most, the first ones by digest of the id.
 MOST_LABELLED = 24_000
@@ -286,15 +286,19 @@ class Scorer:
 
     def score(self, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         """``(id, score)``"""
-        rows = docs.select(
-            F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")
+        return self.scored(
+            docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")),
+            ["id"],
         )
+
+    def scored(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """``score`` of each ``text``, with the numbers ``keys``."""
         if self.trees is None:
-            return rows.select("id", F.lit(self.usual).alias("score"))
-        raw = self._raw(featured(rows, self.lexicon, "id long"))
+            return rows.select(*keys, F.lit(self.usual).alias("score"))
+        raw = self._raw(featured(rows, self.lexicon, ", ".join(f"{key} long" for key in keys)))
         told = self.calibration.transform(raw)
         mixed = (1 - OWN_SHARE) * F.col("calibrated") + OWN_SHARE * F.col("raw")
-        return told.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)).alias("score"))
+        return told.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)).alias("score"))
 
     def _raw(self, rows: DataFrame) -> DataFrame:
         judged = self.trees.transform(_assembled(rows))
@@ -376,8 +380,11 @@ def scored(
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected; rows of one id go together, if any of them goes."""
-    judged = scored(docs, labels, threshold)
-    bad = judged.filter("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = checked(stored(bad, "toxic-documents"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` whose own text isn't rejected, whatever their ids."""
+    scorer = fitted(docs, labels)
+    rows = docs.select(*text_hashes(F.col("text")), "text")
+    bad = scorer.scored(rows, ["h1", "h2"]).filter(F.col("score") >= threshold)
+    bad = bad.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    bad = checked(stored(bad, "toxic-texts"))
+    one, two = text_hashes(F.col("text"))
+    return docs.join(bad, (one == F.col("__h1")) & (two == F.col("__h2")), "left_anti")

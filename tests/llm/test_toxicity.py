@@ -71,3 +71,21 @@ def test_odd_rows_with_labels(spark, documents):
     assert left.columns == docs.columns
     ids = {r["doc_id"] for r in left.collect()}
     assert 5002 not in ids and None in ids and {i for i, _ in clean} <= ids
+
+
+class Fixed:
+    """A scorer that knows one word."""
+
+    def scored(self, rows, keys):
+        return rows.select(*keys, F.coalesce(F.col("text").contains("scum").cast("double"), F.lit(0.0)).alias("score"))
+
+    def score(self, docs, id_column, text_column):
+        return self.scored(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), ["id"])
+
+
+def test_rows_without_or_with_one_id_go_by_their_text(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "fitted", lambda *given: Fixed())
+    rows = [(None, "scum"), (None, "plain"), (None, "plain too"), (None, None), (9, "scum"), (9, "fine")]
+    left = toxicity.accepted(documents(rows), spark.createDataFrame([], LABELS)).collect()
+    assert {(r["doc_id"], r["text"]) for r in left} == {rows[k] for k in (1, 2, 3, 5)}
+    assert len(left) == 4
