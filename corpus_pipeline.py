@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     ``n_chars`` is counted anew where the text has changed.
     """
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(docs, least_equal=1)
     emptied = (F.col("lines_gone") > 0) & ~F.col("text").rlike(NOT_SPACE)
     return left.filter(~emptied).select(
         *(

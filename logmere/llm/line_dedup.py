@@ -28,7 +28,7 @@ def _hashes(text: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """``(doc, at, line)``: lines long enough, with a word, and their places."""
+    """``(doc, at, line)``: lines of ``least`` characters, with a word, and their places."""
     pieces = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return pieces.filter((F.length("line") >= least) & F.col("line").rlike(NOT_SPACE))
 
@@ -176,7 +176,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
 
 
 def _rebuilt(text: Column, gone: Column, least: int) -> Column:
-    """``text`` without the long lines whose hash is in ``gone`` and without later copies in it.
+    """``text`` without the lines of ``least`` characters whose hash is in ``gone`` and without later copies in it.
 
     A struct of the text and how many lines it has left.
     """
@@ -221,23 +221,27 @@ def dedup_lines(
     max_edits: int = 1,
     id_column: str = "doc_id",
     text_column: str = "text",
+    least_equal: int | None = None,
 ) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts, and ``lines_gone``.
 
-    A line (up to ``\\n``, at least ``least_chars`` characters, with a word) goes if an equal line,
-    or with ``max_edits`` 1 a line within one edit, comes earlier: in a document with a smaller id,
-    or higher up in the same one. Shorter lines stay. Ids that are null come last, as one document;
+    A line (up to ``\\n``, with a word) goes if an equal line comes earlier: in a document with a
+    smaller id, or higher up in the same one. It takes ``least_equal`` characters, or ``least_chars``
+    if that isn't given. Lines of ``least_chars`` characters go as well, with ``max_edits`` 1, if one
+    within one edit comes earlier. Shorter lines stay. Ids that are null come last, as one document;
     so do rows that share an id: their own repetitions inside a row go, the rows stay. Null texts
     stay null, empty ones empty. A text may become empty. Documents never go, and other columns
     stay as they are. An empty table gives no rows.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    least_equal = least_chars if least_equal is None else min(least_equal, least_chars)
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
     given = docs.select(order.alias("doc"), F.col(text_column).alias("text"))
     line = F.col("line")
     size = F.length(line)
     half = lambda longer: F.floor((longer - 1) / 2).cast("int")
+    near = size >= least_chars
     keys = F.array(
         *(
             F.xxhash64(F.lit(side), longer, part)
@@ -249,8 +253,8 @@ def dedup_lines(
         )
     )
     lines = (
-        _lines(given, least_chars)
-        .select("doc", *_hashes(line), *(keys[k].alias(f"k{k}") for k in range(4)))
+        _lines(given, least_equal)
+        .select("doc", *_hashes(line), *(F.when(near, keys[k]).alias(f"k{k}") for k in range(4)))
         .groupBy("h1", "h2", *(f"k{k}" for k in range(4)))
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         .select("h1", "h2", "first", "last", F.array(*(f"k{k}" for k in range(4))).alias("keys"))
@@ -258,14 +262,14 @@ def dedup_lines(
     lines = stored(lines, "lines")
     repeated = lines.filter("first < last").select("h1", "h2", "first", F.lit(False).alias("late"))
     if max_edits:
-        late = near_lines(given, lines, least_chars)
+        late = near_lines(given, lines.filter(F.col("keys")[0].isNotNull()), least_chars)
         late = late.select("h1", "h2", F.lit(None).cast("long").alias("first"), F.lit(True).alias("late"))
         repeated = repeated.unionByName(late)
     repeated = repeated.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("late").alias("late"))
     repeated = stored(repeated, "lines-repeated")
     goes = F.col("late") | (F.col("doc") != F.col("first"))
     gone = (
-        _lines(given, least_chars)
+        _lines(given, least_equal)
         .select("doc", *_hashes(line))
         .join(checked(repeated), ["h1", "h2"])
         .filter(goes)
@@ -276,7 +280,7 @@ def dedup_lines(
     small = gone.agg(F.coalesce(F.sum(F.size("__gone") + 4), F.lit(0))).head()[0] <= 2 * BROADCAST_ROWS
     text = F.col(text_column)
     lines_of = F.split(text, "\n")
-    left = _rebuilt(text, F.coalesce("__gone", F.array().cast("array<bigint>")), least_chars)
+    left = _rebuilt(text, F.coalesce("__gone", F.array().cast("array<bigint>")), least_equal)
     changes = F.col("__gone").isNotNull() | (F.size(lines_of) > F.size(F.array_distinct(lines_of)))
     joined = docs.join(F.broadcast(gone) if small else gone, order == F.col("__doc"), "left")
     names = [c for c in docs.columns if c != text_column]

@@ -83,7 +83,7 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"), least_equal=1)
     return kept.select(
         "doc_id",
         "lines_gone",

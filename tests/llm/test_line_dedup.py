@@ -125,3 +125,15 @@ def test_nothing_left_and_empty_table(documents):
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, line_dedup.LEAST_CHARS)
+
+
+def test_short_lines_that_are_equal_go(documents):
+    """Near ones stay: the floor is for the near match."""
+    line = "a line long enough for the near match"
+    docs = documents(["All rights reserved.\n\nx\n" + line, "x\n\nAll rights reserved!\n" + line + "s", "All rights reserved.\ny\ny"])
+    left = line_dedup.dedup_lines(docs, least_equal=1).collect()
+    assert {r["doc_id"]: (r["text"], r["lines_gone"]) for r in left} == {
+        0: ("All rights reserved.\n\nx\n" + line, 0),
+        1: ("\nAll rights reserved!", 2),
+        2: ("y", 2),
+    }
