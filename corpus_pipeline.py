@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the pieces of each document."""
-    return queries.sentencepiece_rows(docs)
+    """The pieces of each document, their digests, and its place in the mixture."""
+    return queries.sentencepiece_rows(mixing.in_place(docs), positions=True)
 
 
 STAGES = [

@@ -15,9 +15,9 @@ import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from logmere.llm.common import numbered
+from logmere.llm.common import numbered, stored
 
 REST = ""
 BLOCK_ROWS = 16
@@ -158,3 +158,28 @@ def in_order(mixed: DataFrame, rows_per_file: int = 10_000) -> DataFrame:
     files = max(1, -(-mixed.count() // rows_per_file))
     ordered = mixed.repartitionByRange(files, "position").sortWithinPartitions("position")
     return ordered.drop("position")
+
+
+def in_place(docs: DataFrame) -> DataFrame:
+    """``docs``, as read back from the files of ``in_order``, with ``position`` again, without gaps.
+
+    The order is that of the files' names and of the rows in them. What isn't read from files is
+    written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs, "mixture")
+    rows = docs.select(
+        *docs.columns,
+        F.col("_metadata.file_name").alias("__file"),
+        F.col("_metadata.row_index").alias("__row"),
+    )
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each file.
+    starts = (
+        rows.groupBy(F.col("__file").alias("__of"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .select("__of", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    )
+    return rows.join(F.broadcast(starts), F.col("__file") == F.col("__of")).select(
+        *docs.columns, (F.col("__start") + F.col("__row")).alias("position")
+    )

@@ -103,12 +103,19 @@ def op1_sentencepiece_nbest(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_rows(table(spark, folder, "documents"))
 
 
-def sentencepiece_rows(docs: DataFrame) -> DataFrame:
-    """Digests of the best ids, the scores of the best paths, and the checksum of the decoded text."""
-    decoded = sentencepiece_nbest.encode(docs, decoded=True)
+def sentencepiece_rows(docs: DataFrame, positions: bool = False) -> DataFrame:
+    """Digests of the best ids, the scores of the best paths, and the checksum of the decoded text.
+
+    With ``positions`` also the column ``position`` of ``docs`` and the ids themselves.
+    """
+    decoded = sentencepiece_nbest.encode(
+        docs, decoded=True, keep=["position"] if positions else []
+    )
     return decoded.select(
         F.col("id").alias("doc_id"),
+        *(["position"] if positions else []),
         F.size("ids").cast("long").alias("n_pieces"),
+        *(["ids"] if positions else []),
         F.xxhash64("ids").alias("ids_hash"),
         "score",
         F.transform("others", lambda x: x["score"]).alias("next_scores"),

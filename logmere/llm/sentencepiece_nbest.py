@@ -16,7 +16,7 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import count
 from typing import NamedTuple
@@ -395,9 +395,12 @@ def encode(
     id_column: str = "doc_id",
     text_column: str = "text",
     decoded: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``id, ids, score, others`` for each row of ``docs``, and ``text`` if ``decoded``.
 
+    The columns ``keep``, whole numbers, come with them.
+
     ``others``: up to ``n - 1`` next best paths, each with its score and how its ids differ from
     ``ids`` (see ``changed``); fewer if the text has fewer. A null text has null ids and score, an
     empty one no pieces and score 0. Texts and words of any length are taken whole; repeated rows
@@ -440,6 +443,8 @@ def encode(
 
     if decoded:
         kinds = kinds.append(pa.field("text", pa.string()))
+    for name in keep:
+        kinds = kinds.append(pa.field(name, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(proto.value)
@@ -479,14 +484,18 @@ def encode(
                         pa.array([None if d is None else d[1] for d in done], pa.float64()),
                         pa.array(others, kinds.field("others").type),
                         *([pa.array(texts, pa.string())] if decoded else []),
+                        *(batch.column(name) for name in keep),
                     ],
                     schema=kinds,
                 )
 
     rows = docs.select(
-        F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")
+        F.col(id_column).cast("long").alias("id"),
+        F.col(text_column).cast("string").alias("text"),
+        *(F.col(name).cast("long") for name in keep),
     )
-    return rows.mapInArrow(run, ENCODED + (", text string" if decoded else ""))
+    also = [", text string"] * decoded + [f", {name} long" for name in keep]
+    return rows.mapInArrow(run, ENCODED + "".join(also))
 
 
 ROWS_AT_ONCE = 500

@@ -88,3 +88,24 @@ def test_odd_and_empty_documents(spark, documents):
             assert at.columns == docs.columns
         ids = {r["doc_id"] for r in corpus_pipeline.STAGES[4][1](spark, at, FOLDER).collect()}
         assert ids == ({1, None, 4, 5} if "extra" in docs.columns else set())
+
+
+def test_rows_have_their_place_in_the_mixture_and_ids(spark, documents, tmp_path):
+    from logmere.llm import mixing
+
+    rows = [(k, f"text number {k}", f"src{k % 7}") for k in range(300)]
+    docs = documents(rows)
+    want = mixing.mix(docs, queries.TARGET_WEIGHTS)
+    path = str(tmp_path / "mixture")
+    mixing.in_order(want, rows_per_file=40).write.parquet(path)
+    files = spark.read.parquet(path)
+    assert len(files.inputFiles()) > 1
+    want = {r["doc_id"]: r["position"] for r in want.collect()}
+    with open(sentencepiece_nbest.MODEL, "rb") as file:
+        vocabulary = sentencepiece_nbest.Pieces(file.read())
+    for given in (files, files.filter("true").coalesce(1)):
+        got = corpus_pipeline.encode_pieces(spark, given, FOLDER).collect()
+        if given is files:
+            assert {r["doc_id"]: r["position"] for r in got} == want
+        assert sorted(r["position"] for r in got) == list(range(300))
+        assert all(vocabulary.decode(np.array(r["ids"], np.int32)) == f"text number {r['doc_id']}" for r in got)
