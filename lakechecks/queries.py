@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,7 +37,6 @@ from logmere.plans.compaction import (
 )
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import plan_retention, retention_summary
-from logmere.schema import LOG_COLUMNS
 from logmere.session import work_folder
 from logmere.sources import encode, events_as_logs, import_nanos, read_logs, read_wire
 from logmere.sources.wire import write_wire
@@ -164,14 +162,9 @@ def deep_page(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def walk_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The first five pages, fetched one by one."""
-    logs = logs_of(spark, folder)
-    pages = islice(paging.walk(logs, LogQuery(project="billing-service")), 5)
-    rows = [(number, *row) for number, rows in enumerate(pages) for row in rows]
-    schema = "page int, timestamp timestamp_ntz, " + ", ".join(
-        f"{name} string" for name in LOG_COLUMNS[1:]
-    )
-    return spark.createDataFrame(rows, schema)
+    """All pages, fetched one by one."""
+    request = LogQuery(project="billing-service")
+    return paging.walk_into(logs_of(spark, folder), request, work_folder(spark, "walked-pages"))
 
 
 @query

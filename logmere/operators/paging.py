@@ -256,6 +256,46 @@ def walk(
             rows += fetch(_page(rest, 0, page_size - len(rows), newest_first))
 
 
+def walk_into(logs: DataFrame, query: LogQuery, path: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """All pages of ``walk``, to the end, as a table below ``path`` with their number ``page``.
+
+    Each page is written by Spark; only the row it ends with reaches the driver.
+    """
+    spark = logs.sparkSession
+    matched = query.matching(logs).select(*LOG_COLUMNS)
+    newest_first = query.newest_first
+    rows, last, shown, number = _page(matched, query.page_offset, page_size, newest_first), None, 0, 0
+    while True:
+        rows.write.parquet(f"{path}/page={number}")
+        written = spark.read.schema(matched.schema).parquet(f"{path}/page={number}")
+        micros = micros_of(written)
+        equal = written.groupBy(
+            (-micros if newest_first else micros).alias("late"), micros.alias("us"), *TIE_COLUMNS
+        ).agg(F.count(F.lit(1)).alias("n"))
+        end = equal.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.max(F.struct("late", *TIE_COLUMNS, "us", "n")).alias("row"),
+        ).head()
+        if end["rows"] < page_size:
+            break
+        row, previous = end["row"], last
+        last = Cursor(row["us"], tuple(row[name] for name in TIE_COLUMNS))
+        shown = shown + row["n"] if last == previous else row["n"]
+        number += 1
+        if shown <= page_size:
+            rest = after(matched, last, newest_first, inclusive=True)
+            rows = _page(rest, shown, page_size, newest_first)
+            continue
+        copies = copies_at(matched, last)
+        left = max(0, min(copies.count() - shown, page_size))
+        rows = copies.limit(left)
+        if left < page_size:
+            rest = after(matched, last, newest_first)
+            rows = rows.unionByName(_page(rest, 0, page_size - left, newest_first))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matched.schema.fields)
+    return spark.read.schema(f"{kinds}, page int").parquet(path).select("page", *LOG_COLUMNS)
+
+
 def has_more(loaded: int, total: int) -> bool:
     return loaded < total
 

@@ -224,3 +224,27 @@ def test_plans(spark, tmp_path, make_logs):
     assert "In(level, [ERROR,FATAL])" in plan_of(filters.min_level(logs, "ERROR"))
     tail = plan_of(paging.live_tail(logs, 3))
     assert "WindowGroupLimit" in tail and "SinglePartition" not in tail
+
+
+def test_walk_pages_goes_to_the_end(spark):
+    """More than five pages; the oracle's own SQL ends at rank 1000."""
+    from lakechecks.compare import connect, normal
+    from lakechecks.oracles import ORACLES
+    from lakechecks.queries import walk_pages
+
+    folder = "/root/testdata/sf0.01"
+    sql = ORACLES["walk_pages"].replace(" WHERE rank <= 1000", "")
+    want = connect(folder).execute(sql).df()
+    got = walk_pages(spark, folder).toPandas()
+    assert want["page"].max() > 5 and sorted(got.columns) == sorted(want.columns)
+    assert normal(got) == normal(want)
+
+
+def test_walk_into_passes_runs_of_copies(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "p", "a", "INFO", "m", "")] * 11
+    rows += [("2024-01-01 00:00:01", "p", "b", "INFO", str(k), "") for k in range(3)]
+    names = ["timestamp", "project", "logid", "level", "message", "caller"]
+    logs = spark.createDataFrame(rows, names).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    got = paging.walk_into(logs, LogQuery(project="p"), str(tmp_path / "pages"), page_size=4).collect()
+    sizes = [sum(r["page"] == k for r in got) for k in range(4)]
+    assert sizes == [4, 4, 4, 2] and [r["logid"] for r in got].count("b") == 3
