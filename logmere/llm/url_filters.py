@@ -16,7 +16,9 @@ from logmere.llm.common import checked, stored
 
 ALLOW, BLOCK = "allow", "block"
 DAMPING = 0.85
+#: Rounds of the tests' walk by hand; the walks here go on until they have settled.
 ROUNDS = 30
+#: The largest change of a host's score in a round, as a share of that score.
 SETTLED = 1e-6
 MOST_DISTRUST = 0.75
 DIGITS = 9
@@ -91,11 +93,13 @@ def _walks(edges: DataFrame) -> DataFrame:
     )
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """``(kind, host, score)`` after the walks have settled, for hosts with a score.
 
     ``seeds``: ``(kind, host, seed)``, adding up to 1 for each kind. A walk ends at a host without
-    a way on.
+    a way on. No count of rounds ends the loop: scores only grow, what a round adds is at most
+    ``DAMPING`` times what the last one added, and a host that is newly reached counts as changed, so
+    hosts at any distance are reached and have their share of distrust settled.
     """
     seeds = stored(seeds, "host-seeds")
     walks = stored(_walks(edges), "host-walks")
@@ -103,7 +107,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
     scores = stored(base, "host-scores")
     if not walks.head(1):
         return scores
-    for _ in range(rounds):
+    while True:
         moved = (
             scores.join(
                 walks, (scores["kind"] == walks["kind"]) & (scores["host"] == walks["from"])
@@ -125,10 +129,8 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> Data
             "host-scores",
         )
         scores = found.select("kind", "host", "score")
-        change = found.agg(F.sum(F.abs(F.col("score") - F.col("old")))).head()[0] or 0.0
-        if change < SETTLED:
-            break
-    return scores
+        if not found.filter(F.abs(F.col("score") - F.col("old")) > SETTLED * F.col("score")).head(1):
+            return scores
 
 
 def judge(

@@ -138,3 +138,17 @@ def test_empty_table(spark):
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     check(spark, [tuple(r) for r in pages.collect()])
+
+
+def test_far_hosts_are_reached_and_settled(spark):
+    """A chain of 40 links to a blocked host, and a cycle."""
+    n = 40
+    links = [(f"h{k}", f"h{k + 1}", 1) for k in range(n)] + [("h0", "loop", 1), ("loop", "h0", 1)]
+    seeds = spark.createDataFrame([(BLOCK, f"h{n}", 1.0)], "kind string, host string, seed double")
+    edges = spark.createDataFrame(links, "source string, target string, pages long")
+    got = {r["host"]: r["score"] for r in urls.propagated(seeds, edges).collect()}
+    base, d = 1 - urls.DAMPING, urls.DAMPING
+    # Against the links h0 passes all to loop, and h1 and loop pass all to h0.
+    assert got["h1"] == pytest.approx(base * d ** (n - 1), rel=1e-6)
+    assert got["h0"] == pytest.approx(base * d**n / (1 - d * d), rel=1e-5)
+    assert got["loop"] == pytest.approx(d * got["h0"], rel=1e-5)
