@@ -138,7 +138,7 @@ ORDER BY "timestamp" DESC, {TIES} LIMIT 40 OFFSET 2500"""),
     "walk_pages": over_logs(f"""
 SELECT CAST((rank - 1) // 200 AS INTEGER) AS page, {SIX}
 FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, {TIES}) AS rank
-      FROM logs WHERE project = 'billing-service') WHERE rank <= 1000"""),
+      FROM logs WHERE project = 'billing-service')"""),
     "live_tail": over_logs(f"""
 SELECT {SIX}, CAST(row_number() OVER w AS INTEGER) AS position FROM logs
 WINDOW w AS (PARTITION BY project ORDER BY "timestamp" DESC, {TIES})
