@@ -18,11 +18,12 @@ import re
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import count
+from itertools import count, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,8 +33,8 @@ SPACE = "▁"
 #: What stands for a literal U+2581 of a text; no other stretch has this form.
 LITERAL = "x" + SPACE
 UNKNOWN_PENALTY = 10.0
-#: Stretches remembered; those not met again while as many new ones come are forgotten.
-REMEMBERED = 100_000
+#: Stretches remembered; when they are more, those met most often stay, half as many at most.
+REMEMBERED = 400_000
 MOST_SEVERAL = 5_000
 #: Longer stretches are searched one by one.
 MOST_TOGETHER = 48
@@ -53,8 +54,7 @@ class Path(NamedTuple):
     score: float
 
 
-#: The best path of a stretch: ids, score, and how much the next one costs more. A plain tuple of
-#: plain values, which the garbage collector doesn't have to visit again and again.
+#: The best path of a stretch: ids, score, and how much the next one costs more.
 Found = tuple[bytes, float, float]
 
 
@@ -66,7 +66,62 @@ class Change(NamedTuple):
     ids: bytes
 
 
-Encoded = tuple[bytes, float, list[tuple[float, list[Change]]]]
+#: Score of another path, and its changes of the best one.
+Other = tuple[float, list[Change]]
+Encoded = tuple[bytes, float, list[Other]]
+
+
+class Memory:
+    """Best paths of stretches. A stretch has a number; what is known of it stands in flat arrays."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self.score, self.extra = np.zeros(0), np.zeros(0)
+        self.met = np.zeros(0, np.int64)
+
+    def add(self, stretches: list[str], ids: np.ndarray, sizes: np.ndarray, score, extra) -> None:
+        """New stretches, with their ids one after another."""
+        self.number.update(zip(stretches, range(len(self.number), len(self.number) + len(stretches))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.score, self.extra = np.concatenate([self.score, score]), np.concatenate([self.extra, extra])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
+
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these stretches stand, one stretch after another, and where each ends."""
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return np.repeat(self.ends[numbers] - (upto - sizes), sizes) + np.arange(total), upto
+
+    def forget(self, most: int) -> None:
+        """All but the ``most`` met most often, and those met once."""
+        often = np.argsort(-self.met, kind="stable")[:most]
+        kept = np.sort(often[self.met[often] > 1])
+        old, names = self.__dict__.copy(), list(self.number)
+        at, upto = self.places(kept)
+        self.clear()
+        self.add(
+            [names[k] for k in kept.tolist()],
+            old["ids"][at],
+            np.diff(upto, prepend=0),
+            old["score"][kept],
+            old["extra"][kept],
+        )
+
+
+class Batch(NamedTuple):
+    """Encoded texts: ids one after another, where each text's end, scores, and the other paths."""
+
+    ids: np.ndarray
+    upto: np.ndarray
+    scores: np.ndarray
+    others: list[list[Other]]
 
 
 class Pieces:
@@ -106,8 +161,7 @@ class Pieces:
             self.begun |= {piece[:k]: None for k in range(1, len(piece)) if piece[:k] not in self.begun}
         self.begun |= self.scores
         self.trie_keys: np.ndarray | None = None
-        self.known: dict[str, Found] = {}
-        self.before: dict[str, Found] = {}
+        self.known = Memory()
         self.alternatives: dict[str, list[Path]] = {}
 
     def _grow_trie(self) -> None:
@@ -171,24 +225,17 @@ class Pieces:
             ids.extend([piece] if piece >= 0 else self.unknown(stretch[start:end]))
         return np.array(ids, np.int32).tobytes()
 
-    def learn(self, stretches: set[str]) -> None:
-        """Find and remember the best paths of those that aren't known."""
-        if len(self.known) >= REMEMBERED:
-            self.before, self.known = self.known, {}
-        new = []
-        for stretch in stretches - self.known.keys():
-            if (path := self.before.get(stretch)) is None:
-                new.append(stretch)
-            else:
-                self.known[stretch] = path
+    def learn(self, new: list[str]) -> None:
+        """Find and remember the best paths of stretches that aren't known."""
         single = [x for x in new if len(x) > MOST_TOGETHER or x == LITERAL]
         self._learn_together([x for x in new if len(x) <= MOST_TOGETHER and x != LITERAL], single)
-        for stretch in single:
-            if stretch == LITERAL:
-                path = self.search(stretch, 1)[0]
-                self.known[stretch] = (path.ids, path.score, math.inf)
-            else:
-                self.known[stretch] = self._viterbi(stretch)
+        if single:
+            found = [
+                (*self.search(x, 1)[0], math.inf) if x == LITERAL else self._viterbi(x) for x in single
+            ]
+            raws, scores, extras = zip(*found, strict=True)
+            sizes = np.array([len(raw) // 4 for raw in raws])
+            self.known.add(single, np.frombuffer(b"".join(raws), np.int32), sizes, scores, extras)
 
     def _learn_together(self, stretches: list[str], left: list[str]) -> None:
         """Forward Viterbi over many short stretches at once; those with a character that has no
@@ -207,7 +254,7 @@ class Pieces:
         begin, stop = start_of + np.arange(len(size)), end_of + np.arange(len(size))
         whole = np.ones(len(size), bool)
         walking, nodes = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        edges: dict[tuple[int, int], tuple] = {}
+        edges: list[tuple] = []
         for length in range(1, self.longest + 1):
             keys = nodes << 21 | codes[walking + length - 1]
             at = np.minimum(np.searchsorted(self.trie_keys, keys), len(self.trie_keys) - 1)
@@ -220,13 +267,9 @@ class Pieces:
             ends = piece >= 0
             first = walking[ends]
             last = first - start_of[owner[first]] + length  # how far into its stretch
-            for far in np.unique(last):
-                some = last == far
-                edges[int(far), length] = (
-                    (first + shift[first])[some],
-                    piece[ends][some],
-                    self.node_score[nodes[ends]][some],
-                )
+            # By how far they go; longer pieces first, as the one search does it.
+            rank = last * MOST_TOGETHER + (MOST_TOGETHER - length)
+            edges.append((rank, first + shift[first], first + shift[first] + length, piece[ends], self.node_score[nodes[ends]]))
             more = walking + length < end_of[owner[walking]]
             walking, nodes = walking[more], nodes[more]
             if not len(walking):
@@ -234,16 +277,19 @@ class Pieces:
         best = np.full(len(codes) + len(size), -np.inf)
         second, back, chosen = best.copy(), np.zeros(len(best), np.int64), np.zeros(len(best), np.int32)
         best[begin] = 0.0
-        # Longer pieces first, as the one search does it: of equal scores the first one stays.
-        for far, length in sorted(edges, key=lambda e: (e[0], -e[1])):
-            first, piece, score = edges[far, length]
-            end = first + length
-            one, two = best[first] + score, second[first] + score
-            better = one > best[end]
-            second[end] = np.where(better, np.maximum(best[end], two), np.maximum(second[end], one))
+        rank, *columns = (np.concatenate(x) for x in zip(*edges, strict=True))
+        order = np.argsort(rank, kind="stable")
+        rank, (firsts, ends_at, pieces, scores) = rank[order], [x[order] for x in columns]
+        cuts = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+        # Edges of one rank end at different places; of equal scores the first one stays.
+        for low, high in zip(cuts, cuts[1:]):
+            first, end, score = firsts[low:high], ends_at[low:high], scores[low:high]
+            one, two, top = best[first] + score, second[first] + score, best[end]
+            better = one > top
+            second[end] = np.where(better, np.maximum(top, two), np.maximum(second[end], one))
             back[end] = np.where(better, first, back[end])
-            chosen[end] = np.where(better, piece, chosen[end])
-            best[end] = np.maximum(best[end], one)
+            chosen[end] = np.where(better, pieces[low:high], chosen[end])
+            best[end] = np.maximum(top, one)
         place, active, found = stop.copy(), np.flatnonzero(whole), []
         while len(active):
             found.append((active, chosen[place[active]]))
@@ -256,14 +302,12 @@ class Pieces:
         ids = np.zeros(int(upto[-1]), np.int32)
         for back_by, (own, piece) in enumerate(found, 1):
             ids[upto[own] - back_by] = piece
-        raw, cuts = ids.tobytes(), [0, *(4 * upto).tolist()]
-        top = best[stop].tolist()
-        extra = np.subtract(best[stop], second[stop], where=whole, out=np.zeros(len(stop))).tolist()
-        for k, (stretch, fine) in enumerate(zip(stretches, whole.tolist(), strict=True)):
-            if fine:
-                self.known[stretch] = (raw[cuts[k] : cuts[k + 1]], top[k], extra[k])
-            else:
-                left.append(stretch)
+        extra = np.subtract(best[stop], second[stop], where=whole, out=np.zeros(len(stop)))
+        fine = whole.tolist()
+        # Of those with unknown characters nothing was found: no ids stand between the others'.
+        known = [x for x, ok in zip(stretches, fine, strict=True) if ok]
+        self.known.add(known, ids, counts[whole], best[stop][whole], extra[whole])
+        left.extend(x for x, ok in zip(stretches, fine, strict=True) if not ok)
 
     def _viterbi(self, stretch: str) -> Found:
         """Forward Viterbi with the two best scores of each place, and the best path."""
@@ -313,43 +357,65 @@ class Pieces:
             parts.extend(self.stretches.findall(part.replace(" ", SPACE)))
         return parts
 
-    def encode_all(self, texts: list[str | None], n: int) -> list[Encoded | None]:
-        parts = [self.cut(t) if t else [] for t in texts]
-        self.learn(set().union(*parts))
-        return [
-            None if t is None else self._encoded(p, n) for t, p in zip(texts, parts, strict=True)
-        ]
+    def encode_batch(self, texts: list[str | None], n: int) -> Batch:
+        """Null texts as empty ones."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        flat = [x for parts in cut for x in parts]
+        known = self.known
+        if len(known.number) > REMEMBERED:
+            known.forget(REMEMBERED // 2)
+        numbers = np.fromiter(map(known.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            # In the order they come, so that each run does the same.
+            self.learn(list(dict.fromkeys(flat[k] for k in missing)))
+            numbers[missing] = [known.number[flat[k]] for k in missing]
+        known.met += np.bincount(numbers, minlength=len(known.met))
+        at, upto = known.places(numbers)
+        score, extra = known.score[numbers], known.extra[numbers]
+        ends = np.cumsum([len(parts) for parts in cut])
+        bounds = np.concatenate([[0], upto])
+        sums = np.zeros(len(cut))
+        some = [k for k, parts in enumerate(cut) if parts]
+        if some:
+            sums[some] = np.add.reduceat(score, [ends[k] - len(cut[k]) for k in some])
+        others: list[list[Other]] = []
+        for parts, end, total in zip(cut, ends.tolist(), sums.tolist(), strict=True):
+            low = end - len(parts)
+            others.append(
+                self._others(parts, extra[low:end], bounds[low : end + 1] - bounds[low], total, n)
+                if parts and n > 1
+                else []
+            )
+        return Batch(known.ids[at], bounds[ends], sums, others)
 
     def encode(self, text: str, n: int) -> Encoded:
         """Ids and score of the best path, and the next ``n - 1`` as changes of it."""
-        return self.encode_all([text], n)[0]
-
-    def _encoded(self, parts: list[str], n: int) -> Encoded:
-        if not parts:
-            return b"", 0.0, []
-        ids, scores, extras = zip(*map(self.known.__getitem__, parts), strict=True)
-        score = math.fsum(scores)
-        others = self._others(parts, ids, extras, score, n) if n > 1 else []
-        return b"".join(ids), score, others
-
-    def _others(self, parts: list[str], ids: tuple, extras: tuple, score: float, n: int) -> list:
-        """Any path outside of the ``n - 1`` cheapest places costs as much as ``n - 1`` others."""
-        cheap = heapq.nsmallest(n - 1, zip(extras, range(len(extras)), strict=True))
-        places = sorted(at for extra, at in cheap if extra < math.inf)
+        done = self.encode_batch([text], n)
+        return done.ids.tobytes(), float(done.scores[0]), done.others[0]
+
+    def _others(self, parts: list[str], extras: np.ndarray, starts: np.ndarray, score: float, n: int) -> list[Other]:
+        """Any path outside of the ``n - 1`` cheapest places costs as much as ``n - 1`` others.
+
+        ``starts``: where the ids of each part begin, and where the last one's end.
+        """
+        if len(extras) >= n:
+            edge = np.partition(extras, n - 2)[n - 2]
+            below, same = np.flatnonzero(extras < edge), np.flatnonzero(extras == edge)
+            cheap = np.sort(np.concatenate([below, same[: n - 1 - len(below)]]))
+        else:
+            cheap = np.arange(len(extras))
+        places = cheap[extras[cheap] < math.inf].tolist()
         choices = [self.several(parts[at], n) for at in places]
         costs = [[paths[0].score - p.score for p in paths] for paths in choices]
-        starts, before, size = [], 0, 0
-        for at in places:
-            size += sum(map(len, ids[before:at])) // 4
-            starts.append(size)
-            before = at
+        spans = [(int(starts[at]), int(starts[at + 1] - starts[at])) for at in places]
         origin = (0,) * len(places)
         heap, seen, others = [(0.0, origin)], {origin}, []
         while heap and len(others) < n:
             cost, ranks = heapq.heappop(heap)
             changes = [
-                Change(start, len(ids[at]) // 4, paths[rank].ids)
-                for at, start, paths, rank in zip(places, starts, choices, ranks, strict=True)
+                Change(*span, paths[rank].ids)
+                for span, paths, rank in zip(spans, choices, ranks, strict=True)
                 if rank
             ]
             others.append((score - cost, changes))
@@ -449,41 +515,23 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(proto.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                done = pieces.encode_all(batch.column("text").to_pylist(), n)
-                sizes = np.cumsum([0] + [0 if d is None else len(d[0]) // 4 for d in done])
-                values = np.frombuffer(b"".join([d[0] for d in done if d is not None]), np.int32)
-                empty = pa.array([d is None for d in done], pa.bool_())
-                ids = pa.ListArray.from_arrays(
-                    pa.array(sizes, pa.int32()), pa.array(values), mask=empty
-                )
-                others = [
-                    []
-                    if d is None
-                    else [
-                        {
-                            "score": score,
-                            "changes": [
-                                {"at": c.at, "n": c.n, "ids": np.frombuffer(c.ids, np.int32).tolist()}
-                                for c in changes
-                            ],
-                        }
-                        for score, changes in d[2]
-                    ]
-                    for d in done
-                ]
-                texts = [
-                    None if d is None else pieces.decode(np.frombuffer(d[0], np.int32))
-                    for d in (done if decoded else [])
+            for batch in small(whole):
+                texts = batch.column("text").to_pylist()
+                done = pieces.encode_batch(texts, n)
+                null = pa.array([t is None for t in texts], pa.bool_())
+                upto = np.concatenate([[0], done.upto])
+                ids = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(done.ids), mask=null)
+                back = [
+                    None if t is None else pieces.decode(done.ids[upto[k] : upto[k + 1]])
+                    for k, t in enumerate(texts if decoded else [])
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
                         ids,
-                        pa.array([None if d is None else d[1] for d in done], pa.float64()),
-                        pa.array(others, kinds.field("others").type),
-                        *([pa.array(texts, pa.string())] if decoded else []),
+                        pa.array(done.scores, mask=np.array(null, bool)),
+                        other_paths(done.others),
+                        *([pa.array(back, pa.string())] if decoded else []),
                         *(batch.column(name) for name in keep),
                     ],
                     schema=kinds,
@@ -498,7 +546,38 @@ def encode(
     return rows.mapInArrow(run, ENCODED + "".join(also))
 
 
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE, CHARS_AT_ONCE = 500, 2_000_000
+
+
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: many rows, or few very long ones."""
+    low = size = 0
+    for k, length in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
+        if k - low == ROWS_AT_ONCE or (k > low and size + (length or 0) > CHARS_AT_ONCE):
+            yield batch.slice(low, k - low)
+            low, size = k, 0
+        size += length or 0
+    if batch.num_rows > low:
+        yield batch.slice(low)
+
+
+def other_paths(others: list[list[Other]]) -> pa.Array:
+    """``others`` as nested arrays, built from flat ones."""
+    paths = [path for of_text in others for path in of_text]
+    changes = [change for _, of_path in paths for change in of_path]
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    ids = pa.ListArray.from_arrays(
+        ends(len(c.ids) // 4 for c in changes),
+        pa.array(np.frombuffer(b"".join([c.ids for c in changes]), np.int32)),
+    )
+    columns = [pa.array([c.at for c in changes], pa.int32()), pa.array([c.n for c in changes], pa.int32()), ids]
+    of_path = pa.ListArray.from_arrays(
+        ends(len(c) for _, c in paths), pa.StructArray.from_arrays(columns, ["at", "n", "ids"])
+    )
+    scores = pa.array([score for score, _ in paths], pa.float64())
+    return pa.ListArray.from_arrays(
+        ends(map(len, others)), pa.StructArray.from_arrays([scores, of_path], ["score", "changes"])
+    )
 
 
 def decode(

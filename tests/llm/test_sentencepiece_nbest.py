@@ -95,10 +95,24 @@ def test_forgetting_changes_nothing(vocabulary, monkeypatch):
     want = vocabulary.encode(text, 4)
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     vocabulary.known.clear()
-    vocabulary.before.clear()
     for k in range(20):
         vocabulary.encode(f"other words {k}", 4)
     assert vocabulary.encode(text, 4) == want
+    for k in range(20):
+        vocabulary.encode(f"word {k}", 1)
+        assert len(vocabulary.known.number) < 20
+    assert vocabulary.encode(text, 4) == want
+
+
+def test_long_texts_come_few_at_once():
+    import pyarrow as pa
+
+    texts = ["x" * 1_500_000, "x" * 1_500_000, None, "", "y"] + ["z"] * 1200
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(pieces.small(batch))
+    assert [p.num_rows for p in parts] == [1, 500, 500, 204]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert list(pieces.small(batch.slice(0, 0))) == []
 
 
 def test_round_trip(spark, documents):
