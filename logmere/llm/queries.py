@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logmere.llm import (
     license_scans,
     line_dedup,
+    merkle_manifest,
     mixing,
     nearest_neighbours,
     quality_rules,
@@ -15,6 +16,8 @@ from logmere.llm import (
     simhash_near_dedup,
     toxicity,
     url_filters,
+    vector_codes,
+    word_bpe,
 )
 from logmere.llm.url_filters import ALLOW, BLOCK, Rule
 
@@ -141,3 +144,26 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.summary(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids and of the text that they decode to."""
+    both = word_bpe.encoded_and_decoded(table(spark, folder, "documents"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.audited(table(spark, folder, "documents"))
