@@ -29,7 +29,7 @@ def file_name(event_id: Column) -> Column:
 def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest of the events cut into runs of equal length."""
     logs = events_as_logs(spark, folder, keep_id=True)
-    return build_manifest(logs, file_name(F.col("event_id")), F.sum(row_bytes()))
+    return build_manifest(logs, file_name(F.col("event_id")), F.sum(row_bytes()), F.sum)
 
 
 def new_table(spark: SparkSession, name: str) -> LogTable:

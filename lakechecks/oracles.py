@@ -11,12 +11,17 @@ SELECT event_id, ts AS "timestamp",
   concat(event_type, ' ', props) AS message,
   CASE WHEN event_id % 10 = 7 THEN '' ELSE concat('handler.go:', CAST(user_id + 1 AS VARCHAR)) END AS caller
 FROM events)"""
-MANIFEST = LOGS + """, manifest AS (
+MANIFEST = LOGS + """, counted AS (
+SELECT event_id // 250 AS k, project, count(*) AS n FROM logs GROUP BY 1, 2),
+shares AS (SELECT k, string_agg(project || '=' || n, ',' ORDER BY project) AS project_rows
+FROM counted GROUP BY k),
+manifest AS (
 SELECT concat('logs-', lpad(CAST(event_id // 250 AS VARCHAR), 6, '0'), '.parquet') AS file,
   min("timestamp") AS started, max("timestamp") AS ended, count(*) AS row_count,
   string_agg(DISTINCT project, ',' ORDER BY project) AS projects,
-  CAST(sum(16 + strlen(project) + strlen(logid) + strlen(level) + strlen(message)) AS BIGINT) AS size_bytes
-FROM logs GROUP BY 1)"""
+  CAST(sum(16 + strlen(project) + strlen(logid) + strlen(level) + strlen(message)) AS BIGINT) AS size_bytes,
+  any_value(project_rows) AS project_rows
+FROM logs JOIN shares ON k = event_id // 250 GROUP BY 1)"""
 SIX = '"timestamp", project, logid, level, message, caller'
 TIES = "project, logid, level, message, caller"
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -262,6 +267,16 @@ present AS (SELECT file FROM manifest WHERE (contains(projects, 'billing-service
 SELECT file, 'orphan_manifest' AS finding FROM listed WHERE file NOT IN (FROM present)
 UNION ALL SELECT file, 'unindexed_file' FROM present WHERE file NOT IN (FROM listed)"""),
     "table_rows": over_logs(f"SELECT {SIX} FROM logs"),
+    "table_total": over_logs("""
+SELECT 'window' AS asked, count(*) AS count FROM logs WHERE project = 'billing-service'
+  AND "timestamp" BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'
+UNION ALL SELECT 'project', count(*) FROM logs WHERE project = 'billing-service'
+UNION ALL SELECT 'logid', count(*) FROM logs WHERE logid = 'req-0007'
+UNION ALL SELECT 'absent', 0"""),
+    "table_walk": over_logs(f"""
+SELECT CAST((rank - 1) // 200 AS INTEGER) AS page, {SIX}
+FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, {TIES}) AS rank
+      FROM logs WHERE {BILLING})"""),
     "table_manifest_totals": over_logs(f"SELECT {TOTALS} FROM logs"),
     "table_lookup": page(BILLING, 100),
     "table_pruned_rows": over_logs(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -155,14 +156,14 @@ def ordered_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def deep_page(spark: SparkSession, folder: str) -> DataFrame:
-    """A page found by counts rather than by sorting what comes before it."""
+    """A page found by its times rather than by sorting what comes before it."""
     request = LogQuery(project="billing-service", offset=2500, limit=40)
-    return paging.page(logs_of(spark, folder), request, top_k_rows=0)
+    return paging.page(logs_of(spark, folder), request)
 
 
 @query
 def walk_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages, fetched one by one."""
+    """All pages, to the end."""
     request = LogQuery(project="billing-service")
     return paging.walk_into(logs_of(spark, folder), request, work_folder(spark, "walked-pages"))
 
@@ -425,7 +426,13 @@ def build_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flat(manifest: DataFrame) -> DataFrame:
-    return manifest.withColumn("projects", F.array_join("projects", ","))
+    named = F.transform(
+        F.array_sort(F.map_entries("project_rows")),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
+    )
+    return manifest.withColumns(
+        {"projects": F.array_join("projects", ","), "project_rows": F.array_join(named, ",")}
+    )
 
 
 @query
@@ -489,6 +496,31 @@ def table_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return in_utc(paging.flat_page(table.lookup(LogQuery.parse(BILLING_WINDOW))))
 
 
+@query
+def table_total(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of a project, from the manifest and from the files at the edges of a window."""
+    table = new_table(spark, "total")
+    logs = events_as_logs(spark, folder, instants=True)
+    table.append(logs.repartitionByRange(12, "timestamp"))
+    window = LogQuery(project="billing-service", start=WINDOW[0], end=WINDOW[1])
+    asked = {"window": window, "project": LogQuery(project="billing-service"),
+             "logid": LogQuery(logid="req-0007"), "absent": LogQuery(project="absent-service")}
+    found = [table.total(q).select(F.lit(name).alias("asked"), "count") for name, q in asked.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def table_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages of a project in a window, each written by itself, from files in the order of time."""
+    table = new_table(spark, "walk")
+    logs = events_as_logs(spark, folder, instants=True)
+    table.append(logs.repartitionByRange(12, "timestamp"))
+    path = work_folder(spark, "table-walk")
+    for number, rows in enumerate(table.walk(LogQuery.parse(BILLING_WINDOW))):
+        rows.withColumn("page", F.lit(number)).write.mode("append").parquet(path)
+    return in_utc(spark.read.parquet(path))
+
+
 @query
 def table_pruned_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All rows of a window, read from the files left after pruning."""

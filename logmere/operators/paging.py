@@ -7,24 +7,24 @@ repeatable.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from logmere.functions.clock import is_wall, micros_literal, micros_of
+from logmere.operators import seek
+from logmere.operators.seek import Place
 from logmere.plans.query import LogQuery
 from logmere.schema import LOG_COLUMNS, TIE_COLUMNS
 from logmere.session import prepare_checkpoints
 
-# Up to this many rows a page is taken by top-k, which keeps them all per task.
-TOP_K_ROWS = 20_000
 # Rows per part when a page is looked for among rows of one time.
 PART_ROWS = 200_000
-# Widths in microseconds by which a deep page is located: day, minute,
-# millisecond, microsecond.
-SEEK_WIDTHS = [86_400_000_000, 60_000_000, 1_000, 1]
 PAGE_SIZE = 200
+# Pages that a walk locates at once.
+PAGES_AT_ONCE = 50
 # Shards of the live tail's first step, and the longest tail for which Spark puts
 # a group limit before the shuffle (its default threshold).
 TAIL_SHARDS = 64
@@ -41,61 +41,28 @@ def sort_logs(logs: DataFrame, newest_first: bool = True) -> DataFrame:
     return logs.orderBy(*order_columns(newest_first))
 
 
-def _page(
-    matched: DataFrame,
-    offset: int,
-    limit: int,
-    newest_first: bool,
-    top_k_rows: int = TOP_K_ROWS,
-) -> DataFrame:
-    rows = matched.select(*LOG_COLUMNS)
-    if offset + limit <= top_k_rows:
-        ordered = sort_logs(rows, newest_first)
-        return (ordered.offset(offset) if offset else ordered).limit(limit)
-    found = _seek(rows, offset, newest_first)
-    if found is None:
-        return rows.filter(F.lit(False))
-    micros, skip, number = found
-    moment, edge = F.col("timestamp"), micros_literal(micros, is_wall(rows))
-    if skip + limit <= top_k_rows:
-        rest = rows.filter(moment <= edge if newest_first else moment >= edge)
-        return sort_logs(rest, newest_first).offset(skip).limit(limit)
-    here = _within_tie(rows.filter(moment == edge), skip, limit, number)
-    rest = rows.filter(moment < edge if newest_first else moment > edge)
-    behind = sort_logs(rest, newest_first).limit(limit)
-    return sort_logs(here.unionByName(behind), newest_first).limit(limit)
-
-
-def _seek(
-    rows: DataFrame, offset: int, newest_first: bool
-) -> tuple[int, int, int] | None:
-    """Where a deep offset falls, without sorting the rows before it.
-
-    Counts per day, then per minute of the day found, and so on down to the
-    microsecond. Returns that microsecond, the part of the offset that lies
-    within it, and its number of rows; ``None`` past the end.
+def read_page(span: DataFrame, place: Place, newest_first: bool) -> DataFrame:
+    """The rows of a page, in order, from ``span``: the rows from its first time to its last.
+
+    All columns are read of these only: the page's rows, and those that share the times of its edges.
     """
-    wall = is_wall(rows)
-    moment, micros = F.col("timestamp"), micros_of(rows)
-    inside, found = rows, None
-    for width in SEEK_WIDTHS:
-        bucket = micros - F.pmod(micros, F.lit(width))
-        sizes = inside.groupBy(bucket.alias("low")).agg(F.count(F.lit(1)).alias("n"))
-        order = F.col("low").desc() if newest_first else F.col("low").asc()
-        for part in sizes.orderBy(order).toLocalIterator():
-            if offset < part["n"]:
-                found = part
-                break
-            offset -= part["n"]
-        else:
-            return None
-        low = found["low"]
-        inside = rows.filter(
-            moment.between(
-                micros_literal(low, wall), micros_literal(low + width - 1, wall)
-            )
-        )
-    return found["low"], offset, found["n"]
+    rows = span.select(*LOG_COLUMNS)
+    if place.span <= place.rows + seek.SORTED_ROWS:
+        ordered = sort_logs(rows, newest_first)
+        return (ordered.offset(place.skip) if place.skip else ordered).limit(place.rows)
+    # Very many rows share the time of an edge.
+    at = lambda key: seek.spanned(rows, key, key, newest_first)
+    if place.first == place.last:
+        return _within_tie(at(place.first), place.skip, place.rows, place.span)
+    head = min(place.first_ties - place.skip, place.rows)
+    tail = place.rows - head - (place.span - place.first_ties - place.last_ties)
+    middle = seek.spanned(rows, place.first + 1, place.last - 1, newest_first)
+    parts = [
+        _within_tie(at(place.first), place.skip, head, place.first_ties),
+        middle,
+        _within_tie(at(place.last), 0, tail, place.last_ties),
+    ]
+    return sort_logs(reduce(DataFrame.unionByName, parts), newest_first).limit(place.rows)
 
 
 def _within_tie(rows: DataFrame, offset: int, limit: int, number: int) -> DataFrame:
@@ -127,48 +94,54 @@ def _within_tie(rows: DataFrame, offset: int, limit: int, number: int) -> DataFr
     return sort_logs(chosen).offset(skip).limit(limit)
 
 
-def page(
-    logs: DataFrame, query: LogQuery, top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """The ordered rows of one page.
+#: From the edges of a page to the rows that match between them.
+Reader = Callable[[Place], DataFrame]
+
+
+def reader_of(matched: DataFrame, newest_first: bool) -> Reader:
+    return lambda place: seek.spanned(matched, place.first, place.last, newest_first)
+
+
+def page(logs: DataFrame, query: LogQuery) -> DataFrame:
+    """The ordered rows of one page; where it lies is found at once, by a few small jobs."""
+    return located(query.matching(logs), query)[1]
+
 
-    Pages that end beyond ``top_k_rows`` are located by counts first, which runs
-    a few small jobs at once; nearer ones are a lazy top-k.
+def located(
+    matched: DataFrame, query: LogQuery, read: Reader | None = None
+) -> tuple[int, DataFrame]:
+    """How many rows match, and the rows of the page.
+
+    ``matched`` is read for its times only; ``read`` gives the rows of the page, from ``matched``
+    unless told otherwise.
     """
-    return _page(
-        query.matching(logs),
-        query.page_offset,
-        query.page_limit,
-        query.newest_first,
-        top_k_rows,
-    )
+    newest_first = query.newest_first
+    total, places = seek.pages_at(matched, query.page_offset, query.page_limit, 1, newest_first)
+    if not places:
+        return total, matched.select(*LOG_COLUMNS).filter(F.lit(False))
+    rows = (read or reader_of(matched, newest_first))(places[0])
+    return total, read_page(rows, places[0], newest_first)
 
 
 def lookup(logs: DataFrame, query: LogQuery) -> DataFrame:
     """One row ``(count, results)``: all matches counted, one page returned.
 
-    The count reads only the columns the filters need; the page is a top-k over
-    the same scan. Past the last page ``results`` is empty and ``count`` stays.
+    Past the last page ``results`` is empty and ``count`` stays.
     """
-    total = query.matching(logs).agg(F.count(F.lit(1)).alias("n"))
-    return _envelope(total, page(logs, query), query.newest_first)
+    return envelope(*located(query.matching(logs), query), query.newest_first)
 
 
-def _envelope(total: DataFrame, rows: DataFrame, newest_first: bool) -> DataFrame:
+def envelope(total: int, rows: DataFrame, newest_first: bool) -> DataFrame:
     micros = micros_of(rows)
-    packed = rows.select(
-        F.struct(
-            (-micros if newest_first else micros).alias("rank"),
-            *[F.col(name) for name in TIE_COLUMNS],
-            F.col("timestamp"),
-        ).alias("row")
+    packed = F.struct(
+        (-micros if newest_first else micros).alias("rank"),
+        *[F.col(name) for name in TIE_COLUMNS],
+        F.col("timestamp"),
     )
     # A page holds at most MAX_LIMIT rows, so collecting it is bounded.
-    both = total.select("n").unionByName(packed, allowMissingColumns=True)
-    return both.agg(
-        F.sum("n").alias("count"), F.array_sort(F.collect_list("row")).alias("rows")
-    ).select(
-        "count",
+    held = rows.agg(F.array_sort(F.collect_list(packed)).alias("rows"))
+    return held.select(
+        F.lit(total).cast("bigint").alias("count"),
         F.transform(
             "rows",
             lambda r: F.struct(*[r[name].alias(name) for name in LOG_COLUMNS]),
@@ -206,94 +179,57 @@ def after(
     return logs.filter(bound & ((moment != edge) | behind))
 
 
-def copies_at(logs: DataFrame, cursor: Cursor) -> DataFrame:
-    """Rows equal to the row at a place in the order."""
-    same = F.col("timestamp") == micros_literal(cursor.micros, is_wall(logs))
-    for name, value in zip(TIE_COLUMNS, cursor.ties):
-        same = same & (F.col(name) == value)
-    return logs.filter(same)
-
-
 def walk(
-    logs: DataFrame, query: LogQuery, page_size: int = PAGE_SIZE
+    logs: DataFrame,
+    query: LogQuery,
+    page_size: int = PAGE_SIZE,
+    read: Reader | None = None,
 ) -> Iterator[list[Row]]:
-    """Pages one after another, each located by the last row of the page before.
+    """Pages one after another, to the end of what matches.
 
-    A page costs the same however deep it lies. Rows that are copies of one
-    another may straddle pages: the rest of them opens the next page, so nothing
-    is skipped or repeated. In a run longer than a page they are not sorted
-    again; any of them will do, and their number tells how many are left.
+    One search over the times locates fifty pages; for each of them only the rows between its edges
+    are read. ``logs`` must not change meanwhile: a page is told by its rank, and of rows equal in all
+    columns any will do.
     """
-    matched = query.matching(logs).select(*LOG_COLUMNS)
-    newest_first = query.newest_first
-    micros = micros_of(matched).alias("_us")
-
-    def fetch(rows: DataFrame) -> list[Row]:
-        return rows.select(*LOG_COLUMNS, micros).collect()
-
-    def place(row: Row) -> Cursor:
-        return Cursor(row["_us"], tuple(row[name] for name in TIE_COLUMNS))
-
-    rows = fetch(_page(matched, query.page_offset, page_size, newest_first))
-    last, shown = None, 0
-    while rows:
-        yield [Row(**{name: row[name] for name in LOG_COLUMNS}) for row in rows]
-        if len(rows) < page_size:
-            return
-        previous, last = last, place(rows[-1])
-        ending = sum(1 for row in rows if place(row) == last)
-        shown = shown + ending if last == previous else ending
-        if shown <= page_size:
-            # Rows equal to the last one come first; those shown are passed over.
-            rest = after(matched, last, newest_first, inclusive=True)
-            rows = fetch(_page(rest, shown, page_size, newest_first))
-            continue
-        copies = copies_at(matched, last)
-        left = min(copies.count() - shown, page_size)
-        rows = fetch(copies.limit(left)) if left > 0 else []
-        if len(rows) < page_size:
-            rest = after(matched, last, newest_first)
-            rows += fetch(_page(rest, 0, page_size - len(rows), newest_first))
+    matched, newest_first = query.matching(logs), query.newest_first
+    read = read or reader_of(matched, newest_first)
+    offset, total = query.page_offset, None
+    while total is None or offset < total:
+        total, places = seek.pages_at(matched, offset, page_size, PAGES_AT_ONCE, newest_first)
+        for place in places:
+            yield read_page(read(place), place, newest_first).collect()
+        offset += page_size * PAGES_AT_ONCE
 
 
 def walk_into(logs: DataFrame, query: LogQuery, path: str, page_size: int = PAGE_SIZE) -> DataFrame:
-    """All pages of ``walk``, to the end, as a table below ``path`` with their number ``page``.
+    """All pages, to the end, as rows with their number ``page``; the sorted rows stay at ``path``.
 
-    Each page is written by Spark; only the row it ends with reaches the driver.
+    Two passes, however many pages there are: the rows are dealt by ranges of the order (and a salt,
+    which parts even equal ones), sorted and written with their number inside the range; the sizes of
+    the ranges then tell each row's number in the whole, and so its page.
     """
-    spark = logs.sparkSession
-    matched = query.matching(logs).select(*LOG_COLUMNS)
-    newest_first = query.newest_first
-    rows, last, shown, number = _page(matched, query.page_offset, page_size, newest_first), None, 0, 0
-    while True:
-        rows.write.parquet(f"{path}/page={number}")
-        written = spark.read.schema(matched.schema).parquet(f"{path}/page={number}")
-        micros = micros_of(written)
-        equal = written.groupBy(
-            (-micros if newest_first else micros).alias("late"), micros.alias("us"), *TIE_COLUMNS
-        ).agg(F.count(F.lit(1)).alias("n"))
-        end = equal.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.max(F.struct("late", *TIE_COLUMNS, "us", "n")).alias("row"),
-        ).head()
-        if end["rows"] < page_size:
-            break
-        row, previous = end["row"], last
-        last = Cursor(row["us"], tuple(row[name] for name in TIE_COLUMNS))
-        shown = shown + row["n"] if last == previous else row["n"]
-        number += 1
-        if shown <= page_size:
-            rest = after(matched, last, newest_first, inclusive=True)
-            rows = _page(rest, shown, page_size, newest_first)
-            continue
-        copies = copies_at(matched, last)
-        left = max(0, min(copies.count() - shown, page_size))
-        rows = copies.limit(left)
-        if left < page_size:
-            rest = after(matched, last, newest_first)
-            rows = rows.unionByName(_page(rest, 0, page_size - left, newest_first))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matched.schema.fields)
-    return spark.read.schema(f"{kinds}, page int").parquet(path).select("page", *LOG_COLUMNS)
+    spark, newest_first = logs.sparkSession, query.newest_first
+    rows = query.matching(logs).select(*LOG_COLUMNS).withColumn("_salt", F.rand(3))
+    order = [*order_columns(newest_first), F.col("_salt")]
+    (
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        # The number of the range in the upper bits, that of the row in the lower 33.
+        .withColumn("_number", F.monotonically_increasing_id())
+        .drop("_salt")
+        .write.parquet(path)
+    )
+    written = spark.read.parquet(path)
+    part = F.shiftright("_number", 33)
+    inside = F.col("_number").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    # One row for each range: as many as the write had tasks.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    placed = written.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    number = F.col("_start") + inside - query.page_offset
+    pages = F.floor(number / page_size).cast("int")
+    return placed.filter(number >= 0).select(pages.alias("page"), *LOG_COLUMNS)
 
 
 def has_more(loaded: int, total: int) -> bool:

@@ -30,6 +30,8 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("row_count", T.LongType()),
         T.StructField("projects", T.ArrayType(T.StringType())),
         T.StructField("size_bytes", T.LongType()),
+        # Rows of each project; null in entries written before this was recorded.
+        T.StructField("project_rows", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 MANIFEST_COLUMNS = MANIFEST_SCHEMA.fieldNames()

@@ -10,10 +10,10 @@ resolved an earlier one.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from datetime import datetime, timedelta
+from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logmere.functions.clock import moment_literal
 from logmere.operators import manifest as listing
-from logmere.operators.paging import lookup
+from logmere.operators import paging, seek
 from logmere.plans.compaction import (
     COMPACT_PREFIX,
     MAX_FILE_BYTES,
@@ -32,7 +32,7 @@ from logmere.plans.compaction import (
 )
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import DEFAULT_TTL, plan_retention, retention_summary
-from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS
+from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS, LOG_SCHEMA
 from logmere.session import work_folder
 from logmere.sources.logs import list_data_files, read_logs
 from logmere.table.snapshot import CommitConflict, Snapshot, SnapshotLog
@@ -52,6 +52,7 @@ GRACE = timedelta(days=1)
 # Stands between a unit and the attempt to write it.
 ATTEMPT = "~"
 DELETE_THREADS = 32
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 @dataclass(frozen=True)
@@ -154,13 +155,63 @@ class LogTable:
         A damaged or missing file is an error. With ``tolerate_corrupt`` it is passed over, and
         ``skipped_files`` tells how many of the files that may match were.
         """
-        if not tolerate_corrupt:
-            return lookup(self.read(query), query)
         snapshot = self.snapshot()
+        if not tolerate_corrupt:
+            total = self.total(query, snapshot).head()["count"]
+            places = self._places(query, snapshot, query.page_offset, query.page_limit, 1)
+            rows = self._page(query, snapshot, places[0] if places else None)
+            return paging.envelope(total, rows, query.newest_first)
         manifest = listing.prune_files(self.manifest(snapshot), query)
         skipped = listing.unreadable_files(manifest, self._rows_per_file(manifest)).count()
         rows = self.read(query, tolerate_corrupt=True, snapshot=snapshot)
-        return lookup(rows, query).withColumn("skipped_files", F.lit(skipped))
+        return paging.lookup(rows, query).withColumn("skipped_files", F.lit(skipped))
+
+    def total(self, query: LogQuery, snapshot: Snapshot | None = None) -> DataFrame:
+        """One row ``count``: how many rows match.
+
+        By project and time the manifest knows, for files wholly inside the window; only those at its
+        edges are read. A logid or level takes a scan.
+        """
+        files = listing.counted_files(self.manifest(snapshot), query)
+        known = files.agg(F.coalesce(F.sum("certain"), F.lit(0)).alias("count"))
+        edges = self._read_files(
+            files.filter(F.col("certain").isNull()), tolerate_corrupt=False, with_file=False
+        )
+        counted = query.matching(edges).agg(F.count(F.lit(1)).alias("count"))
+        return known.unionByName(counted).agg(F.sum("count").alias("count"))
+
+    def walk(self, query: LogQuery, page_size: int = paging.PAGE_SIZE) -> Iterator[DataFrame]:
+        """The pages of one version, one after another, each a data frame in order.
+
+        The manifest says which files hold the next fifty pages, their times where each of these
+        lies; a page then reads all columns of the rows between its edges only, from the files that
+        have such rows.
+        """
+        snapshot, offset = self.snapshot(), query.page_offset
+        while places := self._places(query, snapshot, offset, page_size, paging.PAGES_AT_ONCE):
+            for place in places:
+                yield self._page(query, snapshot, place)
+            offset += page_size * paging.PAGES_AT_ONCE
+
+    def _places(
+        self, query: LogQuery, snapshot: Snapshot, offset: int, page_size: int, pages: int
+    ) -> list[seek.Place]:
+        files = listing.counted_files(self.manifest(snapshot), query)
+        near, skipped = listing.near_page(files, query, offset, page_size * pages)
+        rows = query.matching(self._read_files(near, tolerate_corrupt=False, with_file=False))
+        return seek.pages_at(rows, offset - skipped, page_size, pages, query.newest_first)[1]
+
+    def _page(self, query: LogQuery, snapshot: Snapshot, place: seek.Place | None) -> DataFrame:
+        if place is None:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        newest_first = query.newest_first
+        window = seek.moments(place, newest_first)
+        if window is not None:
+            start, end = (EPOCH + timedelta(microseconds=m) for m in window)
+            query = replace(query, start=start, end=end)
+        rows = query.matching(self.read(query, snapshot=snapshot))
+        span = seek.spanned(rows, place.first, place.last, newest_first)
+        return paging.read_page(span, place, newest_first)
 
     def dead_letters(self) -> DataFrame:
         """Refused records of the batches that the newest version has taken in."""

@@ -46,6 +46,12 @@ def make_logs(spark):
     return make
 
 
+def full_plan(frame) -> str:
+    """The physical plan with all that is pushed to its scans."""
+    modes = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return frame._jdf.queryExecution().explainString(modes.fromString("formatted"))
+
+
 def plain(frame) -> list[tuple]:
     """Rows as sorted tuples, times as UTC text."""
     from pyspark.sql import functions as F

@@ -6,8 +6,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, plain
-from logmere.operators import combine, filters, paging
+from conftest import at, full_plan, plain
+from logmere.operators import combine, filters, paging, seek
 from logmere.plans.query import LogQuery
 from logmere.schema import LOG_COLUMNS, LOG_SCHEMA
 
@@ -146,13 +146,49 @@ def test_walk_through_copies_only(spark):
 
 
 @pytest.mark.parametrize("order", ["asc", "desc"])
-def test_deep_page_equals_plain_page(spark, order):
+@pytest.mark.parametrize("few", [0, 7, 20_000])
+def test_page_is_that_of_the_whole_order(spark, order, few, monkeypatch):
+    monkeypatch.setattr(seek, "SORTED_ROWS", few)
     logs = many(spark, 5)
-    for offset in (0, 130, 5000):
+    whole = [tuple(r) for r in paging.sort_logs(logs, order != "asc").collect()]
+    for offset in (0, 130, 291, 299, 5000):
         query = LogQuery(logid="", project="", offset=offset, limit=9, order=order)
-        near = [tuple(r) for r in paging.page(logs, query).collect()]
-        deep = [tuple(r) for r in paging.page(logs, query, top_k_rows=0).collect()]
-        assert near == deep
+        assert [tuple(r) for r in paging.page(logs, query).collect()] == whole[offset : offset + 9]
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_page_of_very_many_times(spark, order, monkeypatch):
+    """Times that lie close together in some places and far apart in others, and one that is hot."""
+    monkeypatch.setattr(seek, "SORTED_ROWS", 50)
+    number = F.col("id")
+    micros = F.when(number % 5 < 3, F.lit(777_000_000)).otherwise(F.pow(F.col("id") % 10007, F.lit(3)))
+    logs = spark.range(40_000).select(
+        F.timestamp_micros(micros.cast("bigint")).alias("timestamp"),
+        F.lit("p").alias("project"),
+        number.cast("string").alias("logid"),
+        *(F.lit("").alias(c) for c in LOG_COLUMNS[3:]),
+    )
+    monkeypatch.setattr(paging, "PART_ROWS", 5_000)
+    whole = paging.sort_logs(logs, order != "asc").select("logid").collect()
+    jobs = spark.sparkContext.statusTracker()
+    hot = next(k for k, r in enumerate(whole) if int(r[0]) % 5 < 3)
+    for offset in (0, 9_000, hot - 3, hot + 23_990, 39_990):
+        query = LogQuery(project="p", offset=offset, limit=20, order=order)
+        spark.sparkContext.setJobGroup(f"page{offset}{order}", "")
+        got = paging.page(logs, query).select("logid").collect()
+        assert got == whole[offset : offset + 20]
+        assert len(jobs.getJobIdsForGroup(f"page{offset}{order}")) < 40
+
+
+def test_rows_without_a_time(spark):
+    rows = [(None, "p", str(k), "", "", "") for k in range(5)]
+    rows += [(at("00:00:00") + timedelta(seconds=k), "p", "t", "", "", "") for k in range(5)]
+    logs = spark.createDataFrame(rows, LOG_SCHEMA)
+    for order in ("asc", "desc"):
+        whole = [tuple(r) for r in paging.sort_logs(logs, order != "asc").collect()]
+        for offset in (0, 3, 6):
+            query = LogQuery(project="p", offset=offset, limit=3, order=order)
+            assert [tuple(r) for r in paging.page(logs, query).collect()] == whole[offset : offset + 3]
 
 
 def rows_of(frame):
@@ -161,6 +197,7 @@ def rows_of(frame):
 
 def test_deep_page_among_rows_of_one_time(spark, monkeypatch):
     """Most rows share a time, and half of those are copies of one row."""
+    monkeypatch.setattr(seek, "SORTED_ROWS", 40)
     monkeypatch.setattr(paging, "PART_ROWS", 25)
     rnd = random.Random(9)
     same = [(at("00:00:00"), "p", f"l{rnd.randrange(50)}", "INFO", "m", "") for _ in range(150)]
@@ -171,7 +208,7 @@ def test_deep_page_among_rows_of_one_time(spark, monkeypatch):
         whole = paging.sort_logs(logs, order != "asc").collect()
         for offset in (60, 290):
             query = LogQuery(offset=offset, limit=30, order=order)
-            got = paging.page(logs, query, top_k_rows=40).collect()
+            got = paging.page(logs, query).collect()
             assert [tuple(r) for r in got] == [tuple(r) for r in whole[offset : offset + 30]]
 
 
@@ -215,10 +252,12 @@ def test_plans(spark, tmp_path, make_logs):
     from logmere.sources import read_logs
 
     logs = read_logs(spark, str(tmp_path / "t"))
-    query = LogQuery(project="dock", start=at("06:00:00"), end=at("08:30:00"), offset=10)
+    query = LogQuery(project="dock", start=at("06:00:00"), end=at("08:30:00"), offset=1, limit=1)
     plan = plan_of(paging.page(logs, query))
-    assert "TakeOrderedAndProject(limit=110, offset=10" in plan
+    assert "TakeOrderedAndProject(limit=2, offset=1" in plan or "TakeOrderedAndProject(limit=1" in plan
     assert "EqualTo(project,dock)" in plan and "GreaterThanOrEqual(t" in plan
+    whole = full_plan(paging.page(logs, query))
+    assert "GreaterThanOrEqual(timestamp" in whole and "LessThanOrEqual(timestamp" in whole
     total = plan_of(query.matching(logs).agg(F.count(F.lit(1))))
     assert "ReadSchema: struct<timestamp:timestamp,project:string>" in total
     assert "In(level, [ERROR,FATAL])" in plan_of(filters.min_level(logs, "ERROR"))
@@ -247,3 +286,33 @@ def test_walk_into_passes_runs_of_copies(spark, tmp_path):
     got = paging.walk_into(logs, LogQuery(project="p"), str(tmp_path / "pages"), page_size=4).collect()
     sizes = [sum(r["page"] == k for r in got) for k in range(4)]
     assert sizes == [4, 4, 4, 2] and [r["logid"] for r in got].count("b") == 3
+
+
+def test_near_page_keeps_the_page_and_counts_the_rest(spark):
+    """Whatever files there are, the page's rows are in those kept, and those passed over come before."""
+    from logmere.operators import manifest as listing
+
+    rnd = random.Random(4)
+    for order in ("asc", "desc"):
+        rows = []
+        for file in range(30):
+            start = rnd.randrange(500)
+            for _ in range(rnd.randrange(1, 12)):
+                moment = at("00:00:00") + timedelta(seconds=start + rnd.randrange(rnd.choice([2, 300])))
+                rows.append((moment, rnd.choice("pq"), "l", "INFO", "m", "", f"f{file}"))
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA) + ", file string"
+        logs = spark.createDataFrame(rows, kinds).repartition(3).cache()
+        manifest = listing.build_manifest(logs, F.col("file"), F.count(F.lit(1)), F.sum).cache()
+        for window in ((None, None), (at("00:01:00"), at("00:06:00"))):
+            query = LogQuery(project="p", start=window[0], end=window[1], order=order)
+            whole = query.matching(logs).orderBy(*paging.order_columns(order != "asc")).collect()
+            assert paging.lookup(logs, query).head()["count"] == len(whole)
+            for offset in (0, 17, 40):
+                files = listing.counted_files(manifest, query)
+                near, skipped = listing.near_page(files, query, offset, 9)
+                kept = {r["file"] for r in near.collect()}
+                page = whole[offset : offset + 9]
+                assert {r["file"] for r in page} <= kept
+                ahead = [r for r in whole if r["file"] not in kept and r["timestamp"] != page[0]["timestamp"]
+                         and whole.index(r) < offset]
+                assert skipped == len(ahead) <= offset

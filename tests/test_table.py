@@ -7,12 +7,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from conftest import at, plain
-from logmere.operators import manifest as listing
+from conftest import at, full_plan, plain
+from logmere.operators import manifest as listing, paging
 from logmere.operators.paging import lookup
 from logmere.plans.compaction import compaction_batches, compaction_candidates
 from logmere.plans.query import LogQuery
@@ -224,7 +225,7 @@ def test_vacuum_after_very_many_commits(spark, table):
 
 
 def manifest_row(spark, rows):
-    return spark.createDataFrame(rows, MANIFEST_SCHEMA)
+    return spark.createDataFrame([(*r, None) for r in rows], MANIFEST_SCHEMA)
 
 
 def test_retention_plan(spark):
@@ -239,7 +240,7 @@ def test_retention_plan(spark):
     zero = listed.filter("file = 'old'").select(
         F.lit("zero").alias("file"),
         *[F.timestamp_micros(F.lit(-62135596800000000)).alias(n) for n in ("started", "ended")],
-        "row_count", "projects", "size_bytes")
+        "row_count", "projects", "size_bytes", "project_rows")
     listed = listed.unionByName(zero)
     plan = plan_retention(listed, now, 14 * day, ["active"])
     assert {r["file"] for r in plan.select("file").collect()} == {"old", "edge"}
@@ -440,3 +441,69 @@ def test_catalogue(spark, table, make_logs):
     assert listing.suggest_projects(listed, "%").count() == 0
     starts = [r["started"] for r in listing.list_files(listed).collect()]
     assert starts == sorted(starts, reverse=True)
+
+
+def spread_out(spark, n=900):
+    """Rows over some hours, from two projects."""
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 11)
+    return spark.range(n).select(
+        moment.alias("timestamp"),
+        F.when(F.col("id") % 3 == 0, "quay").otherwise("yard").alias("project"),
+        F.concat(F.lit("crate-"), F.col("id").cast("string")).alias("logid"),
+        F.lit("INFO").alias("level"),
+        F.lit("moved").alias("message"),
+        F.lit("").alias("caller"),
+    )
+
+
+def test_total_reads_files_at_the_edges_only(spark, table):
+    logs = spread_out(spark)
+    table.append(logs.repartitionByRange(9, "timestamp"))
+    whole = table.total(LogQuery(project="quay"))
+    assert whole.head()["count"] == 300
+    assert not any("/data/" in path for path in whole.inputFiles())
+    start = datetime.fromtimestamp(1_700_000_000 + 11 * 150, timezone.utc)
+    end = datetime.fromtimestamp(1_700_000_000 + 11 * 720, timezone.utc)
+    query = LogQuery(project="quay", start=start, end=end)
+    part = table.total(query)
+    assert part.head()["count"] == query.matching(logs).count()
+    assert 1 <= sum("/data/" in path for path in part.inputFiles()) <= 2
+    assert table.total(LogQuery(logid="crate-7")).head()["count"] == 1
+    assert table.total(LogQuery(project="nobody")).head()["count"] == 0
+
+
+def test_total_with_entries_of_the_older_kind(spark, table):
+    logs = spread_out(spark, 60)
+    unit = table.write_unit(logs.repartition(2), "old")
+    unit = unit.withColumn("project_rows", F.lit(None).cast("map<string,bigint>"))
+    table.log.commit(table.snapshot(), unit)
+    assert table.manifest().filter("project_rows is null").count() == 2
+    assert table.total(LogQuery(project="quay")).head()["count"] == 20
+    assert table.lookup(LogQuery(project="quay", limit=5, offset=2)).head()["count"] == 20
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+@pytest.mark.parametrize("sorted_files", [True, False])
+def test_table_walk(spark, table, order, sorted_files, monkeypatch):
+    monkeypatch.setattr(paging, "PAGES_AT_ONCE", 3)
+    logs = spread_out(spark)
+    table.append(logs.repartitionByRange(9, "timestamp") if sorted_files else logs.repartition(4))
+    query = LogQuery(project="quay", order=order, offset=11)
+    want = paging.sort_logs(query.matching(logs), order != "asc").collect()[11:]
+    pages = list(table.walk(query, page_size=40))
+    table.append(spread_out(spark, 50))
+    got = [page.collect() for page in pages]
+    assert [len(rows) for rows in got] == [40] * 7 + [9]
+    assert [tuple(r) for rows in got for r in rows] == [tuple(r) for r in want]
+    found = table.lookup(LogQuery(project="yard", offset=30, limit=7)).head()
+    assert found["count"] == 600 + 33 and len(found["results"]) == 7
+
+
+def test_a_page_reads_messages_of_its_own_rows_only(spark, table):
+    table.append(spread_out(spark).repartitionByRange(9, "timestamp"))
+    page = next(table.walk(LogQuery(project="quay"), page_size=20))
+    plan = full_plan(page)
+    assert len(page.inputFiles()) == 1 and "message" in plan
+    assert "GreaterThanOrEqual(timestamp" in plan and "LessThanOrEqual(timestamp" in plan
+    assert page.count() == 20
+
