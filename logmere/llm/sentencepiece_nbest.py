@@ -34,10 +34,11 @@ SPACE = "▁"
 LITERAL = "x" + SPACE
 UNKNOWN_PENALTY = 10.0
 #: Stretches remembered; when they are more, those met most often stay, half as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 MOST_SEVERAL = 5_000
-#: Longer stretches are searched one by one.
+#: Longer stretches are searched one by one, the others so many at a time.
 MOST_TOGETHER = 48
+TOGETHER = 12_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 
@@ -228,7 +229,9 @@ class Pieces:
     def learn(self, new: list[str]) -> None:
         """Find and remember the best paths of stretches that aren't known."""
         single = [x for x in new if len(x) > MOST_TOGETHER or x == LITERAL]
-        self._learn_together([x for x in new if len(x) <= MOST_TOGETHER and x != LITERAL], single)
+        short = [x for x in new if len(x) <= MOST_TOGETHER and x != LITERAL]
+        for at in range(0, len(short), TOGETHER):
+            self._learn_together(short[at : at + TOGETHER], single)
         if single:
             found = [
                 (*self.search(x, 1)[0], math.inf) if x == LITERAL else self._viterbi(x) for x in single
@@ -536,6 +539,7 @@ def encode(
                     ],
                     schema=kinds,
                 )
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"),
@@ -546,7 +550,7 @@ def encode(
     return rows.mapInArrow(run, ENCODED + "".join(also))
 
 
-ROWS_AT_ONCE, CHARS_AT_ONCE = 500, 2_000_000
+ROWS_AT_ONCE, CHARS_AT_ONCE = 500, 500_000
 
 
 def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
