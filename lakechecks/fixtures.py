@@ -101,3 +101,36 @@ def wire_corpus(spark: SparkSession, folder: str) -> DataFrame:
         value = value.when(slot == number, F.lit(payload))
     value = value.when(slot >= len(payloads), F.col("value"))
     return good.select("event_id", value.alias("value"))
+
+
+def named_as_parquet(spark: SparkSession, folder: str) -> None:
+    """Give the text files of a folder names of Parquet files."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    at = paths.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(at):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            store.rename(status.getPath(), paths.Path(f"{folder}/{name[:-4]}.parquet"))
+
+
+def nanosecond_files(folder: str):
+    """A function for ``mapInArrow``: each task writes its rows with ``timestamp`` in nanoseconds."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        store, path = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
+        for batch in batches:
+            moments = batch.column("timestamp").cast(pa.timestamp("ns", "UTC"))
+            columns = [moments, *batch.columns[1:]]
+            name = f"{path}/{uuid.uuid4().hex}.parquet"
+            pq.write_table(pa.table(columns, batch.schema.names), name, filesystem=store)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    return run

@@ -148,6 +148,16 @@ FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, {TIES}) AS rank
 SELECT {SIX}, CAST(row_number() OVER w AS INTEGER) AS position FROM logs
 WINDOW w AS (PARTITION BY project ORDER BY "timestamp" DESC, {TIES})
 QUALIFY row_number() OVER w <= 10"""),
+    "stream_live_tail": over_logs(f"""
+SELECT {SIX}, CAST(row_number() OVER w AS INTEGER) AS position FROM logs
+WINDOW w AS (PARTITION BY project ORDER BY "timestamp" DESC, {TIES})
+QUALIFY row_number() OVER w <= 10"""),
+    "stream_merge_unique": over_logs(f"""
+SELECT {SIX} FROM logs QUALIFY row_number() OVER (
+  PARTITION BY "timestamp", project, logid, message ORDER BY event_id) = 1"""),
+    "ingest_file_sizes": over_logs(
+        "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS above, true AS mostly_full, count(*) AS listed FROM logs"
+    ),
     "live_tail_by_logid": over_logs(f"""
 SELECT {SIX}, CAST(row_number() OVER w AS INTEGER) AS position FROM logs
 WINDOW w AS (PARTITION BY logid ORDER BY "timestamp" DESC, {TIES})

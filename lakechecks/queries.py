@@ -13,6 +13,8 @@ from lakechecks.fixtures import (
     in_utc,
     logs_of,
     manifest_of,
+    named_as_parquet,
+    nanosecond_files,
     new_table,
     stored,
     wire_corpus,
@@ -36,12 +38,16 @@ from logmere.plans.compaction import (
     compaction_candidates,
     compaction_summary,
 )
+from logmere.functions.sizes import row_bytes
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import plan_retention, retention_summary
+from logmere.schema import LOG_SCHEMA
 from logmere.session import work_folder
 from logmere.sources import encode, events_as_logs, import_nanos, read_logs, read_wire
 from logmere.sources.wire import write_wire
 from logmere.streaming.ingest import ingest
+from logmere.streaming.tail import keep_tail, read_tail
+from logmere.table.log_table import FileLayout
 
 WINDOW = (datetime(2024, 1, 5), datetime(2024, 1, 6))
 BILLING_WINDOW = {
@@ -202,6 +208,37 @@ def merge_unique(spark: SparkSession, folder: str) -> DataFrame:
     return combine.merge_unique(doubled, ["source", "event_id"])
 
 
+@query
+def stream_merge_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows in no order of time, then copies of all and more of them, through a stream of many batches."""
+    path, out = work_folder(spark, "copies"), work_folder(spark, "unique")
+    logs = events_as_logs(spark, folder, instants=True, keep_id=True)
+    shuffled = logs.orderBy(F.xxhash64("event_id")).drop("event_id").repartition(6)
+    shuffled.write.parquet(path)
+    again = logs.withColumn("level", F.lit("OTHER")).drop("event_id").repartition(5)
+    again.unionByName(again.filter(F.col("project") == "auth-service")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 3).parquet(path)
+    run = (
+        combine.merge_unique_stream(stream)
+        .writeStream.option("checkpointLocation", work_folder(spark, "unique-run"))
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    run.awaitTermination()
+    return in_utc(spark.read.parquet(out))
+
+
+@query
+def stream_live_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """The tail kept batch by batch, rows coming in no order of time."""
+    path, tail = work_folder(spark, "tail-rows"), work_folder(spark, "tail")
+    logs = events_as_logs(spark, folder, instants=True, keep_id=True)
+    logs.orderBy(F.xxhash64("event_id")).drop("event_id").repartition(9).write.parquet(path)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 3).parquet(path)
+    keep_tail(stream, tail, work_folder(spark, "tail-run"), 10, available_now=True).awaitTermination()
+    return in_utc(read_tail(spark, tail))
+
+
 # -- reports -------------------------------------------------------------
 
 
@@ -408,18 +445,37 @@ def read_beside_corrupt(spark: SparkSession, folder: str) -> DataFrame:
     logs.write.parquet(f"{path}/good")
     texts = logs.select("message").repartition(2)
     texts.write.option("compression", "none").text(f"{path}/texts")
+    named_as_parquet(spark, f"{path}/texts")
     return in_utc(read_logs(spark, path, tolerate_corrupt=True))
 
 
 @query
 def read_nanoseconds(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose time is a Parquet timestamp in nanoseconds, written by the tasks."""
     path = work_folder(spark, "nanos")
     logs = events_as_logs(spark, folder, instants=True)
-    nanos = F.unix_micros("timestamp") * 1000 + 789
-    logs.withColumn("timestamp", nanos).write.parquet(path)
+    nanos = logs.withColumn("timestamp", F.unix_micros("timestamp") * 1000 + 789)
+    nanos.repartition(4).mapInArrow(nanosecond_files(path), "file string").collect()
     return in_utc(import_nanos(spark, path))
 
 
+@query
+def ingest_file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of bounded bytes: the rows stay, none is above the bound, and few are far below."""
+    bound = 20_000
+    table = new_table(spark, "sized")
+    table.layout = FileLayout(max_file_bytes=bound)
+    table.append(events_as_logs(spark, folder, instants=True).repartition(3))
+    rows = table.read(with_file=True)
+    sizes = rows.groupBy("file").agg(F.sum(row_bytes()).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.sum("n").alias("rows"),
+        F.count_if(F.col("bytes") > bound).alias("above"),
+        (F.count_if(F.col("bytes") < bound // 3) <= 3).alias("mostly_full"),
+        F.lit(table.manifest().agg(F.sum("row_count")).head()[0]).cast("bigint").alias("listed"),
+    )
+
+
 @query
 def build_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(manifest_of(spark, folder))

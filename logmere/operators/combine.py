@@ -36,3 +36,19 @@ def merge_unique(logs: DataFrame, arrival: list[str]) -> DataFrame:
         .select(*COPY_KEY, *[F.col("_first")[name].alias(name) for name in others])
         .select(*LOG_COLUMNS)
     )
+
+
+def merge_unique_stream(logs: DataFrame, forget_after: str = "1 hour") -> DataFrame:
+    """The rows of a stream without later copies, in append mode.
+
+    Keys are kept as state and forgotten ``forget_after`` they were last needed by the clock of the
+    batches, not by the times of the rows: however late or shuffled these are, a row that is nobody's
+    copy is never dropped. A copy that comes after its key was forgotten passes. Of copies in one batch
+    the first of a source partition stays.
+    """
+    seen = logs.withColumn("_batch_time", F.current_timestamp())
+    return (
+        seen.withWatermark("_batch_time", forget_after)
+        .dropDuplicatesWithinWatermark(COPY_KEY)
+        .drop("_batch_time")
+    )

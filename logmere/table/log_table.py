@@ -17,9 +17,10 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logmere.functions.clock import moment_literal
+from logmere.functions.sizes import row_bytes
 from logmere.operators import manifest as listing
 from logmere.operators import paging, seek
 from logmere.plans.compaction import (
@@ -32,7 +33,7 @@ from logmere.plans.compaction import (
 )
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import DEFAULT_TTL, plan_retention, retention_summary
-from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS, LOG_SCHEMA
+from logmere.schema import DEAD_LETTER_SCHEMA, LOG_COLUMNS, LOG_SCHEMA, TIE_COLUMNS
 from logmere.session import work_folder
 from logmere.sources.logs import list_data_files, read_logs
 from logmere.table.snapshot import CommitConflict, Snapshot, SnapshotLog
@@ -61,11 +62,13 @@ class FileLayout:
 
     A stream batch is written to no more files than gives each at least
     ``stream_rows_per_file`` rows (the last ones aside), however many tasks it was
-    read by; ``max_rows_per_file`` splits files, 0 leaves them whole. Row groups hold up to 65,536 rows of a couple of hundred bytes; bloom filters
+    read by; ``max_rows_per_file`` splits files, 0 leaves them whole. With ``max_file_bytes`` no file
+    has more bytes of rows (by ``row_bytes``), unless one row alone has. Row groups hold up to 65,536 rows of a couple of hundred bytes; bloom filters
     on the correlation id let a look-up skip row groups of high-cardinality ids.
     """
 
     max_rows_per_file: int = 0
+    max_file_bytes: int = 0
     stream_rows_per_file: int = 65_536
     row_group_bytes: int = 16 * 1024 * 1024
     compression: str = "snappy"
@@ -85,6 +88,26 @@ def _relative(path: Column) -> Column:
     return F.substring_index(path, "/data/", -1)
 
 
+def sized_files(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with the name ``file`` of the one they go to, so that none has more than ``most`` bytes.
+
+    Running sums over the rows of a task, in the order of time, are cut at multiples of half the bound;
+    a row of more than half of it has a file of its own. So a file has half the bound and one
+    row of at most the other half.
+    """
+    half = max(1, most // 2)
+    ordered = Window.partitionBy("task").orderBy("timestamp", *TIE_COLUMNS, "number")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumns(
+        {"task": F.spark_partition_id(), "number": F.monotonically_increasing_id(), "bytes": row_bytes()}
+    )
+    end = F.sum("bytes").over(upto)
+    name = F.when(F.col("bytes") > half, F.concat(F.lit("row-"), F.col("number").cast("string"))).otherwise(
+        F.concat_ws("-", "task", F.floor(end / half).cast("string"))
+    )
+    return numbered.withColumn("file", name).select(*rows.columns, "file")
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, root: str, layout: FileLayout | None = None):
         self.spark = spark
@@ -255,17 +278,18 @@ class LogTable:
     def write_unit(self, logs: DataFrame, unit: str) -> DataFrame:
         """Write log files below ``data/<unit>`` and return their manifest rows.
 
-        Nothing is shuffled: tasks order their own rows by time, which keeps the
-        time range of each row group narrow. Each attempt has a folder of its own, so
+        Nothing is shuffled, unless the layout bounds the bytes of a file: tasks order their own rows
+        by time, which keeps the time range of each row group narrow. Each attempt has a folder of its own, so
         one that is repeated never touches files that are committed.
         """
         unit = f"{unit}{ATTEMPT}{uuid.uuid4().hex}"
-        (
-            logs.select(*LOG_COLUMNS)
-            .sortWithinPartitions("timestamp")
-            .write.options(**self.layout.options())
-            .parquet(f"{self.root}/data/{unit}")
-        )
+        rows = logs.select(*LOG_COLUMNS)
+        if self.layout.max_file_bytes:
+            sized = sized_files(rows, self.layout.max_file_bytes)
+            writer = sized.sortWithinPartitions("file", "timestamp").write.partitionBy("file")
+        else:
+            writer = rows.sortWithinPartitions("timestamp").write
+        writer.options(**self.layout.options()).parquet(f"{self.root}/data/{unit}")
         return self.describe_unit(unit)
 
     def describe_unit(self, unit: str) -> DataFrame:
@@ -344,14 +368,16 @@ class LogTable:
         ).write.parquet(plan_path)
         batches = self.spark.read.parquet(plan_path)
         last = batches.agg(F.max("batch")).head()[0]
-        merged = [
-            self._merge(
-                batches.filter(F.col("batch").between(start, start + wave - 1)),
-                start,
-                min(wave, last + 1 - start),
-            )
-            for start in range(0, 0 if last is None else last + 1, wave)
-        ]
+        merged = []
+        for start in range(0, 0 if last is None else last + 1, wave):
+            some = batches.filter(F.col("batch").between(start, start + wave - 1))
+            try:
+                merged.append(self._merge(some, start, min(wave, last + 1 - start)))
+            except CommitConflict:
+                # What was committed stays, and is told; the rest waits for the next run.
+                if not merged:
+                    raise
+                break
         done = batches.filter(F.lit(False))
         if merged:
             done = self.spark.read.schema(batches.schema).parquet(*merged)
@@ -367,7 +393,9 @@ class LogTable:
         unit = f"{COMPACT_PREFIX}{uuid.uuid4().hex}"
         self._rewrite(manifest, batches, unit, start, count)
         batch_of = F.regexp_extract("file", r"/batch=(\d+)/", 1).cast("bigint")
-        written = self.describe_unit(unit).withColumn("batch", batch_of)
+        written_path = work_folder(self.spark, "compaction-written")
+        self.describe_unit(unit).withColumn("batch", batch_of).write.parquet(written_path)
+        written = self.spark.read.parquet(written_path)
         listed = (
             batches.join(manifest, "file")
             .groupBy("batch")
