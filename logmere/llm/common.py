@@ -55,35 +55,45 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def spread(number: Column) -> Column:
+def spread(*values: Column) -> Column:
     """One of 4,096 buckets, by digest; null has a bucket too."""
-    digest = F.md5(F.coalesce(number.cast("string"), F.lit("")).cast("binary"))
-    return F.substring(digest, 1, BUCKET_DIGITS)
+    told = F.concat_ws(" ", *(F.coalesce(v.cast("string"), F.lit("")) for v in values))
+    return F.substring(F.md5(told.cast("binary")), 1, BUCKET_DIGITS)
 
 
-def numbered(rows: DataFrame, group: str, by: str, name: str) -> DataFrame:
+def unused(columns: list[str]) -> str:
+    """A beginning of names that none of ``columns`` has."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return mark
+
+
+def numbered(rows: DataFrame, group: str, by: list[str], name: str) -> DataFrame:
     """``rows`` with their number in ``group``, from 0 without gaps, as the column ``name``.
 
     Order: bucket of ``by``, then ``by``. A group is never in one task: rows are numbered inside
-    buckets, and the counts of the buckets (4,096 for each group at most) say where each starts.
-    Rows with equal ``by`` get different numbers, in no particular order.
+    buckets, and the counts of the buckets (4,096 for each group at most) say where each starts. Rows
+    that are equal in all of ``by`` get different numbers, in no particular order, and share a bucket:
+    so ``by`` names, beside an id that many rows may share or lack, a digest of the row.
     """
-    placed = rows.withColumn("_bucket", spread(F.col(by)))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    mark = unused(rows.columns)
+    placed = rows.withColumn(f"{mark}bucket", spread(*map(F.col, by)))
+    before = Window.partitionBy(group).orderBy(f"{mark}bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy(group, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        placed.groupBy(group, f"{mark}bucket")
+        .agg(F.count(F.lit(1)).alias(f"{mark}rows"))
         .select(
-            F.col(group).alias("_group"),
-            F.col("_bucket").alias("_in"),
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+            F.col(group).alias(f"{mark}group"),
+            F.col(f"{mark}bucket").alias(f"{mark}in"),
+            F.coalesce(F.sum(f"{mark}rows").over(before), F.lit(0)).alias(f"{mark}start"),
         )
     )
-    inside = Window.partitionBy(group, "_bucket").orderBy(by)
-    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_in"))
+    inside = Window.partitionBy(group, f"{mark}bucket").orderBy(*by)
+    same = F.col(group).eqNullSafe(F.col(f"{mark}group")) & (F.col(f"{mark}bucket") == F.col(f"{mark}in"))
     return (
-        placed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
+        placed.withColumn(f"{mark}rank", F.row_number().over(inside).cast("long") - 1)
         .join(F.broadcast(starts), same)
-        .withColumn(name, F.col("_start") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_group", "_in", "_start")
+        .withColumn(name, F.col(f"{mark}start") + F.col(f"{mark}rank"))
+        .drop(f"{mark}bucket", f"{mark}rank", f"{mark}group", f"{mark}in", f"{mark}start")
     )

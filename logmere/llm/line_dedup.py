@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmere.llm.common import BROADCAST_ROWS, NOT_SPACE, checked, stored
+from logmere.llm.common import BROADCAST_ROWS, NOT_SPACE, checked, stored, unused
 
 LEAST_CHARS = 30
 MOST_CORE = 32
@@ -228,16 +228,26 @@ def dedup_lines(
     A line (up to ``\\n``, with a word) goes if an equal line comes earlier: in a document with a
     smaller id, or higher up in the same one. It takes ``least_equal`` characters, or ``least_chars``
     if that isn't given. Lines of ``least_chars`` characters go as well, with ``max_edits`` 1, if one
-    within one edit comes earlier. Shorter lines stay. Ids that are null come last, as one document;
-    so do rows that share an id: their own repetitions inside a row go, the rows stay. Null texts
-    stay null, empty ones empty. A text may become empty. Documents never go, and other columns
-    stay as they are. An empty table gives no rows.
+    within one edit comes earlier. Shorter lines stay. Each row is a document of its own: null ids
+    come last, and rows with equal ids, or none, follow one another by a digest of the text; of rows
+    equal in both any one comes first. Null texts stay null, empty ones empty. A text may become empty.
+    Documents never go, and other columns stay as they are, but for one named ``lines_gone``, which is
+    replaced. An empty table gives no rows.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     least_equal = least_chars if least_equal is None else min(least_equal, least_chars)
-    order = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))
-    given = docs.select(order.alias("doc"), F.col(text_column).alias("text"))
+    columns = [c for c in docs.columns if c != "lines_gone"]
+    mark = unused(docs.columns)
+    key, gone_name, lines_name, left_name = (f"{mark}{c}" for c in ("key", "gone", "lines", "left"))
+    order = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id")
+    # Written, so that a row's number stays the same however often the rows are read.
+    docs = docs.select(*columns, F.monotonically_increasing_id().alias(f"{mark}number"))
+    docs = stored(docs, "line-documents")
+    row = F.struct(
+        order, F.xxhash64(F.col(text_column)).alias("text"), F.col(f"{mark}number").alias("number")
+    )
+    given = docs.select(row.alias("doc"), F.col(text_column).alias("text"))
     line = F.col("line")
     size = F.length(line)
     half = lambda longer: F.floor((longer - 1) / 2).cast("int")
@@ -263,7 +273,8 @@ def dedup_lines(
     repeated = lines.filter("first < last").select("h1", "h2", "first", F.lit(False).alias("late"))
     if max_edits:
         late = near_lines(given, lines.filter(F.col("keys")[0].isNotNull()), least_chars)
-        late = late.select("h1", "h2", F.lit(None).cast("long").alias("first"), F.lit(True).alias("late"))
+        kind = lines.schema["first"].dataType
+        late = late.select("h1", "h2", F.lit(None).cast(kind).alias("first"), F.lit(True).alias("late"))
         repeated = repeated.unionByName(late)
     repeated = repeated.groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("late").alias("late"))
     repeated = stored(repeated, "lines-repeated")
@@ -276,22 +287,20 @@ def dedup_lines(
         .groupBy("doc")
         .agg(F.collect_set("h1").alias("gone"))
     )
-    gone = stored(gone.select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone")), "lines-gone")
-    small = gone.agg(F.coalesce(F.sum(F.size("__gone") + 4), F.lit(0))).head()[0] <= 2 * BROADCAST_ROWS
+    # A row stands for itself, by its number.
+    gone = stored(gone.select(F.col("doc.number").alias(key), F.col("gone").alias(gone_name)), "lines-gone")
+    small = gone.agg(F.coalesce(F.sum(F.size(gone_name) + 4), F.lit(0))).head()[0] <= 2 * BROADCAST_ROWS
     text = F.col(text_column)
     lines_of = F.split(text, "\n")
-    left = _rebuilt(text, F.coalesce("__gone", F.array().cast("array<bigint>")), least_equal)
-    changes = F.col("__gone").isNotNull() | (F.size(lines_of) > F.size(F.array_distinct(lines_of)))
-    joined = docs.join(F.broadcast(gone) if small else gone, order == F.col("__doc"), "left")
-    names = [c for c in docs.columns if c != text_column]
+    left = _rebuilt(text, F.coalesce(gone_name, F.array().cast("array<bigint>")), least_equal)
+    changes = F.col(gone_name).isNotNull() | (F.size(lines_of) > F.size(F.array_distinct(lines_of)))
+    same = F.col(f"{mark}number") == F.col(key)
+    joined = docs.join(F.broadcast(gone) if small else gone, same, "left")
     rebuilt = joined.select(
-        *names,
-        text.alias(text_column),
-        F.size(lines_of).alias("__lines"),
-        F.when(changes, left).alias("__left"),
+        *columns, F.size(lines_of).alias(lines_name), F.when(changes, left).alias(left_name)
     )
-    whole = F.when(F.col("__left").isNull(), text).otherwise(F.col("__left.text"))
+    whole = F.when(F.col(left_name).isNull(), text).otherwise(F.col(f"{left_name}.text"))
     return rebuilt.select(
-        *(whole.alias(c) if c == text_column else c for c in docs.columns),
-        F.coalesce(F.col("__lines") - F.col("__left.lines"), F.lit(0)).alias("lines_gone"),
+        *(whole.alias(c) if c == text_column else c for c in columns),
+        F.coalesce(F.col(lines_name) - F.col(f"{left_name}.lines"), F.lit(0)).alias("lines_gone"),
     )

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from llm_fixtures import documents  # noqa: F401
@@ -21,30 +22,39 @@ def edits_within_one(a, b):
     return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
 
 
-def by_hand(rows, least=LEAST, edits=1):
+def by_hand(rows, least=LEAST, edits=1, least_equal=None):
     """Texts without late lines; each pair of different lines is compared."""
     last = 1 << 63
-    counts = lambda x: len(x) >= least and re.search(r"[^\x20\x09-\x0D]", x)
+    counts = lambda x: len(x) >= (least_equal or least) and re.search(r"[^\x20\x09-\x0D]", x)
+
+    def digest(text):
+        return 42 if text is None else xxhash.xxh64(text.encode(), seed=42).intdigest()
+
+    def signed(h):
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    keys = [(last if d is None else d, signed(digest(t)), k) for k, (d, t) in enumerate(rows)]
     places = {}
-    for doc, text in rows:
+    for key, (_, text) in zip(keys, rows):
         for k, x in enumerate((text or "").split("\n")):
             if counts(x):
-                at = (last if doc is None else doc, k)
-                places[x] = min(places.get(x, at), at)
+                places[x] = min(places.get(x, (key, k)), (key, k))
     late = {
         x
         for x in places
-        if edits and any(places[y] < places[x] and edits_within_one(x, y) for y in places)
+        if edits
+        and len(x) >= least
+        and any(len(y) >= least and places[y] < places[x] and edits_within_one(x, y) for y in places)
     }
     out = []
-    for doc, text in rows:
+    for key, (doc, text) in zip(keys, rows):
         if text is None:
             out.append((doc, None))
             continue
         kept, seen = [], set()
         for x in text.split("\n"):
             if counts(x):
-                own = places[x][0] == (last if doc is None else doc)
+                own = places[x][0] == key
                 if x in late or not own or x in seen:
                     continue
                 seen.add(x)
@@ -116,6 +126,17 @@ def test_odd_rows(documents):
     assert {r["doc_id"]: r["lines_gone"] for r in found}[3] == 1
 
 
+def test_rows_that_share_an_id_or_have_none(documents):
+    line = "one line that stands in all of them"
+    rows = [(None, line)] * 5 + [(4, line + "\nown a"), (4, line + "\nown b"), (4, line + "\nown b"), (None, None)]
+    found = check(documents(rows).withColumns({"lines_gone": F.lit("x"), "__doc": F.lit(1)}).drop("lines_gone"))
+    assert sum(r["lines_gone"] for r in found) == 7
+    named = documents([(None, line)] * 5).withColumns({"lines_gone": F.lit(9), "_key": F.lit(1), "_number": F.lit(1)})
+    got = line_dedup.dedup_lines(named)
+    assert got.columns.count("lines_gone") == 1
+    assert sorted(r["lines_gone"] for r in got.collect()) == [0, 1, 1, 1, 1]
+
+
 def test_nothing_left_and_empty_table(documents):
     found = check(documents(["one line is all of it"] * 3))
     assert sorted(r["lines_gone"] for r in found) == [0, 1, 1]
