@@ -16,8 +16,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
-from logmere.llm.common import numbered, stored
+from logmere.llm.common import numbered, stored, unused
 
 REST = ""
 BLOCK_ROWS = 16
@@ -89,21 +90,27 @@ def mix(
     ``weights``: positive whole numbers by source. All sources without a weight, and rows without a
     source, together are one more source of weight ``rest_weight``. Nothing is dropped or repeated:
     when a source runs out, the others go on by their weights. Inside a source the order is by
-    digest of the id, then id; rows that share an id are next to each other. An empty table gives
-    no rows. A weight below 1, or a sum above ``MOST_WEIGHT``, is refused.
+    digest of id and row, then id; so rows that share an id, or have none, are spread. A column
+    ``position`` is replaced. An empty table gives no rows. A weight below 1, or a sum above ``MOST_WEIGHT``, is refused.
     """
     weights = {**weights, REST: rest_weight}
     if min(weights.values()) < 1 or sum(weights.values()) > MOST_WEIGHT or block_rows < 1:
         raise ValueError("weights are whole numbers from 1, and few enough for one period")
     named = [name for name in weights if name != REST]
+    mark = unused(docs.columns)
+    name_of = lambda name: f"{mark}{name}"
+    own = lambda name: F.col(name_of(name))
+    kept = [c for c in docs.columns if c != "position"]
     group = F.when(F.col(source_column).isin(named), F.col(source_column)).otherwise(F.lit(REST))
-    placed = numbered(docs.withColumn("__group", group), "__group", id_column, "__rank")
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, MapType)]
+    keyed = docs.withColumns({name_of("group"): group, name_of("digest"): F.xxhash64(*plain)})
+    placed = numbered(keyed, name_of("group"), [id_column, name_of("digest")], name_of("rank"))
     counted = docs.select(group.alias("g")).groupBy("g").count().collect()
     rows = {r["g"]: r["count"] for r in counted}
     blocks = {name: -(-n // block_rows) for name, n in rows.items()}
     plan = phases(blocks, weights)
     if not plan:
-        return docs.withColumn("position", F.lit(0).cast("long"))
+        return docs.select(*kept, F.lit(0).cast("long").alias("position"))
 
     spans, slots, last = [], [], {}
     for k, phase in enumerate(plan):
@@ -122,12 +129,13 @@ def mix(
     spark = docs.sparkSession
     span = spark.createDataFrame(
         spans,
-        "__name string, __phase int, __done long, __until long, __share long, __period long",
+        "name string, phase int, done long, until long, share long, period long",
     )
-    first = spark.createDataFrame(slots, "__of string, __in int, __inner long, __slot long")
-    block = F.floor(F.col("__rank") / block_rows)
-    turn = block - F.col("__done")
-    at = F.col("__slot") + F.floor(turn / F.col("__share")) * F.col("__period")
+    first = spark.createDataFrame(slots, "of string, in int, inner long, slot long")
+    span, first = (t.select(*(F.col(c).alias(name_of(c)) for c in t.columns)) for t in (span, first))
+    block = F.floor(own("rank") / block_rows)
+    turn = block - own("done")
+    at = own("slot") + F.floor(turn / own("share")) * own("period")
     # A source's last block may be short; what follows it moves up.
     short = F.lit(0).cast("long")
     for name, slot in last.items():
@@ -135,21 +143,19 @@ def mix(
         if lacking:
             short = short + F.when(at > slot, lacking).otherwise(0)
     in_span = (
-        (F.col("__group") == F.col("__name"))
-        & (block >= F.col("__done"))
-        & (block < F.col("__until"))
+        (own("group") == own("name")) & (block >= own("done")) & (block < own("until"))
     )
     in_turn = (
-        (F.col("__name") == F.col("__of"))
-        & (F.col("__phase") == F.col("__in"))
-        & (F.pmod(turn, F.col("__share")) == F.col("__inner"))
+        (own("name") == own("of"))
+        & (own("phase") == own("in"))
+        & (F.pmod(turn, own("share")) == own("inner"))
     )
-    position = at * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows)) - short
+    position = at * block_rows + F.pmod(own("rank"), F.lit(block_rows)) - short
     # Both tables have at most sources * phases, and weights * phases, rows.
     return (
         placed.join(F.broadcast(span), in_span)
         .join(F.broadcast(first), in_turn)
-        .select(*docs.columns, position.cast("long").alias("position"))
+        .select(*kept, position.cast("long").alias("position"))
     )
 
 
@@ -163,7 +169,7 @@ def in_order(mixed: DataFrame, rows_per_file: int = 10_000) -> DataFrame:
 def in_place(docs: DataFrame) -> DataFrame:
     """``docs``, as read back from the files of ``in_order``, with ``position`` again, without gaps.
 
-    The order is that of the files' names and of the rows in them. What isn't read from files is
+    The order is that of the files' numbers and of the rows in them. What isn't read from files is
     written first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
@@ -173,7 +179,8 @@ def in_place(docs: DataFrame) -> DataFrame:
         F.col("_metadata.file_name").alias("__file"),
         F.col("_metadata.row_index").alias("__row"),
     )
-    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("__of", "part-([0-9]+)", 1).cast("long")
+    before = Window.orderBy(number, "__of").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each file.
     starts = (
         rows.groupBy(F.col("__file").alias("__of"))

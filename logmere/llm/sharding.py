@@ -132,6 +132,8 @@ def shard_documents(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("digest"),
+            # Parts even equal rows; written, so it stays.
+            F.rand(11).alias("part"),
         ),
         "shard-rows",
     )
@@ -140,7 +142,7 @@ def shard_documents(
     shard: Column = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("digest") >= cut).cast("int")
-    placed = numbered(rows.withColumn("shard", shard.cast("int")), "shard", "id", "slot")
+    placed = numbered(rows.withColumn("shard", shard.cast("int")), "shard", ["id", "digest", "part"], "slot")
     return placed.select(
         F.col("id").alias(id_column), "size", "text_crc32", "digest", "shard", "slot"
     )
