@@ -18,7 +18,8 @@ from logmere.llm.common import NOT_SPACE, stored, words
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
-ROUNDS = 50
+#: The estimate goes on until no number of it moves by more.
+SETTLED = 1e-7
 GOOD, BAD, NONE = 1, 0, -1
 VOTES = (GOOD, BAD, NONE)
 #: At the start a rule is nearly always right about good documents, and finds few of the bad ones,
@@ -169,7 +170,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int) -> Model:
     model = Model(START_SHARE, (START_ON_GOOD,) * rules, (START_ON_BAD,) * rules)
     counted = sorted(patterns.items())
     every = sum(n for _, n in counted)
-    for _ in range(ROUNDS if counted else 0):
+    moved = 1.0 if counted else 0.0
+    while moved > SETTLED:
         weights, prior = model.weights(), model.prior()
         good = 0.0
         right_good, all_good = [0.0] * rules, [0.0] * rules
@@ -185,6 +187,7 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int) -> Model:
                     right_good[rule] += n * p * (vote == GOOD)
                     right_bad[rule] += n * (1 - p) * (vote == BAD)
         share = lambda some, of, start: (some + START_ROWS * start) / (of + START_ROWS)
+        before = model
         model = Model(
             share(good, every, START_SHARE),
             tuple(
@@ -193,6 +196,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rules: int) -> Model:
             ),
             tuple(share(x, y, START_ON_BAD) for x, y in zip(right_bad, all_bad, strict=True)),
         )
+        was, now = ((m.good, *m.on_good, *m.on_bad) for m in (before, model))
+        moved = max(abs(x - y) for x, y in zip(was, now, strict=True))
     return model
 
 
