@@ -272,7 +272,9 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    """How long a text is says nothing of how toxic it is, however well it may part a sample."""
+    judged = [name for name in FEATURES if name != "log_words"]
+    return VectorAssembler(inputCols=judged, outputCol="features").transform(rows)
 
 
 @dataclass(frozen=True)
@@ -317,10 +319,9 @@ def fitted(
     chosen = stored(sampled_labels(labels, most_labelled), "toxicity-labels")
     # The sample has at most ``most_labelled`` short rows.
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
-    sample = stored(
-        texts.join(F.broadcast(chosen), "doc").select("doc", "text", "toxic", "part").coalesce(FILES),
-        "toxicity-sample",
-    )
+    # One row for each id, however many have it.
+    labelled = texts.join(F.broadcast(chosen), "doc").groupBy("doc", "toxic", "part")
+    sample = stored(labelled.agg(F.min("text").alias("text")).coalesce(FILES), "toxicity-sample")
     sample = stored(without_copies(sample), "toxicity-texts")
     counted = sample.agg(F.sum("toxic"), F.count(F.lit(1))).head()
     usual = ((counted[0] or 0) + 1) / (counted[1] + 20)
