@@ -16,8 +16,6 @@ from logmere.llm.common import checked, stored
 
 ALLOW, BLOCK = "allow", "block"
 DAMPING = 0.85
-#: Rounds of the tests' walk by hand; the walks here go on until they have settled.
-ROUNDS = 30
 #: The largest change of a host's score in a round, as a share of that score.
 SETTLED = 1e-6
 MOST_DISTRUST = 0.75

@@ -54,11 +54,11 @@ def by_hand(rows, most=urls.MOST_DISTRUST):
         for (a, _), n in step.items():
             out[a] += n
         score = dict(base)
-        for _ in range(urls.ROUNDS):
+        while True:
             new = defaultdict(float, base)
             for (a, b), n in step.items():
                 new[b] += urls.DAMPING * score.get(a, 0.0) * n / out[a]
-            change = sum(abs(new[h] - score.get(h, 0.0)) for h in {*new, *score})
+            change = max((abs(new[h] - score.get(h, 0.0)) / new[h] for h in new if new[h]), default=0.0)
             score = dict(new)
             if change < urls.SETTLED / 100:
                 break
