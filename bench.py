@@ -19,14 +19,15 @@ from logmere.operators import combine, paging, reports  # noqa: E402
 from logmere.operators.decode import decode  # noqa: E402
 from logmere.plans.query import LogQuery  # noqa: E402
 from logmere.session import work_folder  # noqa: E402
-from logmere.sources import encode, events_as_logs, read_wire, write_wire  # noqa: E402
+from lakechecks.events import events_as_logs  # noqa: E402
+from logmere.sources import encode, read_wire, write_wire  # noqa: E402
 from logmere.streaming.ingest import ingest  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = 5
 DAY = {
-    "project": "billing-service",
+    "project": "freight-service",
     "from": "2024-01-14T00:00:00Z",
     "to": "2024-01-15T00:00:00Z",
 }
@@ -75,18 +76,18 @@ def main() -> None:
     day = LogQuery.parse(DAY)
     queries["lookup_day_unpruned"] = timed(lambda: run(paging.lookup(logs, day)))
     queries["lookup_day_pruned"] = timed(lambda: run(table.lookup(day)))
-    logid = LogQuery.parse({"logid": "req-0007"})
+    logid = LogQuery.parse({"logid": "run-0007"})
     queries["lookup_logid"] = timed(lambda: run(table.lookup(logid)))
 
     stored = table.read()
     offset = 50 * paging.PAGE_SIZE
-    deep = LogQuery(project="billing-service", offset=offset, limit=paging.PAGE_SIZE)
+    deep = LogQuery(project="freight-service", offset=offset, limit=paging.PAGE_SIZE)
     queries["page_50_offset"] = timed(lambda: run(paging.page(stored, deep)))
     before = paging.page(
-        stored, LogQuery(project="billing-service", offset=offset - 1, limit=1)
+        stored, LogQuery(project="freight-service", offset=offset - 1, limit=1)
     ).withColumn("us", F.unix_micros("timestamp")).head()
     cursor = paging.Cursor(before["us"], tuple(before[c] for c in paging.TIE_COLUMNS))
-    first = LogQuery(project="billing-service", limit=paging.PAGE_SIZE)
+    first = LogQuery(project="freight-service", limit=paging.PAGE_SIZE)
     queries["page_50_keyset"] = timed(
         lambda: run(paging.page(paging.after(stored, cursor), first))
     )

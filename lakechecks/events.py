@@ -19,9 +19,9 @@ def events_as_logs(
     events = spark.read.parquet(f"{folder}/events.parquet")
     user, kind, number = F.col("user_id"), F.col("event_type"), F.col("event_id")
     project = (
-        F.when(user % 3 == 0, "billing-service")
-        .when(user % 3 == 1, "auth-service")
-        .otherwise("reports-service")
+        F.when(user % 3 == 0, "freight-service")
+        .when(user % 3 == 1, "gate-service")
+        .otherwise("exports-service")
     )
     level = (
         F.when((kind == "error") & (number % 10 == 0), "FATAL")
@@ -38,7 +38,7 @@ def events_as_logs(
         "event_id",
         moment.alias("timestamp"),
         project.alias("project"),
-        F.concat(F.lit("req-"), F.lpad(user.cast("string"), 4, "0")).alias("logid"),
+        F.concat(F.lit("run-"), F.lpad(user.cast("string"), 4, "0")).alias("logid"),
         level.alias("level"),
         F.concat(kind, F.lit(" "), F.col("props")).alias("message"),
         caller.alias("caller"),

@@ -6,11 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lakechecks.events import events_as_logs
 from logmere.functions.clock import wall_of
 from logmere.functions.sizes import row_bytes
 from logmere.operators.manifest import build_manifest
 from logmere.session import work_folder
-from logmere.sources import encode, events_as_logs
+from logmere.sources import encode
 from logmere.table.log_table import LogTable
 
 NOW = datetime(2024, 1, 31)

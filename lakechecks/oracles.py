@@ -4,8 +4,8 @@ from __future__ import annotations
 
 LOGS = """logs AS (
 SELECT event_id, ts AS "timestamp",
-  CASE user_id % 3 WHEN 0 THEN 'billing-service' WHEN 1 THEN 'auth-service' ELSE 'reports-service' END AS project,
-  concat('req-', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS logid,
+  CASE user_id % 3 WHEN 0 THEN 'freight-service' WHEN 1 THEN 'gate-service' ELSE 'exports-service' END AS project,
+  concat('run-', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS logid,
   CASE WHEN event_type='error' AND event_id % 10 = 0 THEN 'FATAL' WHEN event_type='error' THEN 'ERROR'
        WHEN event_type='purchase' THEN 'WARN' WHEN event_type='view' THEN 'DEBUG' ELSE 'INFO' END AS level,
   concat(event_type, ' ', props) AS message,
@@ -45,7 +45,7 @@ WHERE rank > {offset} AND rank <= {offset + limit}""")
 
 
 BILLING = (
-    "project = 'billing-service' AND \"timestamp\" >= TIMESTAMP '2024-01-05 00:00:00'"
+    "project = 'freight-service' AND \"timestamp\" >= TIMESTAMP '2024-01-05 00:00:00'"
     " AND \"timestamp\" <= TIMESTAMP '2024-01-20 00:00:00'"
 )
 
@@ -108,8 +108,8 @@ TOTALS = """min("timestamp") AS started, max("timestamp") AS ended, count(*) AS
 
 
 ORACLES: dict[str, str] = {
-    "project_filter": over_logs(f"SELECT {SIX} FROM logs WHERE project = 'billing-service'"),
-    "logid_filter": over_logs(f"SELECT {SIX} FROM logs WHERE logid = 'req-0007'"),
+    "project_filter": over_logs(f"SELECT {SIX} FROM logs WHERE project = 'freight-service'"),
+    "logid_filter": over_logs(f"SELECT {SIX} FROM logs WHERE logid = 'run-0007'"),
     "level_filter": over_logs(f"SELECT {SIX} FROM logs WHERE level = 'ERROR'"),
     "min_level": over_logs(f"SELECT {SIX} FROM logs WHERE level IN ('WARN','ERROR','FATAL')"),
     "time_range": over_logs(
@@ -125,12 +125,12 @@ FROM (VALUES ('15m', 15), ('1h', 60), ('6h', 360), ('24h', 1440), ('72h', 4320))
 LEFT JOIN logs l ON l."timestamp" BETWEEN {NOW} - to_minutes(p.minutes) AND {NOW}
 GROUP BY p.preset"""),
     "lookup_newest": page(BILLING, 100),
-    "lookup_oldest_first": page("project = 'auth-service'", 1000, order="ASC"),
-    "lookup_logid_level": page("logid = 'req-0011' AND level = 'INFO'", 100),
-    "lookup_offset": page("project = 'reports-service'", 50, 120),
+    "lookup_oldest_first": page("project = 'gate-service'", 1000, order="ASC"),
+    "lookup_logid_level": page("logid = 'run-0011' AND level = 'INFO'", 100),
+    "lookup_offset": page("project = 'exports-service'", 50, 120),
     "lookup_past_end": over_logs(
         "SELECT count(*) AS count, CAST(0 AS INTEGER) AS returned FROM logs"
-        " WHERE project = 'billing-service'"
+        " WHERE project = 'freight-service'"
     ),
     "lookup_no_match": over_logs(
         "SELECT count(*) AS count, CAST(0 AS INTEGER) AS returned FROM logs"
@@ -138,12 +138,12 @@ GROUP BY p.preset"""),
     ),
     "ordered_rows": over_logs(f'SELECT {SIX} FROM logs ORDER BY "timestamp" DESC, {TIES}'),
     "deep_page": over_logs(f"""
-SELECT {SIX} FROM logs WHERE project = 'billing-service'
+SELECT {SIX} FROM logs WHERE project = 'freight-service'
 ORDER BY "timestamp" DESC, {TIES} LIMIT 40 OFFSET 2500"""),
     "walk_pages": over_logs(f"""
 SELECT CAST((rank - 1) // 200 AS INTEGER) AS page, {SIX}
 FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, {TIES}) AS rank
-      FROM logs WHERE project = 'billing-service')"""),
+      FROM logs WHERE project = 'freight-service')"""),
     "live_tail": over_logs(f"""
 SELECT {SIX}, CAST(row_number() OVER w AS INTEGER) AS position FROM logs
 WINDOW w AS (PARTITION BY project ORDER BY "timestamp" DESC, {TIES})
@@ -268,20 +268,20 @@ SELECT "timestamp", project, logid, level, message,
     ),
     "prune_files": over_manifest("""
 SELECT file, row_count FROM manifest
-WHERE contains(projects, 'billing-service') AND ended >= TIMESTAMP '2024-01-05 00:00:00'
+WHERE contains(projects, 'freight-service') AND ended >= TIMESTAMP '2024-01-05 00:00:00'
   AND started <= TIMESTAMP '2024-01-06 00:00:00'"""),
     "audit_manifest": over_manifest("""
 , listed AS (SELECT file FROM manifest WHERE day(started) > 3),
-present AS (SELECT file FROM manifest WHERE (contains(projects, 'billing-service')
-  OR contains(projects, 'reports-service')) AND NOT ends_with(file, '7.parquet'))
+present AS (SELECT file FROM manifest WHERE (contains(projects, 'freight-service')
+  OR contains(projects, 'exports-service')) AND NOT ends_with(file, '7.parquet'))
 SELECT file, 'orphan_manifest' AS finding FROM listed WHERE file NOT IN (FROM present)
 UNION ALL SELECT file, 'unindexed_file' FROM present WHERE file NOT IN (FROM listed)"""),
     "table_rows": over_logs(f"SELECT {SIX} FROM logs"),
     "table_total": over_logs("""
-SELECT 'window' AS asked, count(*) AS count FROM logs WHERE project = 'billing-service'
+SELECT 'window' AS asked, count(*) AS count FROM logs WHERE project = 'freight-service'
   AND "timestamp" BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'
-UNION ALL SELECT 'project', count(*) FROM logs WHERE project = 'billing-service'
-UNION ALL SELECT 'logid', count(*) FROM logs WHERE logid = 'req-0007'
+UNION ALL SELECT 'project', count(*) FROM logs WHERE project = 'freight-service'
+UNION ALL SELECT 'logid', count(*) FROM logs WHERE logid = 'run-0007'
 UNION ALL SELECT 'absent', 0"""),
     "table_walk": over_logs(f"""
 SELECT CAST((rank - 1) // 200 AS INTEGER) AS page, {SIX}
@@ -290,12 +290,12 @@ FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, {TIES}) AS rank
     "table_manifest_totals": over_logs(f"SELECT {TOTALS} FROM logs"),
     "table_lookup": page(BILLING, 100),
     "table_pruned_rows": over_logs(
-        f"SELECT {SIX} FROM logs WHERE project = 'billing-service' AND \"timestamp\""
+        f"SELECT {SIX} FROM logs WHERE project = 'freight-service' AND \"timestamp\""
         " BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00'"
     ),
     "lookup_damaged": over_logs(
         "SELECT count(*) AS count, CAST(1 AS INTEGER) AS skipped_files FROM logs"
-        " WHERE project = 'billing-service' AND level <> 'ERROR'"
+        " WHERE project = 'freight-service' AND level <> 'ERROR'"
     ),
     "read_many_files": over_logs(f"SELECT {SIX} FROM logs"),
     "retention_freed": over_logs(

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakechecks.events import events_as_logs
 from lakechecks.fixtures import (
     NOW,
     file_name,
@@ -43,7 +44,7 @@ from logmere.plans.query import LogQuery
 from logmere.plans.retention import plan_retention, retention_summary
 from logmere.schema import LOG_SCHEMA
 from logmere.session import work_folder
-from logmere.sources import encode, events_as_logs, import_nanos, read_logs, read_wire
+from logmere.sources import encode, import_nanos, read_logs, read_wire
 from logmere.sources.wire import write_wire
 from logmere.streaming.ingest import ingest
 from logmere.streaming.tail import keep_tail, read_tail
@@ -51,7 +52,7 @@ from logmere.table.log_table import FileLayout
 
 WINDOW = (datetime(2024, 1, 5), datetime(2024, 1, 6))
 BILLING_WINDOW = {
-    "project": "billing-service",
+    "project": "freight-service",
     "from": "2024-01-05T00:00:00Z",
     "to": "2024-01-20T00:00:00Z",
 }
@@ -77,12 +78,12 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def project_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.by_project(logs_of(spark, folder), "billing-service")
+    return filters.by_project(logs_of(spark, folder), "freight-service")
 
 
 @query
 def logid_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.by_logid(logs_of(spark, folder), "req-0007")
+    return filters.by_logid(logs_of(spark, folder), "run-0007")
 
 
 @query
@@ -126,25 +127,25 @@ def lookup_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lookup_oldest_first(spark: SparkSession, folder: str) -> DataFrame:
-    request = LogQuery.parse({"project": "auth-service", "order": "asc", "limit": "5000"})
+    request = LogQuery.parse({"project": "gate-service", "order": "asc", "limit": "5000"})
     return paging.flat_page(paging.lookup(logs_of(spark, folder), request))
 
 
 @query
 def lookup_logid_level(spark: SparkSession, folder: str) -> DataFrame:
-    request = LogQuery.parse({"logid": "req-0011", "level": "INFO"})
+    request = LogQuery.parse({"logid": "run-0011", "level": "INFO"})
     return paging.flat_page(paging.lookup(logs_of(spark, folder), request))
 
 
 @query
 def lookup_offset(spark: SparkSession, folder: str) -> DataFrame:
-    request = LogQuery.parse({"project": "reports-service", "limit": "50", "offset": "120"})
+    request = LogQuery.parse({"project": "exports-service", "limit": "50", "offset": "120"})
     return paging.flat_page(paging.lookup(logs_of(spark, folder), request))
 
 
 @query
 def lookup_past_end(spark: SparkSession, folder: str) -> DataFrame:
-    request = LogQuery.parse({"project": "billing-service", "offset": "100000000"})
+    request = LogQuery.parse({"project": "freight-service", "offset": "100000000"})
     found = paging.lookup(logs_of(spark, folder), request)
     return found.select("count", F.size("results").alias("returned"))
 
@@ -163,14 +164,14 @@ def ordered_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def deep_page(spark: SparkSession, folder: str) -> DataFrame:
     """A page found by its times rather than by sorting what comes before it."""
-    request = LogQuery(project="billing-service", offset=2500, limit=40)
+    request = LogQuery(project="freight-service", offset=2500, limit=40)
     return paging.page(logs_of(spark, folder), request)
 
 
 @query
 def walk_pages(spark: SparkSession, folder: str) -> DataFrame:
     """All pages, to the end."""
-    request = LogQuery(project="billing-service")
+    request = LogQuery(project="freight-service")
     return paging.walk_into(logs_of(spark, folder), request, work_folder(spark, "walked-pages"))
 
 
@@ -216,7 +217,7 @@ def stream_merge_unique(spark: SparkSession, folder: str) -> DataFrame:
     shuffled = logs.orderBy(F.xxhash64("event_id")).drop("event_id").repartition(6)
     shuffled.write.parquet(path)
     again = logs.withColumn("level", F.lit("OTHER")).drop("event_id").repartition(5)
-    again.unionByName(again.filter(F.col("project") == "auth-service")).write.mode("append").parquet(path)
+    again.unionByName(again.filter(F.col("project") == "gate-service")).write.mode("append").parquet(path)
     stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 3).parquet(path)
     run = (
         combine.merge_unique_stream(stream)
@@ -509,7 +510,7 @@ def suggest_projects(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def prune_files(spark: SparkSession, folder: str) -> DataFrame:
     manifest = manifest_of(spark, folder)
-    request = LogQuery(project="billing-service", start=WINDOW[0], end=WINDOW[1])
+    request = LogQuery(project="freight-service", start=WINDOW[0], end=WINDOW[1])
     return listing.prune_files(manifest, request).select("file", "row_count")
 
 
@@ -519,7 +520,7 @@ def audit_manifest(spark: SparkSession, folder: str) -> DataFrame:
     files = events_as_logs(spark, folder, keep_id=True).select(
         file_name(F.col("event_id")).alias("file"), "project"
     )
-    listed = files.filter(F.col("project") != "auth-service").distinct()
+    listed = files.filter(F.col("project") != "gate-service").distinct()
     day = manifest_of(spark, folder).filter(F.dayofmonth("started") > 3)
     return listing.audit_manifest(day, listed.select("file").distinct().filter(
         ~F.col("file").endswith("7.parquet")
@@ -558,9 +559,9 @@ def table_total(spark: SparkSession, folder: str) -> DataFrame:
     table = new_table(spark, "total")
     logs = events_as_logs(spark, folder, instants=True)
     table.append(logs.repartitionByRange(12, "timestamp"))
-    window = LogQuery(project="billing-service", start=WINDOW[0], end=WINDOW[1])
-    asked = {"window": window, "project": LogQuery(project="billing-service"),
-             "logid": LogQuery(logid="req-0007"), "absent": LogQuery(project="absent-service")}
+    window = LogQuery(project="freight-service", start=WINDOW[0], end=WINDOW[1])
+    asked = {"window": window, "project": LogQuery(project="freight-service"),
+             "logid": LogQuery(logid="run-0007"), "absent": LogQuery(project="absent-service")}
     found = [table.total(q).select(F.lit(name).alias("asked"), "count") for name, q in asked.items()]
     return reduce(DataFrame.unionByName, found)
 
@@ -583,7 +584,7 @@ def table_pruned_rows(spark: SparkSession, folder: str) -> DataFrame:
     table = new_table(spark, "pruned")
     logs = events_as_logs(spark, folder, instants=True)
     table.append(logs.repartitionByRange(12, "timestamp"))
-    request = LogQuery(project="billing-service", start=WINDOW[0], end=WINDOW[1])
+    request = LogQuery(project="freight-service", start=WINDOW[0], end=WINDOW[1])
     return in_utc(request.matching(table.read(request)))
 
 
@@ -596,7 +597,7 @@ def lookup_damaged(spark: SparkSession, folder: str) -> DataFrame:
     table.append(logs.filter(F.col("level") == "ERROR").coalesce(1), unit="lost")
     name = table.manifest().filter(F.startswith("file", F.lit("lost"))).head()["file"]
     table.log.delete(f"data/{name}")
-    found = table.lookup(LogQuery(project="billing-service"), tolerate_corrupt=True)
+    found = table.lookup(LogQuery(project="freight-service"), tolerate_corrupt=True)
     return found.select("count", "skipped_files")
 
 
@@ -613,6 +614,7 @@ def read_many_files(spark: SparkSession, folder: str) -> DataFrame:
 def table_audit(spark: SparkSession, folder: str) -> DataFrame:
     """A write that was never committed shows up; rows stay those committed."""
     table = stored(spark, folder, "audit")
+    table.units_per_listing = 1
     table.write_unit(
         events_as_logs(spark, folder, instants=True).repartition(4), "uncommitted"
     )

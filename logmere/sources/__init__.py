@@ -1,12 +1,10 @@
 """Where log rows come from and go to."""
 
-from logmere.sources.events import events_as_logs
 from logmere.sources.logs import import_nanos, list_data_files, read_logs
 from logmere.sources.wire import encode, read_wire, write_wire
 
 __all__ = [
     "encode",
-    "events_as_logs",
     "import_nanos",
     "list_data_files",
     "read_logs",

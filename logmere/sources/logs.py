@@ -72,8 +72,8 @@ def import_nanos(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def list_data_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, size_bytes, modified)`` of every Parquet file below a folder, unopened.
+def list_data_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, size_bytes, modified)`` of every Parquet file below a folder or several, unopened.
 
     Files of zero bytes hold nothing and are not listed.
     """

@@ -41,6 +41,8 @@ from logmere.table.snapshot import CommitConflict, Snapshot, SnapshotLog
 # Surviving files are named to the scan, so many in each; the scans of more are put
 # together. A scan's own index of its files is larger than the names.
 FILES_PER_SCAN = 10_000
+# Units whose files are listed at once.
+UNITS_PER_LISTING = 500
 # A list of file names beside a scan is broadcast up to this many (some 100 bytes
 # each), shuffled after that.
 BROADCAST_FILES = 1_000_000
@@ -114,6 +116,7 @@ class LogTable:
         self.root = root.rstrip("/")
         self.layout = layout or FileLayout()
         self.files_per_scan = FILES_PER_SCAN
+        self.units_per_listing = UNITS_PER_LISTING
         self.log = SnapshotLog(spark, self.root)
 
     # -- reading ---------------------------------------------------------
@@ -255,10 +258,22 @@ class LogTable:
         )
 
     def files_on_disk(self) -> DataFrame:
-        found = list_data_files(self.spark, f"{self.root}/data")
-        return found.select(
-            _relative(F.col("path")).alias("file"), "size_bytes", "modified"
-        )
+        """``file, size_bytes, modified`` of the data files there are, unopened.
+
+        So many units are listed at a time and written down, so the driver never has the names of
+        more files than a group of units holds.
+        """
+        units = [f"{self.root}/data/{name}" for name in self.log.names("data")]
+        path = work_folder(self.spark, "files-on-disk")
+        for start in range(0, len(units), self.units_per_listing):
+            found = list_data_files(self.spark, units[start : start + self.units_per_listing])
+            found.select(
+                _relative(F.col("path")).alias("file"), "size_bytes", "modified"
+            ).write.mode("append").parquet(path)
+        kinds = "file string, size_bytes bigint, modified timestamp"
+        if not units:
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).parquet(path)
 
     def audit(self) -> DataFrame:
         """Manifest entries without a file, and files no version lists."""

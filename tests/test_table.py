@@ -507,3 +507,13 @@ def test_a_page_reads_messages_of_its_own_rows_only(spark, table):
     assert "GreaterThanOrEqual(timestamp" in plan and "LessThanOrEqual(timestamp" in plan
     assert page.count() == 20
 
+
+
+def test_files_are_listed_by_groups_of_units(spark, table):
+    assert table.files_on_disk().count() == 0
+    for _ in range(5):
+        table.append(some_logs(spark, n=20, parts=2))
+    whole = {tuple(r) for r in table.files_on_disk().collect()}
+    table.units_per_listing = 2
+    assert {tuple(r) for r in table.files_on_disk().collect()} == whole and len(whole) == 10
+    assert table.audit().count() == 0
