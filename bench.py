@@ -80,7 +80,7 @@ def main() -> None:
     queries["lookup_logid"] = timed(lambda: run(table.lookup(logid)))
 
     stored = table.read()
-    offset = 50 * paging.PAGE_SIZE
+    offset = min(50, n // 3 // paging.PAGE_SIZE // 2) * paging.PAGE_SIZE
     deep = LogQuery(project="freight-service", offset=offset, limit=paging.PAGE_SIZE)
     queries["page_50_offset"] = timed(lambda: run(paging.page(stored, deep)))
     before = paging.page(

@@ -136,7 +136,7 @@ def near_page(files: DataFrame, query: LogQuery, offset: int, limit: int) -> tup
             break
         first = at
     passed = F.coalesce((bucket("high") < first) & F.col("certain").isNotNull(), F.lit(False))
-    skipped = ranged.filter(passed).agg(F.coalesce(F.sum("certain"), F.lit(0))).head()[0]
+    skipped = sum(n for (edge, at), n in sums.items() if edge == "high" and at is not None and at < first)
     near = ranged.filter(~passed & F.coalesce(bucket("low") <= last, F.lit(True)))
     return near.select(*files.columns), skipped
 

@@ -183,8 +183,10 @@ class LogTable:
         """
         snapshot = self.snapshot()
         if not tolerate_corrupt:
-            total = self.total(query, snapshot).head()["count"]
-            places = self._places(query, snapshot, query.page_offset, query.page_limit, 1)
+            files = listing.counted_files(self.manifest(snapshot), query).cache()
+            total = self._total(query, files).head()["count"]
+            places = self._places(query, files, query.page_offset, query.page_limit, 1)
+            files.unpersist()
             rows = self._page(query, snapshot, places[0] if places else None)
             return paging.envelope(total, rows, query.newest_first)
         manifest = listing.prune_files(self.manifest(snapshot), query)
@@ -198,7 +200,9 @@ class LogTable:
         By project and time the manifest knows, for files wholly inside the window; only those at its
         edges are read. A logid or level takes a scan.
         """
-        files = listing.counted_files(self.manifest(snapshot), query)
+        return self._total(query, listing.counted_files(self.manifest(snapshot), query))
+
+    def _total(self, query: LogQuery, files: DataFrame) -> DataFrame:
         known = files.agg(F.coalesce(F.sum("certain"), F.lit(0)).alias("count"))
         edges = self._read_files(
             files.filter(F.col("certain").isNull()), tolerate_corrupt=False, with_file=False
@@ -214,15 +218,15 @@ class LogTable:
         have such rows.
         """
         snapshot, offset = self.snapshot(), query.page_offset
-        while places := self._places(query, snapshot, offset, page_size, paging.PAGES_AT_ONCE):
+        files = listing.counted_files(self.manifest(snapshot), query)
+        while places := self._places(query, files, offset, page_size, paging.PAGES_AT_ONCE):
             for place in places:
                 yield self._page(query, snapshot, place)
             offset += page_size * paging.PAGES_AT_ONCE
 
     def _places(
-        self, query: LogQuery, snapshot: Snapshot, offset: int, page_size: int, pages: int
+        self, query: LogQuery, files: DataFrame, offset: int, page_size: int, pages: int
     ) -> list[seek.Place]:
-        files = listing.counted_files(self.manifest(snapshot), query)
         near, skipped = listing.near_page(files, query, offset, page_size * pages)
         rows = query.matching(self._read_files(near, tolerate_corrupt=False, with_file=False))
         return seek.pages_at(rows, offset - skipped, page_size, pages, query.newest_first)[1]
