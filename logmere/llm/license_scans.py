@@ -6,11 +6,12 @@ detections overlap, one that lies inside another of the same or a higher order i
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logmere.llm.license_rules import BASE, Rule, all_rules
+from logmere.llm.license_rules import BASE, GATES, Rule, all_rules
 
 #: Runs of ASCII characters that are neither letters nor digits.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -38,23 +39,32 @@ def _places(text: Column, pattern: Column) -> Column:
 
 
 def _detections(text: Column, rules: list[Rule]) -> Column:
-    """All matches of the rules whose keyword the text has."""
+    """All matches of the rules whose keyword the text has; each set of keywords is looked for once."""
+    by_keywords: dict[tuple[str, ...], list[Rule]] = {}
+    for rule in rules:
+        by_keywords.setdefault(rule.keywords, []).append(rule)
     table = F.array(
         *(
             F.struct(
-                F.lit(r.label).alias("label"),
-                F.lit(r.order).alias("order"),
-                F.lit(r.confidence).alias("confidence"),
-                F.lit(r.pattern).alias("pattern"),
-                F.array(*map(F.lit, r.keywords)).alias("keywords"),
+                F.array(*map(F.lit, keywords)).alias("keywords"),
+                F.array(
+                    *(
+                        F.struct(
+                            F.lit(r.label).alias("label"),
+                            F.lit(r.order).alias("order"),
+                            F.lit(r.confidence).alias("confidence"),
+                            F.lit(r.pattern).alias("pattern"),
+                        )
+                        for r in group
+                    )
+                ).alias("rules"),
             )
-            for r in rules
+            for keywords, group in by_keywords.items()
         )
     )
+    groups = F.filter(table, lambda g: F.exists(g["keywords"], lambda k: F.contains(text, k)))
     fitting = F.filter(
-        table,
-        lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k))
-        & F.rlike(text, r["pattern"]),
+        F.flatten(F.transform(groups, lambda g: g["rules"])), lambda r: F.rlike(text, r["pattern"])
     )
     return F.flatten(
         F.transform(
@@ -111,9 +121,9 @@ def scan(
     order, then the smaller label wins. A null text counts as empty: no words, nothing found. Texts
     are taken whole; repeated rows are scanned alike; an empty table gives no rows.
     """
+    least = [*GATES] if rules is None else sorted({k for r in rules for k in r.keywords})
+    least += [f" {p} " for p, _ in BASE if not any(k in f" {p} " for k in least)]
     rules = all_rules() if rules is None else rules
-    keywords = sorted({k for r in rules for k in r.keywords} | {f" {p} " for p, _ in BASE})
-    gate = "(?i)" + "|".join(re.escape(k).replace("\\ ", " ") for k in keywords)
     spaced = docs.select(
         F.col(id_column).alias("id"),
         F.concat(
@@ -130,7 +140,13 @@ def scan(
         .otherwise(0)
         .cast("long")
         .alias("n_words"),
-        F.when(F.col("words").rlike(gate), F.translate("words", UPPER, LOWER)).alias("gated"),
+        "words",
+        F.lower("words").alias("low"),
+    )
+    # Lower case of all letters shows whatever that of A-Z does; the rules see the latter.
+    gate = reduce(or_, (F.contains("low", F.lit(k)) for k in least))
+    spaced = spaced.select(
+        "id", "n_words", F.when(gate, F.translate("words", UPPER, LOWER)).alias("gated")
     )
     none = F.array().cast("array<bigint>")
     phrases = F.struct(
