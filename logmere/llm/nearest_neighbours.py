@@ -28,16 +28,15 @@ CELL_ROWS = 1_500
 FROM_CELL = 16
 #: The trees are cut by medians of at most so many vectors.
 TREE_SAMPLE = 20_000
-ROUNDS = 4
 #: Fresh neighbours of a node that meet in one round, forward and reverse each.
 MEETING = 24
+#: The graph is settled when a round brings no more than this share of new neighbours.
 LITTLE = 0.02
 #: Guests keep so many of the closest others of a meeting.
 CLOSEST = 12
 BEAM = 140
 EXPANDED = 28
 DOORS = 2
-HOPS = 6
 SEED = 11
 BUCKET_NODES = 5_000
 COMPARED_AT_ONCE = 256
@@ -267,18 +266,22 @@ def _met(graph: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     return guests.groupBy("bucket").applyInPandas(run, PAIRS)
 
 
-def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS) -> tuple[DataFrame, Forest]:
-    """``(node, other, score, fresh)`` with ``DEGREE`` neighbours each, and the trees it began with."""
+def build_graph(nodes: DataFrame, count: int, descend: bool = True) -> tuple[DataFrame, Forest]:
+    """``(node, other, score, fresh)`` with ``DEGREE`` neighbours each, and the trees it began with.
+
+    Rounds follow one another until the graph is settled; without ``descend`` there are none. A
+    node's worst neighbour only gets better, so they come to an end.
+    """
     buckets = _buckets(count)
     forest = _forest(nodes, count)
     begun = _start(nodes, forest).withColumn("fresh", F.lit(True))
     graph = stored(_kept(begun, buckets, DEGREE), "nn-graph")
-    for _ in range(rounds):
+    new_ones = DEGREE * count if descend else 0
+    while new_ones > LITTLE * DEGREE * count:
         new = _met(graph, nodes, buckets).withColumn("fresh", F.lit(True))
         old = graph.withColumn("fresh", F.lit(False))
         graph = stored(_kept(old.unionByName(new), buckets, DEGREE), "nn-graph")
-        if graph.filter("fresh").count() <= LITTLE * DEGREE * count:
-            break
+        new_ones = graph.filter("fresh").count()
     return graph, forest
 
 
@@ -356,10 +359,7 @@ def walk(queries: DataFrame, graph: DataFrame, nodes: DataFrame, forest: Forest)
 
     beams = narrowed(met(_entries(queries, nodes, forest)))
     links = graph.select(F.col("node").alias("from"), "other")
-    for _ in range(HOPS):
-        opened = beams.filter("state = 1")
-        if not opened.head(1):
-            break
+    while (opened := beams.filter("state = 1")).head(1):
         reached = (
             opened.join(links, opened["node"] == links["from"])
             .select("query", F.col("other").alias("node"))

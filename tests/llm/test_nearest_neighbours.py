@@ -54,6 +54,27 @@ def test_recall_with_several_cells(spark, monkeypatch):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_rounds_better_the_graph_they_start_from(spark, monkeypatch):
+    monkeypatch.setattr(nn, "CELL_ROWS", 40)
+    monkeypatch.setattr(nn, "TREES", 2)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((800, 16)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    table = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], KINDS)
+    nodes = nn.stored(nn.nodes_of(table, "vec_id", "embedding"), "nn-nodes")
+    scores = vectors @ vectors.T
+    np.fill_diagonal(scores, -np.inf)
+    close = np.argsort(-scores, axis=1)[:, :10]
+
+    def recall(descend):
+        graph, _ = nn.build_graph(nodes, len(vectors), descend)
+        pairs = {(r["node"], r["other"]) for r in graph.collect()}
+        return np.mean([(k, int(j)) in pairs for k in range(len(close)) for j in close[k]])
+
+    started, settled = recall(False), recall(True)
+    assert started < 0.7 and settled >= 0.9
+
+
 def test_copies_ties_and_odd_vectors(spark):
     copies = [(k, [1.0, 0.0, 0.0], 0) for k in range(60)]
     near = [(100 + k, [1.0, 0.1 * k, -0.2], 0) for k in range(1, 10)]
