@@ -1,11 +1,12 @@
-"""Line dedup by a deletion-neighbourhood join, edit bound one.
-
-Two lines within one edit agree on a prefix and a suffix with a short core between; so lines are
-first brought together by hashes of prefixes and suffixes, each time with less in between, until a
-core is short. Then every string that one deletion makes of a core is a hashed key, and lines with
-equal keys are partners. Where many lines share a key, no pairs are made: those that lost a
-character at the same place are all within one edit of each other, so each only needs the earliest
-of them. A partner is verified by the edit distance of the whole lines.
+"""Line dedup by a deletion-neighbourhood join, edit bounds of one to three.
+
+Lines within the bound agree on one of a few stretches, so hashes of these first bring lines together.
+Then a line is halved again and again: a half that must be equal goes into the key, and the bound is
+shared out among what stays open, until that is short. Of a short stretch every variant is a hashed
+key: some characters deleted, the places marked where the other line may have one more. Lines with an
+equal variant are within the bound of each other, so no pairs are made: each only needs the earliest
+line of its key. That one is verified by the edit distance of the whole lines. Keys of few lines need
+no more variants: their open stretches are compared, each with those of the earlier lines.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logmere.llm.common import BROADCAST_ROWS, NOT_SPACE, checked, stored, unused
 
 LEAST_CHARS = 30
+MAX_EDITS = 2
 MOST_CORE = 32
-PARTS = 16
+GRAIN = 8
+FEW = 16
 LAST = (1 << 63) - 1
 
 HASH = [("h1", 0), ("h2", 1)]
@@ -33,131 +36,213 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return pieces.filter((F.length("line") >= least) & F.col("line").rlike(NOT_SPACE))
 
 
-def _narrowed(cores: DataFrame, parts: int) -> DataFrame:
-    """For each core and way to part it, what lies between an equal prefix and suffix.
+def _segments(line: Column, edits: int) -> Column:
+    """Hashes of stretches of a line, so that lines within ``edits`` share one.
 
-    ``longer`` is the length of the longer one of two cores that differ by an edit; a core takes
-    part with its own length and with one more. The edit lies in one of ``parts`` stretches.
+    A line is cut in ``edits`` + 1 stretches, of which one stays whole. It is then found in the
+    other line, shifted by at most as many places as there are stretches on its nearer side.
     """
-    first_time = "longer" not in cores.columns
-    sized = (
-        cores.withColumn("longer", F.explode(F.array(F.length("core"), F.length("core") + 1)))
-        if first_time
-        else cores
-    )
-    edge = lambda k: F.floor((F.col("longer") - 1) * k / parts).cast("int")
-    placed = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    before, after = edge(F.col("part")), F.col("longer") - 1 - edge(F.col("part") + 1)
-    inside = F.length("core") - before - after
-    key = [] if first_time else ["key"]
-    return placed.select(
-        *(c for c in cores.columns if c not in ("core", "longer", "key")),
-        F.xxhash64(
-            *key,
-            F.col("longer"),
-            F.col("part"),
-            F.substring("core", F.lit(1), before),
-            F.when(after > 0, F.substring("core", -after, after)).otherwise(""),
-        ).alias("key"),
-        F.substring("core", before + 1, inside).alias("core"),
-        (F.col("longer") - before - after).alias("longer"),
-    )
+    size = F.length(line)
+    found = []
+    for longer in range(edits + 1):
+        part = F.floor((size + longer) / (edits + 1)).cast("int")
+        part = F.when(part < 8, part).otherwise(part - part % 4)
+        for number in range(edits + 1):
+            from_left = number <= edits - number
+            before = number if from_left else edits - number
+            for shift in range(-before, before + 1):
+                start = part * before + shift
+                text = (
+                    F.substring(line, start + 1, part)
+                    if from_left
+                    else F.substring(line, size - start - part + 1, part)
+                )
+                found.append(F.xxhash64(F.lit(number), part, text))
+    return F.array_distinct(F.array(*found))
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """Keys that two different lines have."""
-    pairs = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-    return stored(pairs.filter("low < high").select("key"), "line-keys")
+def _stack(edits: int) -> list[str]:
+    """Columns of the stretches that are still open, the next one first, and how many edits each may have."""
+    return [f"{name}{k}" for k in range(edits) for name in ("core", "bound")]
 
 
-def _partners(cores: DataFrame) -> DataFrame:
-    """For each line with an earlier partner in reach, one such partner.
+def _shared(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows whose key another line has as well, and ``n``, how many have it, with other text in every open stretch and at both ``differs``.
 
-    ``cores``: line (h1, h2, first), key, core, longer. A core as long as ``longer`` gives what a
-    deletion makes of it, a shorter one itself; equal results mean at most one edit, except for
-    two deletions at different places.
+    Lines with equal text in one of them are found where that one is closed.
     """
-    one = F.lit(1)
-    places = F.sequence(F.lit(0), F.length("core") - 1)
-    deleted = F.transform(
-        places,
-        lambda k: F.struct(
-            k.alias("place"),
-            F.concat(
-                F.substring("core", one, k), F.substring("core", k + 2, F.col("longer"))
-            ).alias("rest"),
-        ),
-    )
-    itself = F.array(F.struct(F.lit(-1).alias("place"), F.col("core").alias("rest")))
-    variants = cores.select(
-        F.struct("first", "at", "h1", "h2").alias("line"),
-        "key",
-        F.explode(F.when(F.length("core") == F.col("longer"), deleted).otherwise(itself)).alias("v"),
-    ).select(
-        "line", F.xxhash64("key", "v.rest").alias("variant"), F.col("v.place").alias("place")
-    )
-    variants = stored(variants, "line-variants")
-    shared = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    variants = variants.join(shared.select("variant"), "variant", "left_semi")
-    by_place = stored(
-        variants.groupBy("variant", "place").agg(F.min("line").alias("earliest")), "line-earliest"
-    )
-    own = F.col("place") == -1
-    by_variant = by_place.groupBy("variant").agg(
-        F.min(F.when(own, F.col("earliest"))).alias("itself"),
-        F.min(F.when(~own, F.col("earliest"))).alias("deleted"),
-    )
-    near = (
-        variants.join(by_place, ["variant", "place"])
-        .join(by_variant, "variant")
-        .select(
-            "line",
-            F.when(F.col("place") == -1, F.col("deleted"))
-            .otherwise(F.least("earliest", "itself"))
-            .alias("partner"),
+    cores = [c for c in _stack(edits) if c.startswith("core")]
+    ends = [f(v).alias(f"{n}{k}") for k, v in enumerate([F.col("h1"), *(F.xxhash64(c) for c in cores), F.col("differs0"), F.col("differs1")])
+            for n, f in (("low", F.min), ("high", F.max))]
+    used = [F.col(c).isNotNull().alias(f"used{k}") for k, c in enumerate(cores)]
+    tests = F.col("low0") < F.col("high0")
+    used += [F.col(f"differs{k}").isNotNull().alias(f"used{edits + k}") for k in range(2)]
+    for k in range(edits + 2):
+        tests &= ~F.col(f"used{k}") | (F.col(f"low{k + 1}") < F.col(f"high{k + 1}"))
+    keys = rows.groupBy("key", *used).agg(*ends, F.count(F.lit(1)).alias("n")).filter(tests)
+    keys = checked(stored(keys.select("key", "n"), "line-keys"))
+    return rows.join(keys, "key").drop("differs0", "differs1")
+
+
+def _late_of_few(rows: DataFrame, edits: int) -> DataFrame:
+    """``(h1, h2)`` of lines with an earlier one in reach, for keys with ``FEW`` rows at most.
+
+    Closed stretches are equal, so the edit distances of the open ones are those of the lines.
+    """
+    cores = [c for c in _stack(edits) if c.startswith("core")]
+    row = F.struct("first", "at", "h1", "h2", *(F.coalesce(c, F.lit("")).alias(c) for c in cores))
+    groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("given"))
+
+    def in_reach(x: Column, y: Column) -> Column:
+        far = [F.levenshtein(x[c], y[c], edits) for c in cores]
+        near = (x["h1"] != y["h1"]) | (x["h2"] != y["h2"])
+        for one in far:
+            near &= one >= 0
+        return near & (sum(far[1:], far[0]) <= edits)
+
+    def late(x: Column, k: Column) -> Column:
+        return F.exists(F.slice("given", F.lit(1), k), lambda y: in_reach(x, y))
+
+    return groups.select(F.explode(F.filter("given", late)).alias("x")).select("x.h1", "x.h2")
+
+
+def _next_step(bound: int) -> Column:
+    """What may become of the next open stretch, with ``bound`` edits: an array of structs.
+
+    A short one closes up to its first edit, a place where a character may stand or not. A long one is
+    parted by the length of the longer of two lines: its start closes, or its end, or it is cut in two
+    with a share of the edits each. One of a length at the limit does both, as its partner may be longer.
+    ``differs0`` and ``differs1`` are digests of what is equal in two lines that another step finds.
+    """
+    core, size = F.col("core0"), F.length("core0")
+    none = F.lit(None).cast("string")
+
+    def step(tag, closed, left, more, after=none, last=0, differs=()):
+        return F.struct(
+            F.xxhash64("key", F.lit(tag), *closed).alias("key"),
+            left.alias("core"),
+            F.lit(more).alias("bound"),
+            after.alias("after"),
+            F.lit(last).alias("last"),
+            *(
+                (differs[k] if k < len(differs) else F.lit(None)).cast("long").alias(f"differs{k}")
+                for k in range(2)
+            ),
+        )
+
+    def upto(k):
+        return F.substring(core, F.lit(1), k)
+
+    def beyond(k):
+        return F.substring(core, k + 1, size)
+
+    def edit(k, gone):
+        if bound == 1:
+            return step("whole", [upto(k), beyond(k + gone)], none, 0)
+        here = F.xxhash64(F.substring(core, k + 1, F.lit(1)))
+        return step("edit", [upto(k)], beyond(k + gone), bound - 1, differs=[here])
+
+    edited = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda k: F.array(edit(k, 0), edit(k, 1))))
+    halves = []
+    for longer in range(bound + 1):
+        part = (F.floor((size + longer) / (2 * GRAIN)) * GRAIN).cast("int")
+        start, end = F.xxhash64(upto(part)), F.xxhash64(beyond(size - part))
+        halves.append(step("start", [upto(part)], beyond(part), bound))
+        halves.append(step("end", [beyond(size - part)], upto(size - part), bound, differs=[start]))
+        for first in range(1, bound):
+            for k in range(-first, first + 1):
+                cut = part + k
+                halves.append(
+                    step(f"both{first}", [], upto(cut), first, beyond(cut), bound - first, differs=[start, end])
+                )
+    nothing = F.array().cast("array<struct<key:bigint,core:string,bound:int,after:string,last:int,differs0:bigint,differs1:bigint>>")
+    return F.array_distinct(
+        F.concat(
+            F.when(size <= MOST_CORE, edited).otherwise(nothing),
+            F.when(size > MOST_CORE - bound, F.array(*halves)).otherwise(nothing),
         )
-        .filter(F.col("partner") < F.col("line"))
     )
+
+
+def _stepped(rows: DataFrame, edits: int) -> DataFrame:
+    """One more step for the next open stretch of each row."""
+    steps = F.when(F.col("bound0") == 1, _next_step(1))
+    for bound in range(2, edits + 1):
+        steps = steps.when(F.col("bound0") == bound, _next_step(bound))
+    rows = rows.withColumn("step", F.explode(steps))
+    closed, opened = F.col("step.core").isNull(), F.col("step.after").isNotNull()
+    old = lambda name, k: F.col(f"{name}{k}") if k < edits else F.lit(None)
+    left = []
+    for k in range(edits):
+        for name, top, after in (("core", "step.core", "step.after"), ("bound", "step.bound", "step.last")):
+            kept = F.col(top) if k == 0 else old(name, k)
+            pushed = F.col(top) if k == 0 else F.col(after) if k == 1 else old(name, k - 1)
+            left.append(
+                F.when(closed, old(name, k + 1)).when(opened, pushed).otherwise(kept).alias(f"{name}{k}")
+            )
+    return rows.select("h1", "h2", "first", "at", F.col("step.key").alias("key"), "step.differs0", "step.differs1", *left)
+
+
+def _earliest(found: DataFrame) -> DataFrame:
+    """For each line the earliest one that it shares a key with, if that isn't itself.
+
+    Lines with a key in common are all within the bound of each other: both fit one text in which a
+    character may stand or not at as many places as there may be edits.
+    """
+    found = found.select(F.struct("first", "at", "h1", "h2").alias("line"), "key")
+    by_key = stored(
+        found.groupBy("key")
+        .agg(F.min("line").alias("partner"), F.max("line").alias("latest"))
+        .filter(F.col("partner") < F.col("latest"))
+        .select("key", "partner"),
+        "line-earliest",
+    )
+    near = found.join(by_key, "key").filter(F.col("partner") < F.col("line"))
     return near.groupBy("line").agg(F.min("partner").alias("partner"))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
-    """``(h1, h2)`` of the lines that have an earlier line within one edit.
+def near_lines(docs: DataFrame, lines: DataFrame, least: int, edits: int) -> DataFrame:
+    """``(h1, h2)`` of the lines that have an earlier line within ``edits``.
 
     ``lines``: one row for each different line with ``h1, h2, first`` and the array ``keys``.
     """
     keyed = lines.select("h1", F.explode("keys").alias("key"))
-    keys = checked(_shared(keyed))
-    wanted = (
-        lines.select("h1", "h2", "first", F.explode("keys").alias("key"))
-        .join(keys, "key", "left_semi")
-        .select("h1", "h2", "first")
-        .distinct()
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+    keys = checked(stored(shared.filter("low < high").select("key"), "line-keys"))
+    wanted = stored(
+        lines.select("h1", "h2", "first", F.explode("keys").alias("key")).join(keys, "key", "left_semi"),
+        "line-candidates",
     )
-    wanted = stored(wanted, "line-candidates")
     texts = _lines(docs, least).select("doc", "at", "line", *_hashes(F.col("line")))
     texts = (
-        texts.join(checked(wanted), ["h1", "h2"])
+        texts.join(checked(stored(wanted.select("h1", "h2", "first").distinct(), "line-wanted")), ["h1", "h2"])
         .filter(F.col("doc") == F.col("first"))
         .groupBy("h1", "h2", "first", "line")
         .agg(F.min("at").alias("at"))
     )
     texts = stored(texts, "line-texts")
-    cores = _narrowed(texts.withColumnRenamed("line", "core"), 2)
-    cores = stored(cores.join(_shared(cores), "key", "left_semi"), "line-cores")
-    short = [cores.filter(F.length("core") <= MOST_CORE)]
+    empty = [F.lit(None).cast("string" if c.startswith("core") else "int").alias(c) for c in _stack(edits)[2:]]
+    none = F.lit(None).cast("long")
+    rows = texts.join(wanted.select("h1", "h2", "key"), ["h1", "h2"]).select(
+        "h1", "h2", "first", "at", "key", none.alias("differs0"), none.alias("differs1"),
+        F.col("line").alias("core0"), F.lit(edits).alias("bound0"), *empty,
+    )
+    rows = stored(rows, "line-steps")
+    late = found = None
     while True:
-        cores = cores.filter(F.length("core") > MOST_CORE)
-        if not cores.head(1):
+        rows = stored(_shared(rows, edits), "line-open")
+        few = _late_of_few(rows.filter(F.col("n") <= FEW), edits)
+        late = few if late is None else late.unionByName(few)
+        rows = rows.filter(F.col("n") > FEW)
+        if not rows.head(1):
             break
-        finer = stored(_narrowed(cores, PARTS), "line-cores")
-        cores = stored(finer.join(_shared(finer), "key", "left_semi"), "line-cores")
-        short.append(cores.filter(F.length("core") <= MOST_CORE))
-    found = None
-    for part in short:
-        part = part.select("h1", "h2", "first", "at", "key", "core", "longer")
-        found = part if found is None else found.unionByName(part)
-    pairs = _partners(found.distinct()).select(
+        rows = stored(_stepped(rows, edits), "line-steps")
+        whole = rows.filter(F.col("core0").isNull()).select("h1", "h2", "first", "at", "key")
+        found = whole if found is None else found.unionByName(whole)
+        rows = rows.filter(F.col("core0").isNotNull())
+    if found is None:
+        return late.distinct()
+    pairs = _earliest(found).select(
         F.col("line.h1").alias("h1"),
         F.col("line.h2").alias("h2"),
         F.col("partner.h1").alias("p1"),
@@ -170,9 +255,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     verified = (
         pairs.join(mine, ["h1", "h2"])
         .join(other, ["p1", "p2"])
-        .filter(F.levenshtein("line", "earlier", 1) >= 0)
+        .filter(F.levenshtein("line", "earlier", edits) >= 0)
     )
-    return verified.select("h1", "h2").distinct()
+    return late.unionByName(verified.select("h1", "h2")).distinct()
 
 
 def _rebuilt(text: Column, gone: Column, least: int) -> Column:
@@ -218,7 +303,7 @@ def _rebuilt(text: Column, gone: Column, least: int) -> Column:
 def dedup_lines(
     docs: DataFrame,
     least_chars: int = LEAST_CHARS,
-    max_edits: int = 1,
+    max_edits: int = MAX_EDITS,
     id_column: str = "doc_id",
     text_column: str = "text",
     least_equal: int | None = None,
@@ -227,15 +312,15 @@ def dedup_lines(
 
     A line (up to ``\\n``, with a word) goes if an equal line comes earlier: in a document with a
     smaller id, or higher up in the same one. It takes ``least_equal`` characters, or ``least_chars``
-    if that isn't given. Lines of ``least_chars`` characters go as well, with ``max_edits`` 1, if one
-    within one edit comes earlier. Shorter lines stay. Each row is a document of its own: null ids
+    if that isn't given. Lines of ``least_chars`` characters go as well if another such line within
+    ``max_edits`` (0 to 3) characters deleted, added or changed comes earlier. Shorter lines stay. Each row is a document of its own: null ids
     come last, and rows with equal ids, or none, follow one another by a digest of the text; of rows
     equal in both any one comes first. Null texts stay null, empty ones empty. A text may become empty.
     Documents never go, and other columns stay as they are, but for one named ``lines_gone``, which is
     replaced. An empty table gives no rows.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+    if max_edits not in range(4):
+        raise ValueError("max_edits is 0 to 3")
     least_equal = least_chars if least_equal is None else min(least_equal, least_chars)
     columns = [c for c in docs.columns if c != "lines_gone"]
     mark = unused(docs.columns)
@@ -250,29 +335,17 @@ def dedup_lines(
     given = docs.select(row.alias("doc"), F.col(text_column).alias("text"))
     line = F.col("line")
     size = F.length(line)
-    half = lambda longer: F.floor((longer - 1) / 2).cast("int")
-    near = size >= least_chars
-    keys = F.array(
-        *(
-            F.xxhash64(F.lit(side), longer, part)
-            for longer in (size, size + 1)
-            for side, part in (
-                ("start", F.substring(line, F.lit(1), half(longer))),
-                ("end", F.substring(line, -half(longer), half(longer))),
-            )
-        )
-    )
+    keys = F.when(size >= least_chars, _segments(line, max_edits)) if max_edits else F.lit(None)
     lines = (
         _lines(given, least_equal)
-        .select("doc", *_hashes(line), *(F.when(near, keys[k]).alias(f"k{k}") for k in range(4)))
-        .groupBy("h1", "h2", *(f"k{k}" for k in range(4)))
+        .select("doc", *_hashes(line), keys.cast("array<bigint>").alias("keys"))
+        .groupBy("h1", "h2", "keys")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .select("h1", "h2", "first", "last", F.array(*(f"k{k}" for k in range(4))).alias("keys"))
     )
     lines = stored(lines, "lines")
     repeated = lines.filter("first < last").select("h1", "h2", "first", F.lit(False).alias("late"))
     if max_edits:
-        late = near_lines(given, lines.filter(F.col("keys")[0].isNotNull()), least_chars)
+        late = near_lines(given, lines.filter(F.col("keys").isNotNull()), least_chars, max_edits)
         kind = lines.schema["first"].dataType
         late = late.select("h1", "h2", F.lit(None).cast(kind).alias("first"), F.lit(True).alias("late"))
         repeated = repeated.unionByName(late)

@@ -11,18 +11,27 @@ from logmere.llm import line_dedup
 LEAST = 12
 
 
-def edits_within_one(a, b):
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
+def within(a, b, edits):
+    """Whether the edit distance is at most ``edits``, by a table of distances near its diagonal."""
+    if abs(len(a) - len(b)) > edits:
         return False
-    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
-
-
-def by_hand(rows, least=LEAST, edits=1, least_equal=None):
+    row = {k: k for k in range(edits + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for k in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            far = edits + 1
+            new[k] = min(
+                row.get(k, far) + 1,
+                new.get(k - 1, far) + 1,
+                row.get(k - 1, far) + (k == 0 or x != b[k - 1]),
+            )
+        if min(new.values()) > edits:
+            return False
+        row = new
+    return row[len(b)] <= edits
+
+
+def by_hand(rows, least=LEAST, edits=line_dedup.MAX_EDITS, least_equal=None):
     """Texts without late lines; each pair of different lines is compared."""
     last = 1 << 63
     counts = lambda x: len(x) >= (least_equal or least) and re.search(r"[^\x20\x09-\x0D]", x)
@@ -44,7 +53,7 @@ def by_hand(rows, least=LEAST, edits=1, least_equal=None):
         for x in places
         if edits
         and len(x) >= least
-        and any(len(y) >= least and places[y] < places[x] and edits_within_one(x, y) for y in places)
+        and any(len(y) >= least and places[y] < places[x] and within(x, y, edits) for y in places)
     }
     out = []
     for key, (doc, text) in zip(keys, rows):
@@ -63,7 +72,7 @@ def by_hand(rows, least=LEAST, edits=1, least_equal=None):
     return sorted(out, key=repr)
 
 
-def check(docs, least=LEAST, edits=1):
+def check(docs, least=LEAST, edits=line_dedup.MAX_EDITS):
     got = line_dedup.dedup_lines(docs, least, edits)
     assert got.columns == [*docs.columns, "lines_gone"]
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -79,15 +88,22 @@ def edited(rng, line):
     )
 
 
-@pytest.mark.parametrize("size", [14, 60, 400])
-def test_random_edits(documents, size):
+@pytest.mark.parametrize("size, edits, few", [(14, 2, 4), (60, 1, 1), (60, 2, 6), (400, 2, 8), (60, 3, 12), (400, 3, 16)])
+def test_random_edits(documents, monkeypatch, size, edits, few):
+    """Keys of more than ``few`` rows go on to further variants."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(size)
     base = ["".join(rng.choice("aab cd") for _ in range(size)) for _ in range(6)]
     texts = []
     for _ in range(60):
-        picked = [edited(rng, edited(rng, rng.choice(base))) for _ in range(rng.randrange(4))]
+        picked = []
+        for _ in range(rng.randrange(4)):
+            line = rng.choice(base)
+            for _ in range(rng.randrange(edits + 2)):
+                line = edited(rng, line)
+            picked.append(line)
         texts.append("\n".join(["short", *picked, ""]))
-    check(documents(texts))
+    check(documents(texts), edits=edits)
 
 
 def test_exact_only(documents):
@@ -148,6 +164,16 @@ def test_given_documents(spark):
     check(docs, line_dedup.LEAST_CHARS)
 
 
+def test_a_short_word_added(documents):
+    """Two characters more are in reach of two edits, three of three."""
+    line = "das ist der text der in allen dokumenten steht"
+    texts = [line, line.replace("der in", "der so in"), line.replace("text", "te xt.")]
+    for edits, gone in ((1, 0), (2, 1), (3, 2)):
+        assert sum(r["lines_gone"] for r in check(documents(texts), edits=edits)) == gone
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(documents(texts), max_edits=4)
+
+
 def test_short_lines_that_are_equal_go(documents):
     """Near ones stay: the floor is for the near match."""
     line = "a line long enough for the near match"
