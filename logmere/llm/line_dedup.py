@@ -87,18 +87,22 @@ def _shared(rows: DataFrame, edits: int) -> DataFrame:
 def _late_of_few(rows: DataFrame, edits: int) -> DataFrame:
     """``(h1, h2)`` of lines with an earlier one in reach, for keys with ``FEW`` rows at most.
 
-    Closed stretches are equal, so the edit distances of the open ones are those of the lines.
+    Two lines are in reach if each open stretch is, within its own share of the edits: the others are spent.
     """
     cores = [c for c in _stack(edits) if c.startswith("core")]
-    row = F.struct("first", "at", "h1", "h2", *(F.coalesce(c, F.lit("")).alias(c) for c in cores))
+    bounds = [c for c in _stack(edits) if c.startswith("bound")]
+    row = F.struct(
+        "first", "at", "h1", "h2",
+        *(F.coalesce(c, F.lit("")).alias(c) for c in cores),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in bounds),
+    )
     groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("given"))
 
     def in_reach(x: Column, y: Column) -> Column:
-        far = [F.levenshtein(x[c], y[c], edits) for c in cores]
         near = (x["h1"] != y["h1"]) | (x["h2"] != y["h2"])
-        for one in far:
-            near &= one >= 0
-        return near & (sum(far[1:], far[0]) <= edits)
+        for core, bound in zip(cores, bounds):
+            near &= F.levenshtein(x[core], y[core], edits).between(0, x[bound])
+        return near
 
     def late(x: Column, k: Column) -> Column:
         return F.exists(F.slice("given", F.lit(1), k), lambda y: in_reach(x, y))
