@@ -19,7 +19,7 @@ LEAST_CHARS = 30
 MAX_EDITS = 2
 MOST_CORE = 32
 GRAIN = 8
-FEW = 16
+FEW = 100
 LAST = (1 << 63) - 1
 
 HASH = [("h1", 0), ("h2", 1)]
@@ -43,10 +43,11 @@ def _segments(line: Column, edits: int) -> Column:
     other line, shifted by at most as many places as there are stretches on its nearer side.
     """
     size = F.length(line)
-    found = []
-    for longer in range(edits + 1):
-        part = F.floor((size + longer) / (edits + 1)).cast("int")
-        part = F.when(part < 8, part).otherwise(part - part % 4)
+    raw = [F.floor((size + longer) / (edits + 1)).cast("int") for longer in (0, edits)]
+    least, most = (F.when(part < 8, part).otherwise(part - part % 4) for part in raw)
+
+    def hashes(part: Column) -> Column:
+        found = []
         for number in range(edits + 1):
             from_left = number <= edits - number
             before = number if from_left else edits - number
@@ -58,7 +59,10 @@ def _segments(line: Column, edits: int) -> Column:
                     else F.substring(line, size - start - part + 1, part)
                 )
                 found.append(F.xxhash64(F.lit(number), part, text))
-    return F.array_distinct(F.array(*found))
+        return F.array(*found)
+
+    # The longer line's length decides how long the stretches are: one of two values at most.
+    return F.when(least == most, hashes(least)).otherwise(F.concat(hashes(least), hashes(most)))
 
 
 def _stack(edits: int) -> list[str]:
