@@ -17,7 +17,7 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from logmere.functions.clock import moment_literal
 from logmere.functions.sizes import row_bytes
@@ -52,6 +52,8 @@ WAVE_BATCHES = 2_000
 # How long unlisted files are kept: for readers of earlier versions, and for
 # writes that have not been committed yet.
 GRACE = timedelta(days=1)
+# Pages that one task writes, each to a file, when a walk is written whole.
+PAGES_PER_TASK = 50
 # Stands between a unit and the attempt to write it.
 ATTEMPT = "~"
 DELETE_THREADS = 32
@@ -110,6 +112,34 @@ def sized_files(rows: DataFrame, most: int) -> DataFrame:
     return numbered.withColumn("file", name).select(*rows.columns, "file")
 
 
+class Walk(Iterator[DataFrame]):
+    """The pages of one version of a table, in order, from ``LogTable.walk``."""
+
+    def __init__(self, table: LogTable, query: LogQuery, page_size: int):
+        self.table, self.query, self.page_size = table, query, page_size
+        self.snapshot = table.snapshot()
+        self._pages = table._walk(query, page_size, self.snapshot)
+
+    def __next__(self) -> DataFrame:
+        return next(self._pages)
+
+    def write(self, path: str) -> DataFrame:
+        """All pages of the walk, to the end, each as a file of its own in order below ``path/page=<number>``.
+
+        However many pages there are, it takes the same few jobs: all rows are numbered at once, and
+        then dealt by ranges of pages, so one task writes the whole of a page.
+        """
+        spark, newest_first = self.table.spark, self.query.newest_first
+        rows = self.table.read(self.query, snapshot=self.snapshot)
+        paged = paging.walk_into(rows, self.query, work_folder(spark, "walked-rows"), self.page_size)
+        last = paged.agg(F.coalesce(F.max("page"), F.lit(0))).head()[0]
+        order = ["page", *paging.order_columns(newest_first)]
+        dealt = paged.repartitionByRange(last // PAGES_PER_TASK + 1, "page").sortWithinPartitions(*order)
+        dealt.write.partitionBy("page").parquet(path)
+        kinds = T.StructType([*LOG_SCHEMA.fields, T.StructField("page", T.IntegerType())])
+        return spark.read.schema(kinds).parquet(path)
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, root: str, layout: FileLayout | None = None):
         self.spark = spark
@@ -210,14 +240,17 @@ class LogTable:
         counted = query.matching(edges).agg(F.count(F.lit(1)).alias("count"))
         return known.unionByName(counted).agg(F.sum("count").alias("count"))
 
-    def walk(self, query: LogQuery, page_size: int = paging.PAGE_SIZE) -> Iterator[DataFrame]:
+    def walk(self, query: LogQuery, page_size: int = paging.PAGE_SIZE) -> Walk:
         """The pages of one version, one after another, each a data frame in order.
 
         The manifest says which files hold the next fifty pages, their times where each of these
         lies; a page then reads all columns of the rows between its edges only, from the files that
-        have such rows.
+        have such rows. To have every page, ``write`` takes them all at once.
         """
-        snapshot, offset = self.snapshot(), query.page_offset
+        return Walk(self, query, page_size)
+
+    def _walk(self, query: LogQuery, page_size: int, snapshot: Snapshot) -> Iterator[DataFrame]:
+        offset = query.page_offset
         files = listing.counted_files(self.manifest(snapshot), query)
         while places := self._places(query, files, offset, page_size, paging.PAGES_AT_ONCE):
             for place in places:

@@ -499,6 +499,32 @@ def test_table_walk(spark, table, order, sorted_files, monkeypatch):
     assert found["count"] == 600 + 33 and len(found["results"]) == 7
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_walk_written_at_once(spark, table, tmp_path, order, monkeypatch):
+    """As many jobs for many pages as for few, each page a file of its own, in order."""
+    monkeypatch.setattr("logmere.table.log_table.PAGES_PER_TASK", 4)
+    logs = spread_out(spark)
+    table.append(logs.repartition(4))
+    query = LogQuery(project="quay", order=order, offset=11)
+    want = [tuple(r) for r in paging.sort_logs(query.matching(logs), order != "asc").collect()[11:]]
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(page_size):
+        spark.sparkContext.setJobGroup(f"walk-{order}-{page_size}", "")
+        pages = table.walk(query, page_size=page_size).write(str(tmp_path / f"pages-{page_size}"))
+        found = len(tracker.getJobIdsForGroup(f"walk-{order}-{page_size}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return pages, found
+
+    pages, many = jobs(7)
+    files = sorted((tmp_path / "pages-7").rglob("*.parquet"), key=lambda f: int(f.parent.name[5:]))
+    written = [pq.read_table(f, partitioning=None).to_pylist() for f in files]
+    assert [len(rows) for rows in written] == [len(want[k : k + 7]) for k in range(0, len(want), 7)]
+    assert [tuple(r.values()) for rows in written for r in rows] == want
+    assert sorted((r["page"], tuple(r)[:-1]) for r in pages.collect()) == sorted((k // 7, r) for k, r in enumerate(want))
+    assert many <= jobs(200)[1] + 4 < len(written)
+
+
 def test_a_page_reads_messages_of_its_own_rows_only(spark, table):
     table.append(spread_out(spark).repartitionByRange(9, "timestamp"))
     page = next(table.walk(LogQuery(project="quay"), page_size=20))
