@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from conftest import at, full_plan, plain
 from logmere.operators import manifest as listing, paging
 from logmere.operators.paging import lookup
+from logmere.plans import compaction
 from logmere.plans.compaction import compaction_batches, compaction_candidates
 from logmere.plans.query import LogQuery
 from logmere.plans.retention import plan_retention, retention_summary
@@ -293,6 +294,24 @@ def test_batches_equal_the_plain_fold(spark, seed):
             n: sorted(names) for n, names in want.items()}
 
 
+def test_blocks_are_chained_by_few_jobs(spark, monkeypatch):
+    """A hundred blocks take no more jobs than ten; a bound on what the driver takes at once changes nothing."""
+    rnd = random.Random(5)
+    rows = [("", f"f{i:04d}", rnd.randint(0, 60)) for i in range(400)]
+    files = spark.createDataFrame(rows, "key string, file string, size_bytes long").coalesce(1)
+    tracker, want, jobs = spark.sparkContext.statusTracker(), greedy(rows, 500), {}
+    for block, taken in ((40, 50_000), (4, 50_000), (40, 1)):
+        monkeypatch.setattr(compaction, "PASSAGES", taken)
+        spark.sparkContext.setJobGroup(f"blocks-{block}-{taken}", "")
+        got = {}
+        for r in compaction_batches(files, 500, block_files=block).collect():
+            got.setdefault(r["batch"], set()).add(r["file"])
+        jobs[block, taken] = len(tracker.getJobIdsForGroup(f"blocks-{block}-{taken}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == {n: set(names) for n, names in want.items()}
+    assert jobs[4, 50_000] <= jobs[40, 50_000] + 1 < jobs[40, 1]
+
+
 def test_batch_target_must_be_positive(spark):
     with pytest.raises(ValueError):
         compaction_batches(spark.createDataFrame([("f", 1)], "file string, size_bytes long"), 0)
