@@ -49,6 +49,10 @@ BROADCAST_FILES = 1_000_000
 # Batches merged by one job; more of them are merged in several jobs, each
 # committed by itself, so the shuffle stays small however long the backlog.
 WAVE_BATCHES = 2_000
+# Rows that one task sorts when files are merged, and batches of more rows that are
+# put together side by side.
+MERGE_ROWS = 1_000_000
+MERGE_THREADS = 8
 # How long unlisted files are kept: for readers of earlier versions, and for
 # writes that have not been committed yet.
 GRACE = timedelta(days=1)
@@ -469,21 +473,65 @@ class LogTable:
     def _rewrite(
         self, manifest: DataFrame, batches: DataFrame, unit: str, start: int, count: int
     ) -> None:
+        """One file for each batch, its rows in order of time.
+
+        The rows of a batch are sorted by one task up to ``MERGE_ROWS``. Those of a larger one are
+        sorted by ranges of time first, and the ranges then written one after another.
+        """
+        sized = batches.join(manifest.select("file", "row_count"), "file").groupBy("batch")
+        sized = sized.agg(F.sum("row_count").alias("n")).filter(F.col("n") > MERGE_ROWS)
+        large = {r["batch"]: -(-r["n"] // MERGE_ROWS) for r in sized.collect()}
+        path = f"{self.root}/data/{unit}"
+        in_order = ["timestamp", "file", "row_index"]
+        if len(large) < count:
+            some = batches.filter(~F.col("batch").isin(list(large))) if large else batches
+            (
+                self._of_batches(manifest, some)
+                .repartitionById(count, (F.col("batch") - start).cast("int"))
+                .sortWithinPartitions("batch", *in_order)
+                .select(*LOG_COLUMNS, "batch")
+                .write.mode("overwrite")
+                .options(**self.layout.options())
+                .partitionBy("batch")
+                .parquet(path)
+            )
+        if not large:
+            return
+        ranges = work_folder(self.spark, "compaction-ranges")
+        (
+            self._of_batches(manifest, batches.filter(F.col("batch").isin(list(large))))
+            .repartitionByRange(sum(large.values()), "batch", *in_order)
+            .withColumn("part", F.spark_partition_id())
+            .sortWithinPartitions("batch", "part", *in_order)
+            .select(*LOG_COLUMNS, "batch", "part")
+            .write.partitionBy("batch", "part")
+            .parquet(ranges)
+        )
+        parts: dict[int, list[int]] = {batch: [] for batch in large}
+        for found in self.spark.read.parquet(ranges).select("batch", "part").distinct().collect():
+            parts[found["batch"]].append(found["part"])
+
+        def together(batch: int) -> None:
+            sorted_rows = [
+                self.spark.read.schema(LOG_SCHEMA).parquet(f"{ranges}/batch={batch}/part={part}")
+                for part in sorted(parts[batch])
+            ]
+            # A single task reads the ranges in their order, as it writes; it holds none.
+            one = reduce(DataFrame.unionByName, sorted_rows).coalesce(1)
+            one.write.options(**self.layout.options()).parquet(f"{path}/batch={batch}")
+
+        with ThreadPoolExecutor(MERGE_THREADS) as pool:
+            for done in [pool.submit(together, batch) for batch in parts if parts[batch]]:
+                done.result()
+
+    def _of_batches(self, manifest: DataFrame, batches: DataFrame) -> DataFrame:
+        """Rows of the sources of some batches, with ``batch``, ``file`` and ``row_index``."""
         sources = manifest.join(batches.select("file"), "file", "left_semi")
         rows = self._read_files(sources, tolerate_corrupt=True, with_file=True)
         batch_map = batches.select("file", "batch")
         if batches.count() <= BROADCAST_FILES:
             batch_map = F.broadcast(batch_map)
-        (
-            rows.join(batch_map, "file")
-            .repartitionById(count, (F.col("batch") - start).cast("int"))
-            .sortWithinPartitions("batch", "timestamp", "file", "row_index")
-            .select(*LOG_COLUMNS, "batch")
-            .write.mode("overwrite")
-            .options(**self.layout.options())
-            .partitionBy("batch")
-            .parquet(f"{self.root}/data/{unit}")
-        )
+        return rows.join(batch_map, "file")
 
     def vacuum(self, now: datetime, grace: timedelta = GRACE) -> dict[str, object]:
         """Delete files that neither the current version nor any version of the

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from conftest import at, full_plan, plain
@@ -350,6 +351,39 @@ def test_compaction(spark, table):
     assert (result["merged"], result["skipped"]) == (0, 6)
 
 
+def test_large_batches_are_sorted_by_ranges(spark, table, monkeypatch):
+    """No task sorts a whole batch of very many rows; it is still one file in the order of time, ties by source."""
+    logs = some_logs(spark, n=600, parts=6)
+    table.append(logs)
+    table.append(logs.withColumn("timestamp", F.lit(at("05:00:00"))).repartition(5), unit="ties")
+    small = LogTable(spark, table.root + "-2")
+    for name in ("a", "b"):
+        small.append(some_logs(spark, n=20, parts=1), unit=name)
+    other = LogTable(spark, table.root + "-3")
+    for k, n in enumerate((5, 6, 40, 45)):
+        other.append(some_logs(spark, n=n, parts=1), unit=f"u{k}")
+    want = {t: plain(t.read()) for t in (table, small, other)}
+    monkeypatch.setattr("logmere.table.log_table.MERGE_ROWS", 50)
+    sorts, plain_sort = [], DataFrame.sortWithinPartitions
+
+    def sort(frame, *columns):
+        sorts.append([r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()])
+        return plain_sort(frame, *columns)
+
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", sort)
+    assert table.compact(delete_now=True)["merged"] == 1
+    assert max(max(s) for s in sorts) < 300 and sum(sorts[-1]) == 1200
+    assert small.compact(delete_now=True)["merged"] == 1
+    entries = {r["file"]: r["size_bytes"] for r in other.manifest().collect()}
+    first = sum(n for f, n in entries.items() if f.startswith(("u0", "u1")))
+    assert other.compact(target_bytes=first, delete_now=True)["merged"] == 2
+    for t, files in ((table, 1), (small, 1), (other, 2)):
+        assert plain(t.read()) == want[t] and t.audit().count() == 0 and len(data_files(t)) == files
+        for file in data_files(t):
+            stamps = pq.read_table(file)["timestamp"].to_pylist()
+            assert stamps == sorted(stamps)
+
+
 def test_compaction_leaves_damaged_files_alone(spark, table):
     logs = some_logs(spark, n=300, parts=6)
     table.append(logs)
