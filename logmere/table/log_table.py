@@ -53,6 +53,8 @@ WAVE_BATCHES = 2_000
 # put together side by side.
 MERGE_ROWS = 1_000_000
 MERGE_THREADS = 8
+# Rows that one task numbers when the bytes of a file are bounded.
+SIZED_ROWS = 100_000
 # How long unlisted files are kept: for readers of earlier versions, and for
 # writes that have not been committed yet.
 GRACE = timedelta(days=1)
@@ -101,19 +103,32 @@ def sized_files(rows: DataFrame, most: int) -> DataFrame:
 
     Running sums over the rows of a task, in the order of time, are cut at multiples of half the bound;
     a row of more than half of it has a file of its own. So a file has half the bound and one
-    row of at most the other half.
+    row of at most the other half. The sums are made inside ranges of ``SIZED_ROWS`` rows, however many
+    a task had, and go on from the sizes of the ranges before. The rows of a file end up in one task.
     """
-    half = max(1, most // 2)
-    ordered = Window.partitionBy("task").orderBy("timestamp", *TIE_COLUMNS, "number")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spark, half = rows.sparkSession, max(1, most // 2)
+    order = ["timestamp", *TIE_COLUMNS, "number"]
+    parts = max(1, -(-rows.count() // SIZED_ROWS))
     numbered = rows.withColumns(
         {"task": F.spark_partition_id(), "number": F.monotonically_increasing_id(), "bytes": row_bytes()}
     )
-    end = F.sum("bytes").over(upto)
+    dealt = numbered.repartitionByRange(parts, "task", *order).withColumn("part", F.spark_partition_id())
+    # Written, so that the ranges and the numbers stay the same for their sizes and their rows.
+    path = work_folder(spark, "sized-rows")
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path).repartition(parts, "task", "part")
+    # A row for each range of a task.
+    earlier = Window.partitionBy("task").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("task", "part").agg(F.sum("bytes").alias("held"))
+    starts = sizes.select("task", "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
+    ordered = Window.partitionBy("task", "part").orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = dealt.withColumn("upto", F.sum("bytes").over(upto)).join(F.broadcast(starts), ["task", "part"])
+    end = F.col("start") + F.col("upto")
     name = F.when(F.col("bytes") > half, F.concat(F.lit("row-"), F.col("number").cast("string"))).otherwise(
         F.concat_ws("-", "task", F.floor(end / half).cast("string"))
     )
-    return numbered.withColumn("file", name).select(*rows.columns, "file")
+    return placed.withColumn("file", name).select(*rows.columns, "file").repartition(parts, "file")
 
 
 class Walk(Iterator[DataFrame]):

@@ -92,3 +92,25 @@ def test_no_file_is_above_its_bound(spark, tmp_path):
     assert plain(table.read()) == plain(logs)
     assert table.manifest().count() == len(sizes)
     assert table.audit().count() == 0
+
+
+def test_files_of_bounded_bytes_by_ranges(spark, monkeypatch):
+    """No task holds all rows of a writer, and the files are those that running sums over the whole of them give."""
+    rnd = random.Random(4)
+    rows = [log(rnd.randrange(50), "x" * rnd.choice([1, 10, 300, 900])) for _ in range(600)]
+    logs = spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1)
+    want, end, number = {}, 0, 0
+    for r in paging.sort_logs(logs, newest_first=False).withColumn("b", row_bytes()).collect():
+        end += r["b"]
+        big = r["b"] > 750
+        want.setdefault(f"row {(number := number + 1)}" if big else end // 750, []).append(tuple(r)[:-1])
+    monkeypatch.setattr("logmere.table.log_table.SIZED_ROWS", 60)
+    sized = sized_files(logs, 1500)
+    held = [r["n"] for r in sized.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(held) < 300 and sum(held) == 600
+    got = {}
+    for r in sized.collect():
+        got.setdefault(r["file"], []).append(tuple(r)[:-1])
+    assert sorted(sorted(map(repr, x)) for x in got.values()) == sorted(sorted(map(repr, x)) for x in want.values())
+    tasks = sized.select("file", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == len(got)
