@@ -6,7 +6,9 @@ shared out among what stays open, until that is short. Of a short stretch every
 key: some characters deleted, the places marked where the other line may have one more. Lines with an
 equal variant are within the bound of each other, so no pairs are made: each only needs the earliest
 line of its key. That one is verified by the edit distance of the whole lines. Keys of few lines need
-no more variants: their open stretches are compared, each with those of the earlier lines.
+no more variants: their open stretches are compared, each with those of the earlier lines. Most pairs
+are told apart by their lengths and by which characters stand in them an odd number of times; of the
+others only what lies between their first and last difference is measured.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from logmere.llm.common import BROADCAST_ROWS, NOT_SPACE, checked, stored, unuse
 
 LEAST_CHARS = 30
 MAX_EDITS = 2
-MOST_CORE = 32
+MOST_CORE = 16
 GRAIN = 8
-FEW = 100
+FEW = 1_000
+FEW_CHARS = 16_000_000
+BLOCK = 16
 LAST = (1 << 63) - 1
 
 HASH = [("h1", 0), ("h2", 1)]
@@ -65,13 +69,63 @@ def _segments(line: Column, edits: int) -> Column:
     return F.when(least == most, hashes(least)).otherwise(F.concat(hashes(least), hashes(most)))
 
 
+def _odd_characters(line: Column) -> Column:
+    """64 bits: which of as many classes of characters stand an odd number of times in a line.
+
+    One edit flips two bits at most. Characters from U+0080 on have the classes of their hashes.
+    """
+    code = lambda c: F.when(F.octet_length(c) > 1, F.xxhash64(c)).otherwise(F.ascii(c))
+    return F.aggregate(
+        F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code(c), F.lit(64)).cast("int")))
+    )
+
+
+def _let(values: list[Column], use) -> Column:
+    """``use`` of values that are worked out once."""
+    names = [f"v{k}" for k in range(len(values))]
+    given = F.array(F.struct(*(v.alias(n) for v, n in zip(values, names))))
+    return F.get(F.transform(given, lambda x: use(*(x[n] for n in names))), F.lit(0))
+
+
+def _within(x: Column, y: Column, bound: Column | int, edits: int) -> Column:
+    """Whether two texts are within ``bound`` (``edits`` at most) of each other.
+
+    Blocks that are equal at both starts or both ends are taken off before, as this changes no distance.
+    """
+
+    def widths(size):
+        powers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(size / BLOCK + 1)).cast("int")))
+        return F.transform(F.reverse(powers), lambda k: F.call_function("shiftleft", F.lit(BLOCK), k))
+
+    def start(x, y):
+        more = lambda at, w: F.when(F.substring(x, at + 1, w) == F.substring(y, at + 1, w), at + w).otherwise(at)
+        at = F.aggregate(widths(F.length(x)), F.lit(0), more)
+        return _let([at], lambda at: _let([F.substring(x, at + 1, F.length(x)), F.substring(y, at + 1, F.length(y))], end))
+
+    def end(x, y):
+        def at_end(m, n):
+            def more(at, w):
+                fits = at + w <= F.least(m, n)
+                same = F.substring(x, m - at - w + 1, w) == F.substring(y, n - at - w + 1, w)
+                return F.when(fits & same, at + w).otherwise(at)
+
+            return _let([m, n, F.aggregate(widths(F.least(m, n)), F.lit(0), more)], rest)
+
+        def rest(m, n, at):
+            return F.levenshtein(F.substring(x, F.lit(1), m - at), F.substring(y, F.lit(1), n - at), edits)
+
+        return _let([F.length(x), F.length(y)], at_end)
+
+    return (x == y) | start(x, y).between(0, bound)
+
+
 def _stack(edits: int) -> list[str]:
     """Columns of the stretches that are still open, the next one first, and how many edits each may have."""
     return [f"{name}{k}" for k in range(edits) for name in ("core", "bound")]
 
 
 def _shared(rows: DataFrame, edits: int) -> DataFrame:
-    """Rows whose key another line has as well, and ``n``, how many have it, with other text in every open stretch and at both ``differs``.
+    """Rows whose key another line has as well, with other text in every open stretch and at both ``differs``; ``few`` says whether they can be compared.
 
     Lines with equal text in one of them are found where that one is closed.
     """
@@ -83,29 +137,33 @@ def _shared(rows: DataFrame, edits: int) -> DataFrame:
     used += [F.col(f"differs{k}").isNotNull().alias(f"used{edits + k}") for k in range(2)]
     for k in range(edits + 2):
         tests &= ~F.col(f"used{k}") | (F.col(f"low{k + 1}") < F.col(f"high{k + 1}"))
-    keys = rows.groupBy("key", *used).agg(*ends, F.count(F.lit(1)).alias("n")).filter(tests)
-    keys = checked(stored(keys.select("key", "n"), "line-keys"))
+    chars = F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in cores))
+    few = (F.count(F.lit(1)) <= FEW) & (chars <= FEW_CHARS)
+    keys = rows.groupBy("key", *used).agg(*ends, few.alias("few")).filter(tests)
+    keys = checked(stored(keys.select("key", "few"), "line-keys"))
     return rows.join(keys, "key").drop("differs0", "differs1")
 
 
 def _late_of_few(rows: DataFrame, edits: int) -> DataFrame:
-    """``(h1, h2)`` of lines with an earlier one in reach, for keys with ``FEW`` rows at most.
+    """``(h1, h2)`` of lines with an earlier one in reach, for keys with few rows.
 
     Two lines are in reach if each open stretch is, within its own share of the edits: the others are spent.
     """
     cores = [c for c in _stack(edits) if c.startswith("core")]
     bounds = [c for c in _stack(edits) if c.startswith("bound")]
     row = F.struct(
-        "first", "at", "h1", "h2",
+        "first", "at", "h1", "h2", "size", "odd",
         *(F.coalesce(c, F.lit("")).alias(c) for c in cores),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in bounds),
     )
     groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("given"))
 
     def in_reach(x: Column, y: Column) -> Column:
-        near = (x["h1"] != y["h1"]) | (x["h2"] != y["h2"])
+        near = F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * edits
+        near &= F.abs(x["size"] - y["size"]) <= edits
+        near &= (x["h1"] != y["h1"]) | (x["h2"] != y["h2"])
         for core, bound in zip(cores, bounds):
-            near &= F.levenshtein(x[core], y[core], edits).between(0, x[bound])
+            near &= _within(x[core], y[core], x[bound], edits)
         return near
 
     def late(x: Column, k: Column) -> Column:
@@ -114,6 +172,12 @@ def _late_of_few(rows: DataFrame, edits: int) -> DataFrame:
     return groups.select(F.explode(F.filter("given", late)).alias("x")).select("x.h1", "x.h2")
 
 
+def _half(size: Column) -> Column:
+    """About half of a size, so that sizes that differ by little seldom have another half."""
+    parts = [(F.floor(size / (2 * grain)) * grain).cast("int") for grain in (GRAIN, GRAIN // 2, GRAIN // 4)]
+    return F.when(size > 4 * GRAIN, parts[0]).when(size > 2 * GRAIN, parts[1]).otherwise(parts[2])
+
+
 def _next_step(bound: int) -> Column:
     """What may become of the next open stretch, with ``bound`` edits: an array of structs.
 
@@ -144,16 +208,20 @@ def _next_step(bound: int) -> Column:
     def beyond(k):
         return F.substring(core, k + 1, size)
 
-    def edit(k, gone):
-        if bound == 1:
-            return step("whole", [upto(k), beyond(k + gone)], none, 0)
+    def edits(k):
+        # The first edit is where two lines first differ. Nothing else may, or more edits come behind it.
         here = F.xxhash64(F.substring(core, k + 1, F.lit(1)))
-        return step("edit", [upto(k)], beyond(k + gone), bound - 1, differs=[here])
+        found = []
+        for gone in range(2):
+            found.append(step("whole", [upto(k), beyond(k + gone)], none, 0, differs=[here]))
+            if bound > 1:
+                found.append(step("edit", [upto(k)], beyond(k + gone), bound - 1, differs=[here]))
+        return F.array(*found)
 
-    edited = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda k: F.array(edit(k, 0), edit(k, 1))))
+    edited = F.flatten(F.transform(F.sequence(F.lit(0), size), edits))
     halves = []
     for longer in range(bound + 1):
-        part = (F.floor((size + longer) / (2 * GRAIN)) * GRAIN).cast("int")
+        part = _half(size + longer)
         start, end = F.xxhash64(upto(part)), F.xxhash64(beyond(size - part))
         halves.append(step("start", [upto(part)], beyond(part), bound))
         halves.append(step("end", [beyond(size - part)], upto(size - part), bound, differs=[start]))
@@ -164,11 +232,9 @@ def _next_step(bound: int) -> Column:
                     step(f"both{first}", [], upto(cut), first, beyond(cut), bound - first, differs=[start, end])
                 )
     nothing = F.array().cast("array<struct<key:bigint,core:string,bound:int,after:string,last:int,differs0:bigint,differs1:bigint>>")
-    return F.array_distinct(
-        F.concat(
-            F.when(size <= MOST_CORE, edited).otherwise(nothing),
-            F.when(size > MOST_CORE - bound, F.array(*halves)).otherwise(nothing),
-        )
+    return F.concat(
+        F.when(size <= MOST_CORE, edited).otherwise(nothing),
+        F.when(size > MOST_CORE - bound, F.array_distinct(F.array(*halves))).otherwise(nothing),
     )
 
 
@@ -188,7 +254,7 @@ def _stepped(rows: DataFrame, edits: int) -> DataFrame:
             left.append(
                 F.when(closed, old(name, k + 1)).when(opened, pushed).otherwise(kept).alias(f"{name}{k}")
             )
-    return rows.select("h1", "h2", "first", "at", F.col("step.key").alias("key"), "step.differs0", "step.differs1", *left)
+    return rows.select("h1", "h2", "first", "at", "size", "odd", F.col("step.key").alias("key"), "step.differs0", "step.differs1", *left)
 
 
 def _earliest(found: DataFrame) -> DataFrame:
@@ -228,24 +294,25 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int, edits: int) -> Dat
         .groupBy("h1", "h2", "first", "line")
         .agg(F.min("at").alias("at"))
     )
+    texts = texts.withColumns({"size": F.length("line"), "odd": _odd_characters(F.col("line"))})
     texts = stored(texts, "line-texts")
     empty = [F.lit(None).cast("string" if c.startswith("core") else "int").alias(c) for c in _stack(edits)[2:]]
     none = F.lit(None).cast("long")
     rows = texts.join(wanted.select("h1", "h2", "key"), ["h1", "h2"]).select(
-        "h1", "h2", "first", "at", "key", none.alias("differs0"), none.alias("differs1"),
+        "h1", "h2", "first", "at", "size", "odd", "key", none.alias("differs0"), none.alias("differs1"),
         F.col("line").alias("core0"), F.lit(edits).alias("bound0"), *empty,
     )
     rows = stored(rows, "line-steps")
     late = found = None
     while True:
         rows = stored(_shared(rows, edits), "line-open")
-        few = _late_of_few(rows.filter(F.col("n") <= FEW), edits)
+        few = _late_of_few(rows.filter("few"), edits)
         late = few if late is None else late.unionByName(few)
-        rows = rows.filter(F.col("n") > FEW)
+        rows = rows.filter("not few").drop("few")
         if not rows.head(1):
             break
         rows = stored(_stepped(rows, edits), "line-steps")
-        whole = rows.filter(F.col("core0").isNull()).select("h1", "h2", "first", "at", "key")
+        whole = rows.filter("core0 is null").select("h1", "h2", "first", "at", "key")
         found = whole if found is None else found.unionByName(whole)
         rows = rows.filter(F.col("core0").isNotNull())
     if found is None:
@@ -263,7 +330,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, least: int, edits: int) -> Dat
     verified = (
         pairs.join(mine, ["h1", "h2"])
         .join(other, ["p1", "p2"])
-        .filter(F.levenshtein("line", "earlier", edits) >= 0)
+        .filter(_within(F.col("line"), F.col("earlier"), edits, edits))
     )
     return late.unionByName(verified.select("h1", "h2")).distinct()
 

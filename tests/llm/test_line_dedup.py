@@ -184,3 +184,24 @@ def test_short_lines_that_are_equal_go(documents):
         1: ("\nAll rights reserved!", 2),
         2: ("y", 2),
     }
+
+
+def test_distance_of_texts_with_long_equal_ends(spark):
+    rng = random.Random(5)
+    pairs = []
+    for size in (0, 1, 5, 16, 33, 70, 300, 900):
+        for _ in range(12):
+            line = "".join(rng.choice("aab cdé") for _ in range(size))
+            other = line
+            for _ in range(rng.randrange(4)):
+                other = edited(rng, other) if other else "é"
+            pairs.append((line, other))
+    found = (
+        spark.createDataFrame(pairs, "x string, y string")
+        .withColumn("near", line_dedup._within(F.col("x"), F.col("y"), 2, 2))
+        .withColumn("odd", F.bit_count(line_dedup._odd_characters(F.col("x")).bitwiseXOR(line_dedup._odd_characters(F.col("y")))))
+        .collect()
+    )
+    for r in found:
+        assert r["near"] == within(r["x"], r["y"], 2)
+        assert r["odd"] <= 4 or not r["near"]
