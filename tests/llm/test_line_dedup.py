@@ -205,3 +205,23 @@ def test_distance_of_texts_with_long_equal_ends(spark):
     for r in found:
         assert r["near"] == within(r["x"], r["y"], 2)
         assert r["odd"] <= 4 or not r["near"]
+
+
+def test_many_lines_with_a_word_changed_make_few_rows(documents, monkeypatch):
+    """Some hundred of them are compared, not taken apart."""
+    made, stored = {}, line_dedup.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(10)]
+    texts = [" ".join(words)]
+    for _ in range(150):
+        k = rng.randrange(len(words))
+        texts.append(" ".join([*words[:k], words[k] + "".join(rng.choice("klmnopqr") for _ in range(4)), *words[k + 1 :]]))
+    check(documents(texts))
+    assert made["line-open"] <= 12 * len(texts)
